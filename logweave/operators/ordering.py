@@ -1,9 +1,10 @@
 """Running values over an order, computed in parallel even when one group is huge.
 
-A plain window puts each group in one task. Here a group with too many rows is
-cut into ranges of the order; every range is processed by its own task, and the
-totals of the earlier ranges (one short row per range) are added afterwards.
-The rows are shuffled once, as for a plain window.
+A plain window puts each group in one task. Here the groups are counted first. A group with
+too many rows is cut into ranges of the order; every range is processed by its own
+task, and the totals of the earlier ranges (one short row per range) are added
+afterwards. The rows are shuffled once, as for a plain window, and without an
+oversized group the plan is a plain window.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logweave.runtime import materialize
+
 # Rows of one group a single task may sort.
 PART_ROWS = 1_000_000
 # Upper bound on the number of groups that are cut: only groups that hold more
@@ -24,7 +27,66 @@ OVERSPLIT = 8
 PART = "_part"
 
 
-def _width(n: Column, lo: Column, hi: Column, cap: Column) -> Column:
+class Ranges:
+    """Rows of ordered groups, with the groups that are too long cut into ranges (``_part``).
+
+    Made by ``split_ranges``. ``add`` appends running values, ``select`` and ``with_column`` change
+    columns in between, ``rows`` gives the table back. All ``add`` calls share one shuffle.
+    """
+
+    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], cut: bool):
+        self._df, self._keys, self._order, self._cut = df, list(keys), list(order), cut
+
+    def with_column(self, name: str, value: Column) -> Ranges:
+        return Ranges(self._df.withColumn(name, value), self._keys, self._order, self._cut)
+
+    def add(self, values: Mapping[str, tuple[str, str | None]]) -> Ranges:
+        """Add running values along the order inside each group.
+
+        ``values`` maps an output name to ``(kind, column)`` with kind one of
+        ``row_number`` (from 1), ``sum``, ``max`` (both up to and including the row)
+        and ``prior_max`` (rows before this one; the previous value of an ascending column).
+        """
+        group = [*self._keys, PART]
+        ordered = Window.partitionBy(*group).orderBy(*self._order)
+        upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        before = ordered.rowsBetween(Window.unboundedPreceding, -1)
+        local, totals = {}, {}
+        for name, (kind, column) in values.items():
+            if kind == "row_number":
+                local[name], totals[name] = F.row_number().over(ordered).cast("long"), (F.count(F.lit(1)), F.sum)
+            elif kind == "sum":
+                local[name], totals[name] = F.sum(column).over(upto), (F.sum(column), F.sum)
+            elif kind in ("max", "prior_max"):
+                frame = upto if kind == "max" else before
+                local[name], totals[name] = F.max(column).over(frame), (F.max(column), F.max)
+            else:
+                raise ValueError(f"unknown running value {kind!r}")
+        df = self._df
+        if self._cut:
+            # One row per range of a cut group: at most 2 * OVERSPLIT * MAX_HOT_GROUPS rows.
+            earlier = Window.partitionBy(*self._keys, F.lit(0)).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+            per_range = df.where(F.col(PART) >= 0).groupBy(*group).agg(
+                *[total.alias(f"_t_{name}") for name, (total, _) in totals.items()]
+            )
+            carry = per_range.select(
+                *group, *[merge(f"_t_{name}").over(earlier).alias(f"_c_{name}") for name, (_, merge) in totals.items()]
+            )
+            df = df.join(F.broadcast(carry), group, "left")
+            for name, (kind, _) in values.items():
+                if kind in ("row_number", "sum"):
+                    local[name] = local[name] + F.coalesce(F.col(f"_c_{name}"), F.lit(0))
+                else:
+                    local[name] = F.greatest(local[name], F.col(f"_c_{name}"))
+        columns = [F.col(c) for c in self._df.columns]
+        added = df.select(*columns, *[value.alias(name) for name, value in local.items()])
+        return Ranges(added, self._keys, self._order, self._cut)
+
+    def rows(self) -> DataFrame:
+        return self._df.drop(PART)
+
+
+def _width(n: Column, lo: Column, hi: Column, cap: int) -> Column:
     pieces = F.ceil(n / cap) * OVERSPLIT
     return F.greatest(F.ceil((hi - lo + 1) / pieces), F.lit(1)).cast("long")
 
@@ -32,37 +94,31 @@ def _width(n: Column, lo: Column, hi: Column, cap: Column) -> Column:
 def split_ranges(
     df: DataFrame,
     keys: Sequence[str],
-    split_on: Column,
+    order: Sequence[str | Column],
+    split_on: str | Column | None = None,
     part_rows: int = PART_ROWS,
-) -> DataFrame:
-    """Add ``_part``: a range number for rows of cut groups, -1 for all other rows.
+) -> Ranges:
+    """Find the groups of ``keys`` with more rows than a task should sort, and cut them.
 
-    ``split_on`` is an integer that never decreases along the order. Without
-    keys the whole table is one group and is always cut.
+    ``split_on`` (default: the first order column) is an integer that never decreases
+    along the order. Group sizes are counted first; only the total and the largest
+    one come to the driver. Without keys the whole table is one group.
     """
-    keyed = df.withColumn("_split", split_on.cast("long"))
-    stats = keyed.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_split").alias("_lo"), F.max("_split").alias("_hi")
-    )
-    if not keys:
-        cap = F.greatest(F.lit(part_rows), F.ceil(F.col("_n") / MAX_HOT_GROUPS))
-        bounds = stats.select(
-            F.struct("_lo", _width(F.col("_n"), F.col("_lo"), F.col("_hi"), cap).alias("_w")).alias("_b")
-        ).scalar()
-        part = F.floor((F.col("_split") - bounds["_lo"]) / bounds["_w"])
-        return keyed.withColumn(PART, part.cast("int")).drop("_split")
-    total = stats.agg(F.sum("_n")).scalar()
-    cap = F.greatest(F.lit(part_rows), F.ceil(total / MAX_HOT_GROUPS))
-    hot = stats.withColumn("_cap", cap).where(F.col("_n") > F.col("_cap")).select(
-        *keys, "_lo", _width(F.col("_n"), F.col("_lo"), F.col("_hi"), F.col("_cap")).alias("_w")
-    )
+    first = order[0] if split_on is None else split_on
+    key = (F.col(first) if isinstance(first, str) else first).cast("long")
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_lo"), F.max(key).alias("_hi"))
+    total, largest = sizes.agg(F.sum("_n"), F.max("_n")).first()
+    cap = max(part_rows, -(-(total or 0) // MAX_HOT_GROUPS))
+    if (largest or 0) <= cap:
+        return Ranges(df.withColumn(PART, F.lit(-1)), keys, order, cut=False)
     # At most MAX_HOT_GROUPS rows, because each one exceeds total / MAX_HOT_GROUPS.
-    part = F.coalesce(F.floor((F.col("_split") - F.col("_lo")) / F.col("_w")), F.lit(-1))
-    return (
-        keyed.join(F.broadcast(hot), list(keys), "left")
-        .withColumn(PART, part.cast("int"))
-        .drop("_split", "_lo", "_w")
-    )
+    hot = sizes.where(F.col("_n") > cap).select(*keys, "_lo", _width(F.col("_n"), F.col("_lo"), F.col("_hi"), cap).alias("_w"))
+    if keys:
+        joined = df.join(F.broadcast(materialize(hot)), list(keys), "left")
+        part = F.coalesce(F.floor((key - F.col("_lo")) / F.col("_w")), F.lit(-1))
+        return Ranges(joined.withColumn(PART, part.cast("int")).drop("_lo", "_w"), keys, order, cut=True)
+    lo, width = hot.first()
+    return Ranges(df.withColumn(PART, F.floor((key - lo) / width).cast("int")), keys, order, cut=True)
 
 
 def running(
@@ -73,43 +129,5 @@ def running(
     split_on: str | Column | None = None,
     part_rows: int = PART_ROWS,
 ) -> DataFrame:
-    """Add running values along ``order`` inside each group of ``keys``.
-
-    ``values`` maps an output name to ``(kind, column)`` with kind one of
-    ``row_number`` (from 1), ``sum``, ``max`` (both up to and including the row)
-    and ``prior_max`` (rows before this one; the previous value of an ascending column).
-    """
-    first = order[0] if split_on is None else split_on
-    split = split_ranges(df, keys, F.col(first) if isinstance(first, str) else first, part_rows)
-    totals, carries, local = [], [], {}
-    group = [*keys, PART]
-    ordered = Window.partitionBy(*group).orderBy(*order)
-    upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    earlier = Window.partitionBy(*keys, F.lit(0)).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-    for name, (kind, column) in values.items():
-        total, carry = f"_t_{name}", f"_c_{name}"
-        if kind == "row_number":
-            totals.append(F.count(F.lit(1)).alias(total))
-            carries.append(F.sum(total).over(earlier).alias(carry))
-            local[name] = F.row_number().over(ordered) + F.coalesce(F.col(carry), F.lit(0))
-        elif kind == "sum":
-            totals.append(F.sum(column).alias(total))
-            carries.append(F.sum(total).over(earlier).alias(carry))
-            local[name] = F.sum(column).over(upto) + F.coalesce(F.col(carry), F.lit(0))
-        elif kind in ("max", "prior_max"):
-            frame = upto if kind == "max" else before
-            totals.append(F.max(column).alias(total))
-            carries.append(F.max(total).over(earlier).alias(carry))
-            local[name] = F.greatest(F.max(column).over(frame), F.col(carry))
-        else:
-            raise ValueError(f"unknown running value {kind!r}")
-    # One row per range of a cut group: bounded by 2 * OVERSPLIT * MAX_HOT_GROUPS.
-    carry = (
-        split.where(F.col(PART) >= 0)
-        .groupBy(*group)
-        .agg(*totals)
-        .select(*group, *carries)
-    )
-    joined = split.join(F.broadcast(carry), group, "left")
-    return joined.select(*[F.col(c) for c in df.columns], *[c.alias(n) for n, c in local.items()])
+    """``df`` with running values; see ``Ranges.add``."""
+    return split_ranges(df, keys, order, split_on, part_rows).add(values).rows()

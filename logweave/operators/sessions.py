@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.functions.columns import ENTITY_PATTERN, entity_ids
-from logweave.operators.ordering import PART_ROWS, running
+from logweave.operators.ordering import PART_ROWS, running, split_ranges
 from logweave.runtime import broadcast_if_small, materialize
 
 # Session ranges in seconds of the supported log families.
@@ -78,13 +78,14 @@ def gap_chunk_sessions(
     keys = list(partition_cols)
     timed = lines.withColumn("_sec", F.floor(F.unix_micros(ts) / 1_000_000))
     seconds = timed.select(*keys, "_sec").distinct()
-    gaps = running(seconds, keys, ["_sec"], {"_prev": ("prior_max", "_sec")}, part_rows=part_rows)
-    opened = materialize(gaps.withColumn(
+    gaps = split_ranges(materialize(seconds), keys, ["_sec"], part_rows=part_rows).add({"_prev": ("prior_max", "_sec")})
+    opened = gaps.with_column(
         "_open", F.when(F.col("_prev").isNull() | (F.col("_sec") - F.col("_prev") > interval), F.col("_sec"))
+    )
+    grouped = opened.add({"_start": ("max", "_open")}).rows()
+    chunks = materialize(grouped.select(
+        *keys, "_sec", "_start", F.floor((F.col("_sec") - F.col("_start")) / interval).alias("_chunk")
     ))
-    grouped = running(opened, keys, ["_sec"], {"_start": ("max", "_open")}, part_rows=part_rows)
-    chunked = grouped.withColumn("_chunk", F.floor((F.col("_sec") - F.col("_start")) / interval))
-    chunks = materialize(chunked.select(*keys, "_sec", "_start", "_chunk"))
     # Chunks of one key are ordered by their first second, and never overlap.
     firsts = chunks.groupBy(*keys, "_start", "_chunk").agg(F.min("_sec").alias("_first"))
     ids = running(firsts, keys, ["_first"], {output: ("row_number", None)}, part_rows=part_rows)
@@ -180,25 +181,26 @@ def anchored_sessions(
     keys = list(partition_cols)
     topped = running(lines, keys, [order], {"m": ("max", sec)}, part_rows=part_rows)
     maxima = materialize(topped.select(*keys, "m").distinct())
-    steps = running(maxima, keys, ["m"], {"_prev": ("prior_max", "m")}, part_rows=part_rows)
-    opened = materialize(steps.select(*keys, "m", F.when(
-        F.col("_prev").isNull() | (F.col("m") - F.col("_prev") > range_seconds), F.col("m")
-    ).alias("_open")))
-    stretches = materialize(
-        running(opened, keys, ["m"], {"_stretch": ("max", "_open")}, part_rows=part_rows).drop("_open")
+    steps = split_ranges(maxima, keys, ["m"], part_rows=part_rows).add({"_prev": ("prior_max", "m")})
+    opened = steps.with_column(
+        "_open", F.when(F.col("_prev").isNull() | (F.col("m") - F.col("_prev") > range_seconds), F.col("m"))
     )
+    stretches = materialize(opened.add({"_stretch": ("max", "_open")}).rows().select(*keys, "m", "_stretch"))
     stretch = [*keys, "_stretch"]
-    sizes = stretches.groupBy(*stretch).agg(F.count(F.lit(1)).alias("_size"))
-    long_ones = materialize(sizes.where(F.col("_size") > fold_seconds).drop("_size"))
+    # A stretch no longer than the range is a single session; only the others are walked.
+    sizes = materialize(stretches.groupBy(*stretch).agg(
+        F.count(F.lit(1)).alias("_size"), (F.max("m") - F.col("_stretch")).alias("_length")
+    ))
+    wide = sizes.where(F.col("_length") > range_seconds)
+    single = stretches.join(sizes.where(F.col("_length") <= range_seconds).select(*stretch), stretch, "left_semi")
+    walked = stretches.join(wide.where(F.col("_size") <= fold_seconds).select(*stretch), stretch, "left_semi")
     schema = f"{stretches.schema.simpleString()[7:-1]},anchor:bigint"
-    if long_ones.isEmpty():
-        anchors = stretches.groupBy(*stretch).applyInPandas(_walk(range_seconds), schema)
-    else:
-        # Every long stretch holds more than fold_seconds distinct seconds: the list is short.
-        listed = broadcast_if_small(long_ones)
-        short = stretches.join(listed, stretch, "left_anti")
-        walked = short.groupBy(*stretch).applyInPandas(_walk(range_seconds), schema)
-        doubled = _double(stretches.join(listed, stretch, "left_semi"), stretch, range_seconds, part_rows)
-        anchors = walked.unionByName(doubled)
+    anchors = single.withColumn("anchor", F.col("_stretch")).select(*stretches.columns, "anchor").unionByName(
+        walked.groupBy(*stretch).applyInPandas(_walk(range_seconds), schema)
+    )
+    long_ones = wide.where(F.col("_size") > fold_seconds).select(*stretch)
+    if not long_ones.isEmpty():
+        doubled = _double(materialize(stretches.join(long_ones, stretch, "left_semi")), stretch, range_seconds, part_rows)
+        anchors = anchors.unionByName(doubled)
     by_maximum = materialize(anchors.select(*keys, "m", F.col("anchor").alias("session_id")))
     return topped.join(broadcast_if_small(by_maximum), [*keys, "m"]).drop("m")

@@ -22,11 +22,11 @@ from logweave.plans.views import (
     entity_labels,
     log_docs,
     log_events,
-    scratch,
     table,
     word_vectors,
 )
 from logweave.runtime import materialize
+from logweave.runtime import scratch_path as scratch
 from logweave.sources import datasets, logs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -182,7 +182,7 @@ def s6_word_vectors(spark, folder):
     header.coalesce(1).write.text(posixpath.join(path, "a"))
     rows.write.text(posixpath.join(path, "b"))
     read = logs.read_word_vectors(spark, posixpath.join(path, "*"))
-    return read.select("token", F.posexplode("vec").alias("dim", "value")).select("token", "dim", rounded("value"))
+    return read.select("token", F.posexplode("vec").alias("dim", "value"))
 
 
 @query

@@ -102,7 +102,7 @@ add("s5_session_summary", """
   FROM user_split WHERE split IS NOT NULL GROUP BY 1""")
 add("s6_word_vectors", """
   SELECT 'w' || vec_id AS token, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS dim,
-         round(CAST(CAST(unnest(embedding) AS VARCHAR) AS DOUBLE), 6) AS value FROM embeddings""")
+         CAST(CAST(unnest(embedding) AS VARCHAR) AS DOUBLE) AS value FROM embeddings""")
 PARTS["value_counts"] = """
   SELECT sum(CAST(value > 20 AND label = 1 AS INTEGER)) AS tp, sum(CAST(value > 20 AND label = 0 AS INTEGER)) AS fp,
          sum(CAST(value <= 20 AND label = 1 AS INTEGER)) AS fn FROM log_events"""

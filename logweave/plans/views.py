@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import posixpath
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.operators.vocab import token_vocabulary
-from logweave.runtime import ensure_checkpoint_dir
 
 # Line ids of text lines: document number times this, plus the line's place in the document.
 LINES_PER_DOCUMENT = 1_000_000
@@ -21,12 +19,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(posixpath.join(folder, f"{name}.parquet"))
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    return posixpath.join(spark.sparkContext.getCheckpointDir(), f"{name}-{uuid.uuid4().hex[:12]}")
-
-
 def log_events(spark: SparkSession, folder: str) -> DataFrame:
     """``line_id, ts, content, template, label`` plus ``user_id, value``: 20 templates, two entities per line."""
     events = table(spark, folder, "events")
