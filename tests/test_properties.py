@@ -20,8 +20,9 @@ def many_sessions(spark, lengths, seed=0):
     return data, spark.createDataFrame(rows, "session_id string, pos long, template_id int, label int")
 
 
-@pytest.mark.parametrize("size,stride", [(10, 1), (10, 3), (5, 5), (3, 7), (1, 1), (4, 9)])
-@pytest.mark.parametrize("chunk", [None, 1, 16])
+@pytest.mark.parametrize("size,stride,chunk", [
+    (10, 1, None), (10, 3, 16), (5, 5, 1), (3, 7, 16), (1, 1, 1), (4, 9, None), (4, 9, 1), (6, 2, 5),
+])
 def test_sliding_windows(spark, size, stride, chunk):
     data, lines = many_sessions(spark, [*range(1, 30), 61, 200])
     for compat in (False, True):
@@ -60,23 +61,26 @@ def test_session_windows_in_pieces(spark):
     assert got == {s: [t for t, _ in items] for s, items in data.items()}
 
 
-@pytest.mark.parametrize("size,stride", [(3, 1), (3, 2), (4, 2), (5, 3), (2, 5), (6, 6)])
-@pytest.mark.parametrize("compat", [False, True])
+@pytest.mark.parametrize("size,stride,compat", [
+    (3, 1, False), (3, 2, False), (4, 2, True), (5, 3, False), (5, 3, True), (2, 5, False), (6, 6, True),
+])
 def test_frame_windows(spark, size, stride, compat):
     groups = {g: list(range(1, g + 1)) for g in range(1, 25)}
     rows = [(g, v, v % 2) for g, values in groups.items() for v in values]
     df = spark.createDataFrame(rows, "group int, id int, label int")
-    for chunk in (None, 4):
-        made = windows.frame_windows(df, "id", size=size, stride=stride, compat=compat, chunk=chunk, part_rows=6)
-        got = {}
-        for r in made.orderBy("frame_idx").collect():
-            got.setdefault(r.group, []).append(r.window)
-        assert got == {g: f for g, v in groups.items() if (f := loops.frames(v, size, stride, compat))}
+    made = windows.frame_windows(df, "id", size=size, stride=stride, compat=compat, chunk=4, part_rows=6)
+    got = {}
+    for r in made.orderBy("frame_idx").collect():
+        got.setdefault(r.group, []).append(r.window)
+    assert got == {g: f for g, v in groups.items() if (f := loops.frames(v, size, stride, compat))}
+
+
+LOW = {"fold_seconds": 3, "part_rows": 40}
 
 
-@pytest.mark.parametrize("sort", [True, False])
-@pytest.mark.parametrize("reach", [5, 60, 4000])
-@pytest.mark.parametrize("limits", [{}, {"fold_seconds": 3, "part_rows": 40}])
+@pytest.mark.parametrize("sort,reach,limits", [
+    (True, 5, LOW), (True, 60, {}), (False, 60, LOW), (False, 4000, LOW), (True, 4000, {}),
+])
 def test_anchored_sessions(spark, sort, reach, limits):
     rng = random.Random(reach)
     secs = [0] + [int(rng.expovariate(1 / 900) * 4) + i * 9 for i in range(400)]
@@ -87,7 +91,7 @@ def test_anchored_sessions(spark, sort, reach, limits):
     assert [got[i] for i in range(len(secs))] == loops.anchored(secs, reach)
 
 
-@pytest.mark.parametrize("limits", [{}, {"fold_seconds": 3, "part_rows": 40}])
+@pytest.mark.parametrize("limits", [{}, LOW])
 def test_anchored_sessions_by_key(spark, limits):
     rng = random.Random(5)
     logs = {h: [rng.randint(0, 3000) for _ in range(n)] for h, n in (("a", 300), ("b", 1), ("c", 60))}
@@ -159,7 +163,7 @@ def test_topk_metrics_equal_flags_rolled_up(spark):
 def test_select_best(spark):
     rng = random.Random(4)
     for patience in (1, 2, 3):
-        for _ in range(4):
+        for _ in range(2):
             f1s = [rng.randint(0, 5) / 5 for _ in range(rng.randint(1, 9))]
             table = spark.createDataFrame(list(enumerate(f1s, 1)), "candidate int, f1 double")
             assert tuple(detect.select_best(table, patience).first()) == loops.chosen(f1s, patience)
