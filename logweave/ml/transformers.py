@@ -149,9 +149,7 @@ class LogFeatureExtractor(Estimator, _ExtractorParams, DefaultParamsReadable, De
         if self._get("featureType") == "semantics":
             tokens = voc.stored(voc.token_vocabulary(templates, self._get("minTokenCount")))
             if self._get("useTfidf"):
-                # The line count goes along: tokens the training lines lack need it too.
-                total = lines.agg(F.count(F.lit(1))).scalar()
-                idf = voc.stored(feats.idf(lines, self._get("lowerFirst")).withColumn("total", total))
+                idf = voc.stored(feats.idf(lines, self._get("lowerFirst")))
         model = LogFeatureModel(templates, tokens, idf)
         return self._copyValues(model)
 
@@ -179,7 +177,7 @@ class LogFeatureModel(Model, _ExtractorParams, MLReadable, MLWritable):
             return feats.quantitative(sliding_windows(encoded, size, stride), self.vocab_size())
         if kind != "semantics":
             raise ValueError(f"unknown feature type {kind!r}")
-        distinct = encoded.select("template").distinct()
+        distinct = voc.distinct_templates(encoded)
         if self._get("useTfidf"):
             dim = self.vocab_size()
             weights = feats.tfidf_from_idf(distinct, self.idf, self.tokens, self._get("lowerFirst"))

@@ -6,13 +6,13 @@ Token work is done once per distinct template; windows receive it by lookup.
 from __future__ import annotations
 
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import vector_to_array, array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweave.operators.vocab import PAD_ID, encode_tokens, template_tokens
-from logweave.runtime import broadcast_if_small
+from logweave.operators.vocab import PAD_ID, distinct_templates, encode_tokens, template_tokens
+from logweave.runtime import broadcast_if_small, materialize
 
 # Fixed value: default number of tokens kept per template.
 MAX_TOKEN_LEN = 50
@@ -48,7 +48,8 @@ def template_token_ids(
     templates: DataFrame, vocabulary: DataFrame, max_token_len: int = MAX_TOKEN_LEN
 ) -> DataFrame:
     """``template, token_ids``: token ids cut or filled with 0 to ``max_token_len``."""
-    words = template_tokens(templates).where(F.col("token_pos") <= max_token_len)
+    distinct = distinct_templates(templates)
+    words = template_tokens(distinct).where(F.col("token_pos") <= max_token_len)
     ids = (
         encode_tokens(words, vocabulary).groupBy("template")
         .agg(F.sort_array(F.collect_list(F.struct("token_pos", "token_id")))["token_id"].alias("_ids"))
@@ -58,7 +59,7 @@ def template_token_ids(
         1, max_token_len,
     )
     # Templates without a single token are in no row of the token table.
-    return templates.select("template").distinct().join(ids, "template", "left").select(
+    return distinct.join(ids, "template", "left").select(
         "template", filled.alias("token_ids")
     )
 
@@ -69,12 +70,15 @@ def attach_template_features(lines: DataFrame, features: DataFrame) -> DataFrame
 
 
 def idf(train_lines: DataFrame, lower_first: bool = False) -> DataFrame:
-    """``token, df, idf`` over all training lines, repetitions included: ln((1+N)/(1+df)) + 1."""
-    per_template = train_lines.groupBy("template").agg(F.count(F.lit(1)).alias("_lines"))
-    total = train_lines.agg(F.count(F.lit(1))).scalar()
+    """``token, df, idf, total`` over all training lines, repetitions included: ln((1+N)/(1+df)) + 1.
+
+    The lines are read once, to count them per template.
+    """
+    per_template = materialize(train_lines.groupBy("template").agg(F.count(F.lit(1)).alias("_lines")))
+    total = F.coalesce(per_template.agg(F.sum("_lines")).scalar(), F.lit(0))
     words = template_tokens(per_template, lower_first).select("template", "token").distinct()
     df = words.join(per_template, "template").groupBy("token").agg(F.sum("_lines").alias("df"))
-    return df.withColumn("idf", F.log((1 + total) / (1 + F.col("df"))) + 1)
+    return df.withColumn("idf", F.log((1 + total) / (1 + F.col("df"))) + 1).withColumn("total", total)
 
 
 def tfidf(
@@ -86,23 +90,23 @@ def tfidf(
     lower-cased text, as a lower-casing vectorizer does before calling its
     tokenizer: CamelCase words then stay whole and miss the vocabulary.
     """
-    total = train_lines.agg(F.count(F.lit(1))).scalar()
-    return tfidf_from_idf(templates, idf(train_lines, lower_first).withColumn("total", total), vocabulary, lower_first)
+    return tfidf_from_idf(templates, materialize(idf(train_lines, lower_first)), vocabulary, lower_first)
 
 
 def tfidf_from_idf(
     templates: DataFrame, fitted: DataFrame, vocabulary: DataFrame, lower_first: bool = False
 ) -> DataFrame:
-    """The same from a fitted table ``token, df, idf, total``."""
-    tf = template_tokens(templates, lower_first).groupBy("template", "token").agg(F.count(F.lit(1)).alias("tf"))
+    """The same from a stored table made by ``idf``."""
+    tf = template_tokens(distinct_templates(templates), lower_first).groupBy("template", "token").agg(F.count(F.lit(1)).alias("tf"))
     known = tf.join(broadcast_if_small(vocabulary.select("token", "token_id")), "token")
     total = F.coalesce(fitted.agg(F.max("total")).scalar(), F.lit(0))
     unseen = F.log((1 + total).cast("double")) + 1
     raw = known.join(fitted.select("token", "idf"), "token", "left").select(
         "template", "token_id", (F.col("tf") * F.coalesce("idf", unseen)).alias("raw")
     )
-    norms = raw.groupBy("template").agg(F.sum("raw").alias("_norm"))
-    return raw.join(norms, "template").select("template", "token_id", (F.col("raw") / F.col("_norm")).alias("weight"))
+    # A template has few distinct tokens, so a window over them is a short one.
+    norm = F.sum("raw").over(Window.partitionBy("template"))
+    return raw.select("template", "token_id", (F.col("raw") / norm).alias("weight"))
 
 
 def dense_tfidf(weights: DataFrame, vocab_size: int) -> DataFrame:
@@ -118,20 +122,19 @@ def dense_tfidf(weights: DataFrame, vocab_size: int) -> DataFrame:
 def summed_embedding(token_ids: DataFrame, vectors: DataFrame) -> DataFrame:
     """``template, vec``: sum of the vectors of all its token ids, padding included."""
     tokens = token_ids.select("template", F.explode("token_ids").alias("token_id"))
-    return _summarize(tokens, vectors, "template", "sum")
+    times = tokens.groupBy("template", "token_id").agg(F.count(F.lit(1)).cast("double").alias("times"))
+    return _weighted_sum(times, vectors, "times")
 
 
 def weighted_embedding(weights: DataFrame, vectors: DataFrame) -> DataFrame:
     """``template, vec``: tf-idf row times the vector table."""
-    return _summarize(weights, vectors, "template", "sum", "weight")
+    return _weighted_sum(weights, vectors, "weight")
 
 
-def _summarize(tokens: DataFrame, vectors: DataFrame, key: str, metric: str, weight: str | None = None) -> DataFrame:
-    table = vectors.select("token_id", array_to_vector("vec").alias("_v"))
-    joined = tokens.join(broadcast_if_small(table), "token_id")
-    value = F.col("_v")
-    stat = Summarizer.sum(value, F.col(weight)) if weight else getattr(Summarizer, metric)(value)
-    return joined.groupBy(key).agg(vector_to_array(stat).alias("vec"))
+def _weighted_sum(weights: DataFrame, vectors: DataFrame, weight: str) -> DataFrame:
+    table = broadcast_if_small(vectors.select("token_id", "vec"))
+    joined = weights.join(table, "token_id").withColumn("_v", array_to_vector("vec"))
+    return joined.groupBy("template").agg(vector_to_array(Summarizer.sum(F.col("_v"), F.col(weight))).alias("vec"))
 
 
 def mean_pooled(windows: DataFrame, vectors_col: str, dim: int, output: str = "features") -> DataFrame:

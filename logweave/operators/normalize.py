@@ -15,7 +15,7 @@ from logweave.functions.columns import (
     entity_ids,
     microsecond_timestamp,
 )
-from logweave.runtime import broadcast_if_small
+from logweave.runtime import broadcast_if_small, materialize
 
 
 def seconds_since_first(lines: DataFrame, ts: str = "ts", order: str = "line_id") -> DataFrame:
@@ -48,7 +48,7 @@ def line_labels_from_entities(
     """
     named = lines.select("line_id", F.explode(entity_ids(F.col("content"), pattern)).alias("entity_id"))
     _require_labels(named, labels, on_missing)
-    anomalous = labels.where("label = 1").select("entity_id").distinct()
+    anomalous = materialize(labels.where("label = 1").select("entity_id").distinct())
     flagged = (
         named.join(broadcast_if_small(anomalous), "entity_id", "left_semi")
         .select("line_id").distinct().withColumn("_hit", F.lit(1))

@@ -34,11 +34,16 @@ class Ranges:
     columns in between, ``rows`` gives the table back. All ``add`` calls share one shuffle.
     """
 
-    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], cut: bool):
+    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], cut: bool, total: int):
         self._df, self._keys, self._order, self._cut = df, list(keys), list(order), cut
+        # Number of rows of the table.
+        self.total = total
+
+    def _with(self, df: DataFrame) -> Ranges:
+        return Ranges(df, self._keys, self._order, self._cut, self.total)
 
     def with_column(self, name: str, value: Column) -> Ranges:
-        return Ranges(self._df.withColumn(name, value), self._keys, self._order, self._cut)
+        return self._with(self._df.withColumn(name, value))
 
     def add(self, values: Mapping[str, tuple[str, str | None]]) -> Ranges:
         """Add running values along the order inside each group.
@@ -79,8 +84,7 @@ class Ranges:
                 else:
                     local[name] = F.greatest(local[name], F.col(f"_c_{name}"))
         columns = [F.col(c) for c in self._df.columns]
-        added = df.select(*columns, *[value.alias(name) for name, value in local.items()])
-        return Ranges(added, self._keys, self._order, self._cut)
+        return self._with(df.select(*columns, *[value.alias(name) for name, value in local.items()]))
 
     def rows(self) -> DataFrame:
         return self._df.drop(PART)
@@ -108,17 +112,18 @@ def split_ranges(
     key = (F.col(first) if isinstance(first, str) else first).cast("long")
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_lo"), F.max(key).alias("_hi"))
     total, largest = sizes.agg(F.sum("_n"), F.max("_n")).first()
-    cap = max(part_rows, -(-(total or 0) // MAX_HOT_GROUPS))
+    total = total or 0
+    cap = max(part_rows, -(-total // MAX_HOT_GROUPS))
     if (largest or 0) <= cap:
-        return Ranges(df.withColumn(PART, F.lit(-1)), keys, order, cut=False)
+        return Ranges(df.withColumn(PART, F.lit(-1)), keys, order, False, total)
     # At most MAX_HOT_GROUPS rows, because each one exceeds total / MAX_HOT_GROUPS.
     hot = sizes.where(F.col("_n") > cap).select(*keys, "_lo", _width(F.col("_n"), F.col("_lo"), F.col("_hi"), cap).alias("_w"))
     if keys:
         joined = df.join(F.broadcast(materialize(hot)), list(keys), "left")
         part = F.coalesce(F.floor((key - F.col("_lo")) / F.col("_w")), F.lit(-1))
-        return Ranges(joined.withColumn(PART, part.cast("int")).drop("_lo", "_w"), keys, order, cut=True)
+        return Ranges(joined.withColumn(PART, part.cast("int")).drop("_lo", "_w"), keys, order, True, total)
     lo, width = hot.first()
-    return Ranges(df.withColumn(PART, F.floor((key - lo) / width).cast("int")), keys, order, cut=True)
+    return Ranges(df.withColumn(PART, F.floor((key - lo) / width).cast("int")), keys, order, True, total)
 
 
 def running(

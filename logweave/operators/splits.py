@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions.columns import hash_order, hash_prefix, hash_unit
-from logweave.operators.ordering import PART_ROWS, running
+from logweave.operators.ordering import PART_ROWS, split_ranges
 from logweave.operators.sessions import whole_log_session
 from logweave.runtime import broadcast_if_small, materialize
 
@@ -27,17 +27,15 @@ def _ranked_split(
     The shares are counts truncated after double arithmetic: ``int(ratio * n)``.
     """
     train, test = _ratios(test_ratio, train_ratio)
-    n = units.agg(F.count(F.lit(1))).scalar()
     if random:
         shuffled = units.withColumn("_h", hash_order(seed, F.col(key)))
-        ranked = running(shuffled, [], ["_h", key], {"_r": ("row_number", None)},
-                         split_on=hash_prefix(F.col("_h")), part_rows=part_rows).drop("_h")
+        ranges = split_ranges(shuffled, [], ["_h", key], hash_prefix(F.col("_h")), part_rows)
     else:
-        ranked = running(units, [], [first, key], {"_r": ("row_number", None)}, part_rows=part_rows)
-    taken_train = (F.lit(float(train)) * n).cast("long")
-    taken_test = (F.lit(float(test)) * n).cast("long")
-    split = F.when(F.col("_r") <= taken_train, "train").when(F.col("_r") > n - taken_test, "test")
-    return ranked.withColumn("split", split).where("split is not null").drop("_r")
+        ranges = split_ranges(units, [], [first, key], part_rows=part_rows)
+    n = ranges.total
+    ranked = ranges.add({"_r": ("row_number", None)}).rows()
+    split = F.when(F.col("_r") <= int(train * n), "train").when(F.col("_r") > n - int(test * n), "test")
+    return ranked.withColumn("split", split).where("split is not null").select(*units.columns, "split")
 
 
 def split_sessions(
@@ -45,7 +43,8 @@ def split_sessions(
     random: bool = True, seed: int = 42, part_rows: int = PART_ROWS,
 ) -> DataFrame:
     """Split one-row-per-session ``session_id, first_line, ..``; in first-seen order unless ``random``."""
-    return _ranked_split(sessions, "session_id", "first_line", test_ratio, train_ratio, random, seed, part_rows)
+    # One short row per session; stored, because ranking reads it more than once.
+    return _ranked_split(materialize(sessions), "session_id", "first_line", test_ratio, train_ratio, random, seed, part_rows)
 
 
 def keep_training_unit(label: Column, key: Column, ratio: float, seed: int) -> Column:
@@ -71,7 +70,7 @@ def split_lines(
 ) -> DataFrame:
     """Split single lines, and return each part as one whole-log session."""
     parts = _ranked_split(lines, "line_id", "line_id", test_ratio, train_ratio, random, seed, part_rows)
-    kept = sample_train_anomalies(parts, train_anomaly_ratio, "line_id", sample_seed)
+    kept = materialize(sample_train_anomalies(parts, train_anomaly_ratio, "line_id", sample_seed))
     train, test = kept.where("split = 'train'"), kept.where("split = 'test'")
     if filter_normal:
         test = filter_unseen_normal(test, train)

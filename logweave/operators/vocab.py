@@ -34,7 +34,8 @@ def first_seen_ids(
     if mapping is not None:
         firsts = firsts.join(mapping, input_col, "left_anti")
         start = F.coalesce(mapping.agg(F.max(output_col)).scalar(), F.lit(0))
-    new = running(firsts, [], ["_first", input_col], {"_rn": ("row_number", None)}, part_rows=part_rows)
+    # As long as the dictionary, not the log; stored, because ranking reads it more than once.
+    new = running(materialize(firsts), [], ["_first", input_col], {"_rn": ("row_number", None)}, part_rows=part_rows)
     ids = new.select(input_col, (F.col("_rn") + start).cast("int").alias(output_col))
     return ids if mapping is None else mapping.select(input_col, output_col).unionByName(ids)
 
@@ -64,7 +65,7 @@ def token_vocabulary(
     counts = words.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_token_count)
     # Tokens are ASCII letters: their leading bytes, read as a number, follow the alphabet.
     leading = F.conv(F.rpad(F.hex(F.substring("token", 1, 7)), 14, "0"), 16, 10).cast("long")
-    ranked = running(counts, [], ["token"], {"_rn": ("row_number", None)}, split_on=leading, part_rows=part_rows)
+    ranked = running(materialize(counts), [], ["token"], {"_rn": ("row_number", None)}, split_on=leading, part_rows=part_rows)
     return ranked.select("token", (F.col("_rn") + (FIRST_ID - 1)).cast("int").alias("token_id"), "n")
 
 
@@ -76,6 +77,11 @@ def with_reserved_tokens(vocabulary: DataFrame) -> DataFrame:
     return reserved.unionByName(vocabulary.select("token", "token_id", "n"))
 
 
+def distinct_templates(lines: DataFrame) -> DataFrame:
+    """The templates of the lines, stored: token work starts from this short table."""
+    return materialize(lines.select("template").distinct())
+
+
 def template_tokens(templates: DataFrame, lower_first: bool = False) -> DataFrame:
     """One row per template and token position (from 1)."""
     return templates.select("template").distinct().select(

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from logweave.operators.ordering import PART_ROWS, running
 from logweave.operators.vocab import OOV_ID, WINDOW_PADDING
+from logweave.runtime import broadcast_if_small, materialize
 
 # Starts per chunk before rounding to whole strides.
 CHUNK_LINES = 4096
@@ -224,7 +225,7 @@ def frame_windows(
 def session_index(sessions: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """Dense 0-based session number in first-seen order."""
     ranked = running(
-        sessions.select("session_id", "first_line"), [], ["first_line", "session_id"],
+        materialize(sessions.select("session_id", "first_line")), [], ["first_line", "session_id"],
         {"_rn": ("row_number", None)}, part_rows=part_rows,
     )
     return ranked.select("session_id", (F.col("_rn") - 1).alias("session_idx"))
@@ -232,7 +233,7 @@ def session_index(sessions: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
 
 def samples(windows: DataFrame, index: DataFrame) -> DataFrame:
     """Window rows keyed by session number."""
-    return windows.join(index, "session_id").drop("session_id")
+    return windows.join(broadcast_if_small(materialize(index)), "session_id").drop("session_id")
 
 
 def window_report(windows: DataFrame) -> DataFrame:

@@ -9,8 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A table is broadcast only after it has been counted and found to hold at most this many rows.
+# A table is broadcast only after it has been measured and found to lie within both bounds.
+# The size is that of the rows as JSON text, which is close to their size in memory.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 128 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -44,15 +46,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def holds_at_most(df: DataFrame, rows: int) -> bool:
-    return df.limit(rows + 1).count() <= rows
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when a count proves the table small.
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only when measuring the table proves it small.
 
     Otherwise the table is returned as it is: Spark then runs a sort-merge join
     and adaptive execution splits the skewed partitions of the big side.
-    Pass stored tables (read from files or materialized) so the count stays cheap.
+    Pass stored tables (read from files or materialized) so that measuring stays cheap.
     """
-    return F.broadcast(df) if holds_at_most(df, rows) else df
+    text = F.octet_length(F.to_json(F.struct(*df.columns))).cast("long")
+    found, taken = df.agg(F.count(F.lit(1)), F.sum(text)).first()
+    return F.broadcast(df) if found <= rows and (taken or 0) <= size else df
