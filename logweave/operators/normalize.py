@@ -49,10 +49,9 @@ def line_labels_from_entities(
     named = lines.select("line_id", F.explode(entity_ids(F.col("content"), pattern)).alias("entity_id"))
     _require_labels(named, labels, on_missing)
     anomalous = materialize(labels.where("label = 1").select("entity_id").distinct())
-    flagged = (
-        named.join(broadcast_if_small(anomalous), "entity_id", "left_semi")
-        .select("line_id").distinct().withColumn("_hit", F.lit(1))
-    )
+    hits = named.join(broadcast_if_small(anomalous), "entity_id", "left_semi").select("line_id").distinct()
+    # With few anomalous lines the lines themselves need no shuffle.
+    flagged = broadcast_if_small(materialize(hits)).withColumn("_hit", F.lit(1))
     return (
         lines.drop("label")
         .join(flagged, "line_id", "left")

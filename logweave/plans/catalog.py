@@ -22,6 +22,7 @@ from logweave.plans.views import (
     entity_labels,
     log_docs,
     log_events,
+    log_lineitem,
     table,
     word_vectors,
 )
@@ -471,6 +472,18 @@ def w1_short_sessions(spark, folder):
     return made.select("session_id", "window_idx", joined("window"), "next_id", "anomaly", joined("an_classes"))
 
 
+def _supplier_lines(spark, folder) -> DataFrame:
+    lines = materialize(log_lineitem(spark, folder))
+    vocabulary = vocab.stored(vocab.template_vocabulary(lines))
+    return vocab.encode_templates(lines, vocabulary)
+
+
+@query
+def w1_supplier_windows(spark, folder):
+    made = windows.sliding_windows(sessions.with_positions(_supplier_lines(spark, folder)), SIZE, 5)
+    return made.select("session_id", "window_idx", joined("ids"), "next_id", "anomaly")
+
+
 @query
 def w2_window_anomaly(spark, folder):
     return all_windows(spark, folder, stride=3).select("session_id", "window_idx", "anomaly")
@@ -519,6 +532,13 @@ def w6_samples(spark, folder):
         "session_idx", "window_idx", joined("ids"), "next_id", "anomaly", joined("an_classes"))
 
 
+@query
+def w7_long_window_report(spark, folder):
+    """One session holds the complete table."""
+    lines = sessions.whole_log_session(_supplier_lines(spark, folder))
+    return windows.window_report(windows.sliding_windows(lines, SIZE, STRIDE)).select("windows", rounded("anomalous_share"))
+
+
 @query
 def w7_window_report(spark, folder):
     lines = sessions.whole_log_session(log_events(spark, folder).select("line_id", "template", "label"))
@@ -634,6 +654,12 @@ def d1_next_event_model(spark, folder):
     return _train_model(dataset(spark, folder)).select("context", joined("topk"))
 
 
+@query
+def d1_supplier_model(spark, folder):
+    lines = sessions.with_positions(_supplier_lines(spark, folder))
+    return detect.fit_next_event(windows.sliding_windows(lines, SIZE, STRIDE), ORDER, K).select("context", joined("topk"))
+
+
 @query
 def d2_window_classifier(spark, folder):
     data = dataset(spark, folder)

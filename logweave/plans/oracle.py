@@ -64,6 +64,11 @@ PARTS["conv_log"] = """
   SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS pos, conv_id * 1000 + turn AS line_id, role AS template,
          CAST(role = 'system' AS INTEGER) AS label FROM conversations"""
 
+PARTS["item_log"] = """
+  SELECT CAST(l_suppkey AS VARCHAR) AS session_id, l_returnflag || l_linestatus || l_linenumber AS template,
+         row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS line_id,
+         CAST(l_quantity >= 49 AS INTEGER) AS label FROM lineitem"""
+
 # ---- sources and sinks ----------------------------------------------------------------------
 
 add("s1_structured_csv", """
@@ -332,6 +337,15 @@ add("w3_window_classes_compat", f"""
   SELECT session_id, window_idx, array_to_string(CASE WHEN is_full THEN cls[i + 1:i + {SIZE}]
     ELSE list_concat(cls[1:greatest(n - i, 0)], list_transform(range(CAST({SIZE} - greatest(n - i, 0) AS BIGINT)), lambda x: 1)) END, ',') AS an_classes
   FROM entity_windows4""")
+PARTS["item_vocab"] = """
+  SELECT template, CAST(row_number() OVER (ORDER BY f) + 1 AS INTEGER) AS template_id
+  FROM (SELECT template, min(line_id) AS f FROM item_log GROUP BY 1)"""
+PARTS["item_coded"] = """
+  SELECT i.*, v.template_id, row_number() OVER (PARTITION BY session_id ORDER BY line_id) - 1 AS pos
+  FROM item_log i JOIN item_vocab v USING (template)"""
+PARTS["item_windows5"] = _windows("item_coded", SIZE, 5)
+PARTS["item_windows1"] = _windows("item_coded", SIZE, STRIDE)
+add("w1_supplier_windows", f"SELECT session_id, window_idx, {IDS} AS ids, next_id, anomaly FROM item_windows5")
 PARTS["user_all"] = """
   SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY line_id) - 1 AS pos FROM user_log"""
 add("w4_session_windows", """
@@ -366,6 +380,12 @@ PARTS["whole_rows"] = f"""
 add("w7_window_report", f"""
   SELECT count(*) AS windows, round(avg(anomaly), 6) AS anomalous_share FROM whole_rows WHERE i <= greatest(n - {SIZE}, 0)""")
 
+PARTS["item_rows"] = f"""
+  SELECT row_number() OVER (ORDER BY line_id) - 1 AS i, count(*) OVER () AS n,
+         max(label) OVER (ORDER BY line_id ROWS BETWEEN CURRENT ROW AND {SIZE} FOLLOWING) AS anomaly FROM item_log"""
+add("w7_long_window_report", f"""
+  SELECT count(*) AS windows, round(avg(anomaly), 6) AS anomalous_share FROM item_rows WHERE i <= greatest(n - {SIZE}, 0)""")
+
 # ---- features -------------------------------------------------------------------------------
 
 PARTS["test_lines"] = "SELECT * FROM coded_lines WHERE split = 'test'"
@@ -439,13 +459,19 @@ add("f8_mean_pooled", """
 # ---- detectors ------------------------------------------------------------------------------
 
 CONTEXT = "array_to_string(ids[i + 1:i + len][greatest(len - {last} + 1, 1):len], ' ')"
-PARTS["contexts"] = " UNION ALL ".join(
-    f"SELECT {CONTEXT.format(last=m)} AS context, next_id FROM train_windows WHERE len >= {m}" if m else
-    "SELECT '' AS context, next_id FROM train_windows" for m in range(ORDER + 1))
-PARTS["context_counts"] = "SELECT context, next_id, count(*) AS n FROM contexts GROUP BY 1, 2"
-PARTS["context_top"] = f"""
+def _top(windows: str) -> str:
+    """The first K next events of each context, of every length, in ``windows``."""
+    contexts = " UNION ALL ".join(
+        f"SELECT {CONTEXT.format(last=m)} AS context, next_id FROM {windows} WHERE len >= {m}" if m else
+        f"SELECT '' AS context, next_id FROM {windows}" for m in range(ORDER + 1))
+    return f"""
   SELECT context, array_to_string(list(next_id ORDER BY r), ',') AS topk, list(next_id ORDER BY r) AS tops
-  FROM (SELECT *, row_number() OVER (PARTITION BY context ORDER BY n DESC, next_id) AS r FROM context_counts) WHERE r <= {K} GROUP BY 1"""
+  FROM (SELECT *, row_number() OVER (PARTITION BY context ORDER BY n DESC, next_id) AS r
+        FROM (SELECT context, next_id, count(*) AS n FROM ({contexts}) GROUP BY 1, 2)) WHERE r <= {K} GROUP BY 1"""
+
+
+PARTS["context_top"] = _top("train_windows")
+add("d1_supplier_model", f"SELECT context, topk FROM ({_top('item_windows1')})")
 add("d1_next_event_model", "SELECT context, topk FROM context_top")
 PARTS["tries"] = " UNION ALL ".join(
     f"SELECT session_id, window_idx, {m} AS used, " + (CONTEXT.format(last=m) if m else "''") + f" AS context FROM test_windows WHERE len >= {m}"

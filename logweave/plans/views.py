@@ -7,6 +7,7 @@ import posixpath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logweave.operators.ordering import running
 from logweave.operators.vocab import token_vocabulary
 
 # Line ids of text lines: document number times this, plus the line's place in the document.
@@ -65,6 +66,18 @@ def log_docs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def log_lineitem(spark: SparkSession, folder: str) -> DataFrame:
+    """Order lines as a long log: the supplier is the entity, flag, status and line number the template."""
+    items = table(spark, folder, "lineitem")
+    lines = items.select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_suppkey").cast("string").alias("session_id"),
+        F.concat("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")).alias("template"),
+        (F.col("l_quantity") >= 49).cast("int").alias("label"),
+    )
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    return running(lines, [], order, {"line_id": ("row_number", None)}).select("session_id", "line_id", "template", "label")
+
+
 def conv_sessions(spark: SparkSession, folder: str) -> DataFrame:
     """Conversations as short sessions of speaker roles."""
     turns = table(spark, folder, "conversations")
