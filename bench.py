@@ -17,7 +17,7 @@ from logweave.plans.catalog import QUERIES
 HEADLINE = [
     "p7_normalize", "l2_line_labels", "g1_entity_sessions", "g2_anchored_sessions", "g3_gap_chunk_sessions",
     "t1_session_split_random", "v1_template_vocabulary", "v3_tokens", "v4_token_vocabulary", "w1_sliding_windows",
-    "f2_quantitative", "f4_tfidf", "f6_summed_embedding", "d1_next_event_model", "d2_window_classifier",
+    "f2_quantitative", "f4_tfidf", "f6_summed_embedding", "d1_next_event_model", "d1_supplier_model", "w1_supplier_windows", "w7_long_window_report", "d2_window_classifier",
     "d4_reconstruction_error", "d5_batch_scoring", "e4_percentile_flags", "e8_class_report", "a4_next_event_detection",
 ]
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logweave.operators.features import count_features
-from logweave.runtime import broadcast_if_small, materialize
+from logweave.runtime import BROADCAST_ROWS, broadcast_if_small, is_small, materialize
 
 # Fixed value: widths of the local patterns used for supervised classification.
 PATTERN_WIDTHS = (2, 3, 4)
@@ -60,23 +60,36 @@ def fit_next_event(windows: DataFrame, order: int, k: int) -> DataFrame:
     )
 
 
-def score_next_event(windows: DataFrame, model: DataFrame, order: int) -> DataFrame:
+def score_next_event(
+    windows: DataFrame, model: DataFrame, order: int, broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
     """Add ``topk``: predictions of the longest context seen in training.
 
-    Back-off is resolved once per distinct context, not per window.
+    A small model is looked up once per context length, without moving the windows. Beyond the
+    broadcast bounds the back-off is resolved once per distinct context instead.
     Pass a stored model (see ``save_table``): it is read several times.
     """
+    known = model.where("context != ''")
+    fallback = model.where("context = ''").select("topk").scalar()
+    default = [fallback, F.array().cast("array<int>")]
+    if is_small(known, broadcast_rows):
+        # Contexts of all lengths share one table, so one broadcast serves every lookup.
+        tries = []
+        for m in range(order, 0, -1):
+            found = F.broadcast(known.select(F.col("context").alias(f"_context{m}"), F.col("topk").alias(f"_topk{m}")))
+            # A window shorter than m events repeats the lookup of its whole length.
+            windows = windows.withColumn(f"_context{m}", context(m)).join(found, f"_context{m}", "left")
+            tries.append(f"_topk{m}")
+        added = [f"_context{m}" for m in range(1, order + 1)] + tries
+        return windows.withColumn("topk", F.coalesce(*tries, *default)).drop(*added)
     keyed = windows.withColumn("_context", context(order))
-    distinct = keyed.select("_context").distinct()
+    distinct = materialize(keyed.select("_context").distinct())
     tries = distinct.select("_context", F.posexplode(_suffixes("_context")).alias("_dropped", "context"))
-    best = tries.join(broadcast_if_small(model.where("context != ''")), "context").groupBy("_context").agg(
-        F.min_by("topk", "_dropped").alias("topk")
-    )
-    resolved = broadcast_if_small(materialize(best))
-    fallback = model.where("context = ''").select("topk").scalar()
+    best = tries.join(known, "context").groupBy("_context").agg(F.min_by("topk", "_dropped").alias("topk"))
+    resolved = broadcast_if_small(materialize(best), broadcast_rows)
     return (
         keyed.join(resolved, "_context", "left")
-        .withColumn("topk", F.coalesce("topk", fallback, F.array().cast("array<int>")))
+        .withColumn("topk", F.coalesce("topk", *default))
         .drop("_context")
     )
 
@@ -133,7 +146,8 @@ def fit_reconstruction(windows: DataFrame, vocab_size: int, components: int = 3)
         StandardScaler(withMean=True, withStd=False, inputCol="_counts", outputCol="_centred"),
         PCA(k=min(components, vocab_size - 1), inputCol="_centred", outputCol="_projected"),
     ]
-    return Pipeline(stages=stages).fit(counted.select("_counts"))
+    # Stored, because the fit reads it several times.
+    return Pipeline(stages=stages).fit(materialize(counted.select("_counts")))
 
 
 def score_reconstruction(model: PipelineModel, windows: DataFrame, vocab_size: int) -> DataFrame:

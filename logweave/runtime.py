@@ -46,6 +46,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Measure a table against the broadcast bounds."""
+    text = F.octet_length(F.to_json(F.struct(*df.columns))).cast("long")
+    found, taken = df.agg(F.count(F.lit(1)), F.sum(text)).first()
+    return found <= rows and (taken or 0) <= size
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast only when measuring the table proves it small.
 
@@ -53,6 +60,4 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BR
     and adaptive execution splits the skewed partitions of the big side.
     Pass stored tables (read from files or materialized) so that measuring stays cheap.
     """
-    text = F.octet_length(F.to_json(F.struct(*df.columns))).cast("long")
-    found, taken = df.agg(F.count(F.lit(1)), F.sum(text)).first()
-    return F.broadcast(df) if found <= rows and (taken or 0) <= size else df
+    return F.broadcast(df) if is_small(df, rows, size) else df

@@ -143,13 +143,15 @@ def test_next_event_model_and_scores(spark):
             cut.append((ids[idx:min(idx + size, len(ids) - 1)], nxt))
     expected = loops.next_event_model(cut, order, k)
     assert {tuple(map(int, r.context.split())): r.topk for r in model.collect()} == expected
-    scored = detect.score_next_event(windows.sliding_windows(test_lines, size), model, order)
-    got = {(r.session_id, r.window_idx): r.topk for r in scored.collect()}
-    assert len(got) == windows.sliding_windows(test_lines, size).count()
-    for session, items in test.items():
-        ids = [t for t, _ in items]
-        for idx, *_ in loops.sliding(ids, [0] * len(ids), size, 1):
-            assert got[session, idx] == loops.predict(expected, ids[idx:min(idx + size, len(ids) - 1)], order)
+    # With and without a model small enough to broadcast.
+    for rows in (1_000_000, 0):
+        scored = detect.score_next_event(windows.sliding_windows(test_lines, size), model, order, broadcast_rows=rows)
+        got = {(r.session_id, r.window_idx): r.topk for r in scored.collect()}
+        assert len(got) == windows.sliding_windows(test_lines, size).count()
+        for session, items in test.items():
+            ids = [t for t, _ in items]
+            for idx, *_ in loops.sliding(ids, [0] * len(ids), size, 1):
+                assert got[session, idx] == loops.predict(expected, ids[idx:min(idx + size, len(ids) - 1)], order)
 
 
 def test_topk_metrics_equal_flags_rolled_up(spark):
