@@ -814,6 +814,14 @@ def a2_transformer_chain(spark, folder):
     return made.select("group", "frame_idx", joined("window"), joined("labels"))
 
 
+@query
+def a4_time_session_samples(spark, folder):
+    lines = flows.time_sessions(log_events(spark, folder), sessions.RANGE_SECONDS["thunderbird"])
+    data = flows.prepare(lines, test_ratio=0.2)
+    made = features.sequential(windows.sliding_windows(data.test, SIZE, 5))
+    return made.select("session_id", "window_idx", joined("features"), "next_id", "anomaly")
+
+
 @query
 def a4_next_event_detection(spark, folder):
     made = flows.next_event_detection(user_log(spark, folder), SIZE, STRIDE, ORDER, K, train_anomaly_ratio=1.0)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from logweave.operators import detect, evaluate
 from logweave.operators.features import count_features
-from logweave.operators.sessions import session_rollup, with_positions
+from logweave.operators.normalize import seconds_since_first
+from logweave.operators.sessions import anchored_sessions, session_rollup, with_positions
 from logweave.operators.splits import sample_train_anomalies, split_sessions
 from logweave.operators.vocab import encode_templates, stored, template_vocabulary
 from logweave.operators.windows import sliding_windows
@@ -35,6 +36,13 @@ class Dataset:
         return self.vocabulary.count() + 2
 
 
+def time_sessions(lines: DataFrame, range_seconds: int) -> DataFrame:
+    """Normalized lines as anchored time sessions, in the form the flows take."""
+    timed = seconds_since_first(lines).select("line_id", "sec", "template", "label")
+    made = anchored_sessions(timed, range_seconds)
+    return made.withColumn("session_id", F.col("session_id").cast("string")).drop("sec")
+
+
 def prepare(
     lines: DataFrame, test_ratio: float = 0.2, train_anomaly_ratio: float = 1.0, random: bool = True, seed: int = 42
 ) -> Dataset:

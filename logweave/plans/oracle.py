@@ -456,6 +456,20 @@ add("f8_mean_pooled", """
   LEFT JOIN template_vectors v ON v.template = p.template AND v.dim = k.dim
   GROUP BY 1, 2, 3""")
 
+PARTS["time_log"] = """
+  SELECT CAST(a.a AS VARCHAR) AS session_id, t.line_id, e.template, e.label
+  FROM tops t ASOF JOIN anchors a ON t.m >= a.a JOIN log_events e ON e.line_id = t.line_id"""
+PARTS["time_split"] = _split(
+    "(SELECT session_id, min(line_id) AS f FROM time_log GROUP BY 1)", SHUFFLED, "CAST(1 - 0.2::DOUBLE AS DOUBLE)", "0.2::DOUBLE")
+PARTS["time_vocab"] = """
+  SELECT template, CAST(row_number() OVER (ORDER BY f, template) + 1 AS INTEGER) AS template_id
+  FROM (SELECT template, min(line_id) AS f FROM time_log JOIN time_split USING (session_id) WHERE split = 'train' GROUP BY 1)"""
+PARTS["time_coded"] = """
+  SELECT l.*, coalesce(v.template_id, 1) AS template_id, row_number() OVER (PARTITION BY l.session_id ORDER BY l.line_id) - 1 AS pos
+  FROM time_log l JOIN time_split s USING (session_id) LEFT JOIN time_vocab v USING (template) WHERE s.split = 'test'"""
+PARTS["time_windows"] = _windows("time_coded", SIZE, 5)
+add("a4_time_session_samples", f"SELECT session_id, window_idx, {IDS} AS features, next_id, anomaly FROM time_windows")
+
 # ---- detectors ------------------------------------------------------------------------------
 
 CONTEXT = "array_to_string(ids[i + 1:i + len][greatest(len - {last} + 1, 1):len], ' ')"
