@@ -104,8 +104,13 @@ def scored(spark: SparkSession, folder: str) -> DataFrame:
     return flows.scored_next_event(dataset(spark, folder), SIZE, STRIDE, ORDER, K)
 
 
-def doc_vocab(spark: SparkSession, folder: str, min_count: int = 1) -> DataFrame:
-    return vocab.stored(vocab.token_vocabulary(log_docs(spark, folder), min_count))
+def doc_vocab(spark: SparkSession, folder: str, min_count: int = 1, docs: DataFrame | None = None) -> DataFrame:
+    return vocab.stored(vocab.token_vocabulary(log_docs(spark, folder) if docs is None else docs, min_count))
+
+
+def doc_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines and templates of the texts, stored: the texts are cut into lines once."""
+    return materialize(log_docs(spark, folder).select("doc_id", "line_id", "template"))
 
 
 def value_scores(spark: SparkSession, folder: str) -> DataFrame:
@@ -564,8 +569,7 @@ def f2_quantitative(spark, folder):
     return made.select("session_id", "window_idx", joined("features"))
 
 
-def _doc_lines(spark, folder) -> DataFrame:
-    docs = log_docs(spark, folder)
+def _doc_lines(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("string").alias("session_id"), "line_id", "template", F.lit(0).alias("label"))
 
 
@@ -577,9 +581,10 @@ def f3_template_token_ids(spark, folder):
 
 @query
 def f3_window_token_ids(spark, folder):
-    lines = sessions.with_positions(_doc_lines(spark, folder))
-    vocabulary = vocab.stored(vocab.template_vocabulary(lines))
-    table_ = vocab.stored(features.template_token_ids(lines, doc_vocab(spark, folder, 2), 4))
+    docs = doc_templates(spark, folder)
+    lines = sessions.with_positions(_doc_lines(docs))
+    vocabulary = vocab.stored(vocab.template_vocabulary(docs))
+    table_ = vocab.stored(features.template_token_ids(docs, doc_vocab(spark, folder, 2, docs), 4))
     coded = features.attach_template_features(vocab.encode_templates(lines, vocabulary), table_)
     made = windows.sliding_windows(coded, 3, 2, carry={"token_ids": F.array_repeat(F.lit(0), 4)})
     return made.select("session_id", "window_idx", nested("token_ids"), "next_id")
@@ -587,15 +592,15 @@ def f3_window_token_ids(spark, folder):
 
 @query
 def f4_tfidf(spark, folder):
-    docs = log_docs(spark, folder)
-    made = features.tfidf(docs, docs, doc_vocab(spark, folder))
+    docs = doc_templates(spark, folder)
+    made = features.tfidf(docs, docs, doc_vocab(spark, folder, docs=docs))
     return made.select("template", "token_id", rounded("weight"))
 
 
 @query
 def f4_tfidf_lower_first(spark, folder):
-    docs = log_docs(spark, folder)
-    made = features.tfidf(docs, docs.where("doc_id % 2 = 0"), doc_vocab(spark, folder), lower_first=True)
+    docs = doc_templates(spark, folder)
+    made = features.tfidf(docs, docs.where("doc_id % 2 = 0"), doc_vocab(spark, folder, docs=docs), lower_first=True)
     return made.select("template", "token_id", rounded("weight"))
 
 
@@ -606,35 +611,36 @@ def f5_word_vectors(spark, folder):
     return made.select("token_id", "token", F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x), 6).alias("squared_length"))
 
 
-def _vectors(spark, folder) -> tuple[DataFrame, DataFrame]:
-    vocabulary = doc_vocab(spark, folder)
+def _vectors(spark, folder, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    vocabulary = doc_vocab(spark, folder, docs=docs)
     return vocabulary, vocab.stored(vocab.vocabulary_vectors(vocabulary, word_vectors(spark, folder, vocabulary), VECTOR_DIM))
 
 
-def _template_vectors(spark, folder) -> DataFrame:
-    vocabulary, table_ = _vectors(spark, folder)
-    ids = features.template_token_ids(log_docs(spark, folder), vocabulary)
+def _template_vectors(spark, folder, docs: DataFrame) -> DataFrame:
+    vocabulary, table_ = _vectors(spark, folder, docs)
+    ids = features.template_token_ids(docs, vocabulary)
     return features.summed_embedding(ids, table_)
 
 
 @query
 def f6_summed_embedding(spark, folder):
-    made = _template_vectors(spark, folder)
+    made = _template_vectors(spark, folder, doc_templates(spark, folder))
     return made.select("template", F.posexplode("vec").alias("dim", "value")).select("template", "dim", rounded("value"))
 
 
 @query
 def f7_weighted_embedding(spark, folder):
-    vocabulary, table_ = _vectors(spark, folder)
-    docs = log_docs(spark, folder)
+    docs = doc_templates(spark, folder)
+    vocabulary, table_ = _vectors(spark, folder, docs)
     made = features.weighted_embedding(features.tfidf(docs, docs, vocabulary), table_)
     return made.select("template", F.posexplode("vec").alias("dim", "value")).select("template", "dim", rounded("value"))
 
 
 @query
 def f8_mean_pooled(spark, folder):
-    lines = sessions.with_positions(_doc_lines(spark, folder))
-    coded = features.attach_template_features(lines.withColumn("template_id", F.lit(1)), vocab.stored(_template_vectors(spark, folder)))
+    docs = doc_templates(spark, folder)
+    lines = sessions.with_positions(_doc_lines(docs)).withColumn("template_id", F.lit(1))
+    coded = features.attach_template_features(lines, vocab.stored(_template_vectors(spark, folder, docs)))
     zeros = F.array_repeat(F.lit(0.0), VECTOR_DIM)
     made = windows.sliding_windows(coded.withColumn("vec", F.coalesce("vec", zeros)), 4, 4, carry={"vec": zeros})
     pooled = features.mean_pooled(made, "vec", VECTOR_DIM)
