@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import posixpath
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,17 +15,12 @@ BROADCAST_BYTES = 128 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by ``spark.checkpoint.dir``; make one only on a local master."""
+    """Use the shared folder named by ``spark.checkpoint.dir``; else one below the warehouse, which is shared too."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="logweave-ckpt-"))
-    else:
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    sc.setCheckpointDir(shared or posixpath.join(spark.conf.get("spark.sql.warehouse.dir"), "_checkpoints"))
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -35,15 +29,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return posixpath.join(spark.sparkContext.getCheckpointDir(), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as a table in the checkpoint folder and continue from the stored copy.
 
     The plan runs once, later steps read only the columns they need, and Spark knows the size
     of the stored table, so it broadcasts it by itself where that fits its threshold.
     """
     path = scratch_path(df.sparkSession, "table")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", compression).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.stored_path = path
+    return stored
+
+
+def discard(*stored: DataFrame) -> None:
+    """Delete tables made by ``materialize`` that no later step reads."""
+    for df in stored:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.stored_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:

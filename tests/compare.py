@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 import time
 from collections import Counter
 from pathlib import Path
@@ -14,7 +15,7 @@ import duckdb
 
 ROOT = Path(__file__).resolve().parent.parent
 DATA = Path("/root/testdata")
-KINDS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR"}
+KINDS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
 def connect(folder: Path) -> duckdb.DuckDBPyConnection:
@@ -49,7 +50,8 @@ def main() -> None:
     folder, names = DATA / sys.argv[1], sys.argv[2:]
     spark = (
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
-        .config("spark.driver.memory", "8g").config("spark.ui.enabled", "false").getOrCreate()
+        .config("spark.driver.memory", "8g").config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="compare-")).getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")
     sql = contract.oracle_sql()
@@ -61,7 +63,7 @@ def main() -> None:
             result = query(spark, str(folder))
             found = difference(result, connect(folder), sql[name]) if name in sql else f"no SQL, {result.count()} rows"
         except Exception as error:  # report and go on with the next query
-            found = f"ERROR {str(error)[:400]}"
+            found = f"ERROR {str(error)[:1500]}"
         print(f"{name:32s} {time.time() - start:6.2f}s {found or 'ok'}", flush=True)
 
 
