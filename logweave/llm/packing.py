@@ -28,7 +28,7 @@ SHARD_TOKENS = 2_000_000
 QUERY_TOKENS = 16
 K1, B = 1.2, 0.75
 # Words whose ids a worker remembers; beyond it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 
 
 class Encoder:
@@ -62,11 +62,12 @@ class Encoder:
         self.chunks: dict[str, bytes] = {}
 
     def _learn(self, chunks: list[str]) -> None:
-        """Ids of chunks between blanks that are new."""
+        """Ids of chunks between blanks, for the cache."""
         if len(self.chunks) + len(chunks) > CACHE_WORDS:
             self.chunks.clear()
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
+        chunks = [c for c in chunks if c not in self.chunks]
         parts = [self.cut(c) for c in chunks]
         new = list({w for p in parts for w in p if w not in self.words})
         if new:
@@ -88,9 +89,8 @@ class Encoder:
         try:
             data = b"".join(map(self.chunks.__getitem__, chunks))
         except KeyError:
-            self._learn([c for c in dict.fromkeys(chunks) if c not in self.chunks])
-            get = self.chunks.get
-            data = b"".join([get(c) for c in chunks])
+            self._learn(list(dict.fromkeys(chunks)))
+            data = b"".join(map(self.chunks.__getitem__, chunks))
         return np.frombuffer(data, np.uint32)
 
 

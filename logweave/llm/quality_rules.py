@@ -19,8 +19,8 @@ from logweave.llm.common import discard, store
 # Bound of the learning step: labelled texts; a larger table is sampled by a hash down to about so many.
 LABELLED_ROWS = 100_000
 MAX_RULES, MAX_CONDITIONS, BINS = 8, 3, 24
-# A rule has to be right this often, and on so many texts at least, on the texts it was not grown on.
-LEAST_PRECISION, LEAST_COVER = 0.9, 5
+# A rule has to be right this often on the texts it was not grown on, and by Laplace's estimate still almost as often.
+LEAST_PRECISION, LEAST_SURE = 0.9, 0.75
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SYMBOLS = "#*$%&|<>"
@@ -119,19 +119,22 @@ def _holds(rule: Rule) -> Column:
     return out
 
 
-def _bins(rows: DataFrame, edges: dict[str, list[float]]) -> Column:
-    """``(feature, bin)`` of a row for every feature: how many edges lie below its value."""
+def _bin(value: Column, cut: list[float]) -> Column:
+    """How many edges lie below a value."""
+    return F.size(F.filter(F.array(*[F.lit(e) for e in cut]), lambda e: e < value))
+
+
+def _bins(edges: dict[str, list[float]]) -> Column:
+    """``(feature, bin)`` of a row for every feature."""
     return F.explode(F.array(*[
-        F.struct(F.lit(name).alias("feature"), F.size(F.filter(
-            F.array(*[F.lit(e) for e in cut]), lambda e, v=F.col(f"f_{name}"): e < v
-        )).alias("bin")) for name, cut in edges.items()
+        F.struct(F.lit(name).alias("feature"), _bin(F.col(f"f_{name}"), cut).alias("bin")) for name, cut in edges.items()
     ])).alias("at")
 
 
 def _best(rows: DataFrame, edges: dict[str, list[float]]) -> tuple[Condition | None, int, int]:
     """The condition with the largest gain on ``rows``, and how many bad and good rows it leaves."""
     table: dict[tuple[str, int], tuple[int, int]] = {}
-    counted = rows.select(_bins(rows, edges), "bad").groupBy("at.feature", "at.bin").agg(
+    counted = rows.select(_bins(edges), "bad").groupBy("at.feature", "at.bin").agg(
         F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("n"))
     for r in counted.collect():
         table[r["feature"], r["bin"]] = (r["bad"], r["n"] - r["bad"])
@@ -188,6 +191,7 @@ def learn(labelled: DataFrame, rows: int = LABELLED_ROWS) -> list[Rule]:
         rule = _pruned(rest.where("prune"), rule)
         if not rule:
             break
+        rule = _centred(rest, rule)
         rules.append(rule)
         rest = rest.where(~_holds(rule))
     discard(table)
@@ -205,11 +209,19 @@ def _pruned(rows: DataFrame, rule: Rule) -> Rule:
     best: tuple = (0.0, ())
     for k in range(len(rule)):
         bad, found = counted[f"bad{k}"] or 0, counted[f"all{k}"] or 0
-        if found >= LEAST_COVER and bad / found >= LEAST_PRECISION:
+        if found and bad / found >= LEAST_PRECISION and (bad + 1) / (found + 2) >= LEAST_SURE:
             best = max(best, ((2 * bad - found) / found * math.log1p(found), rule[: k + 1]), key=lambda x: x[0])
     return best[1]
 
 
+def _centred(rows: DataFrame, rule: Rule) -> Rule:
+    """The rule with every threshold moved half the way to the bad rows it covers, all of which it keeps."""
+    near = rows.where(_holds(rule) & (F.col("bad") == 1)).agg(*[
+        (F.min if c.above else F.max)(f"f_{c.feature}").alias(f"c{k}") for k, c in enumerate(rule)
+    ]).first()
+    return tuple(Condition(c.feature, c.above, (c.threshold + near[f"c{k}"]) / 2) for k, c in enumerate(rule))
+
+
 def rejected_by(rules: list[Rule]) -> Column:
     """The number, from 1, of the first rule that holds; null where none does."""
     out = None

@@ -26,8 +26,11 @@ LABELLED_ROWS = 200_000
 MAX_TERMS, MAX_PHRASES = 5_000, 2_000
 # Word beginnings that can become terms.
 PREFIXES = range(4, 9)
-# A term stands in at least so many toxic texts, and its log odds exceed this by two standard errors.
-LEAST_TOXIC, LEAST_ODDS = 5, 1.5
+# A term stands in at least so many toxic texts, its log odds exceed this by two standard errors, and the likelihood
+# ratio against chance allows so many accidental terms among all candidates.
+LEAST_TOXIC, LEAST_ODDS, ACCIDENTAL = 5, 1.5, 0.01
+# A word beginning has to stand in so many times as many toxic texts as any longer form of it.
+FAMILY = 1.5
 
 # Letters that look like Latin ones.
 HOMOGLYPHS = {
@@ -116,6 +119,12 @@ def _odds(p: int, n: int, toxic: int, clean: int) -> tuple[float, float]:
     return odds, math.sqrt(1 / (p + 0.5) + 1 / (n + 0.5))
 
 
+def _likelihood(p: int, n: int, toxic: int, clean: int) -> float:
+    """Log likelihood ratio of a term in ``p`` toxic and ``n`` clean texts against the share of toxic texts."""
+    share = toxic / (toxic + clean)
+    return p * math.log(p / ((p + n) * share)) + (n * math.log(n / ((p + n) * (1 - share))) if n else 0.0)
+
+
 def _terms_of(folded: str) -> set[str]:
     words = set(folded.split())
     return {f" {w} " for w in words if len(w) > 2} | {f" {w[:k]}" for w in words for k in PREFIXES if len(w) > k}
@@ -142,19 +151,26 @@ def _top(counts: DataFrame, least: int, most: int) -> dict[str, int]:
     return {r["term"]: r["n"] for r in rows}
 
 
+def _beginnings(term: str) -> list[str]:
+    """The shorter word beginnings of a term."""
+    return [term[: k + 1] for k in PREFIXES if k + 1 < len(term.rstrip())] + ([term[:-1]] if term[-1] == " " else [])
+
+
 def _select(candidates: dict[str, int], clean_counts: dict[str, int], toxic: int, clean: int) -> dict[str, float]:
-    rated = []
+    """The telling terms. A word beginning is one only where it unites a family of words: where far more toxic texts
+    have it than have any single longer form. Longer forms go where such a beginning is about as telling."""
+    sure = {}
     for term, p in candidates.items():
-        odds, error = _odds(p, clean_counts.get(term, 0), toxic, clean)
-        if odds - 2 * error > LEAST_ODDS:
-            rated.append((odds - 2 * error, term))
-    rated.sort(key=lambda x: (-x[0], x[1]))
-    chosen: dict[str, float] = {}
-    by_length = sorted(rated, key=lambda x: len(x[1].rstrip()))
-    for sure, term in by_length:
-        # A longer form adds nothing to a beginning that is about as telling.
-        if not any(chosen.get(term[: k + 1], -9.0) >= sure - 1.0 for k in PREFIXES if k + 1 < len(term)):
-            chosen[term] = sure
+        n = clean_counts.get(term, 0)
+        odds, error = _odds(p, n, toxic, clean)
+        if odds - 2 * error > LEAST_ODDS and _likelihood(p, n, toxic, clean) > math.log(len(candidates) / ACCIDENTAL):
+            sure[term] = odds - 2 * error
+    longer: dict[str, int] = {}
+    for term in candidates:
+        for head in _beginnings(term):
+            longer[head] = max(longer.get(head, 0), candidates[term])
+    kept = {t for t in sure if t[-1] == " " or candidates[t] >= FAMILY * longer.get(t, 0)}
+    chosen = {t: sure[t] for t in kept if not any(h in kept and sure[h] >= sure[t] - 1.0 for h in _beginnings(t))}
     return dict(sorted(chosen.items(), key=lambda x: (-x[1], x[0]))[:MAX_TERMS])
 
 
