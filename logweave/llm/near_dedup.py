@@ -124,7 +124,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     pairs = sorted_neighbours(forest.tree_keys(nodes), 1 + 2 * LEAST_DEPTH, forest.least_bits())
 
     def fetch(ids: DataFrame) -> DataFrame:
-        some = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
+        # The same plan at every size: the ids of all candidates are never broadcast.
+        some = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids.hint("shuffle_hash"), "id", "left_semi")
         return some.groupBy("id").agg(F.max("text").alias("text")) if repeated else some
 
     classes, _ = confirmed_classes(pairs, fetch, forest.similar)
