@@ -6,12 +6,14 @@ from collections.abc import Callable, Iterable
 
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import PCA, HashingTF, NGram, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logweave.operators.features import count_features
+from logweave.functions.columns import hash_order, hash_prefix
+from logweave.operators.features import count_features, sparse_vector
+from logweave.operators.ordering import running
 from logweave.runtime import BROADCAST_ROWS, broadcast_if_small, is_small, materialize
 
 # Fixed value: widths of the local patterns used for supervised classification.
@@ -97,17 +99,36 @@ def score_next_event(
 # ---- supervised classification --------------------------------------------------------------
 
 
-def pattern_features(windows: DataFrame, buckets: int = 1 << 12, output: str = "features") -> DataFrame:
-    """Which short event patterns occur in a window: hashed, binary, one block per width."""
-    words = windows.withColumn("_words", F.transform("ids", lambda x: x.cast("string")))
-    stages, blocks = [], []
-    for n in PATTERN_WIDTHS:
-        stages.append(NGram(n=n, inputCol="_words", outputCol=f"_grams{n}"))
-        stages.append(HashingTF(numFeatures=buckets, binary=True, inputCol=f"_grams{n}", outputCol=f"_block{n}"))
-        blocks.append(f"_block{n}")
-    stages.append(VectorAssembler(inputCols=blocks, outputCol=output))
-    made = PipelineModel(stages).transform(words)
-    return made.drop("_words", *[f"_grams{n}" for n in PATTERN_WIDTHS], *blocks)
+def window_patterns(windows: DataFrame) -> DataFrame:
+    """``session_id, window_idx, pattern``: the distinct runs of ``PATTERN_WIDTHS`` ids in each window, as text."""
+    words = F.transform("ids", lambda x: x.cast("string"))
+    runs = [
+        F.when(F.size("ids") >= n, F.transform(
+            F.sequence(F.lit(1), F.size("ids") - (n - 1)), _run(words, n)
+        )).otherwise(F.array().cast("array<string>"))
+        for n in PATTERN_WIDTHS
+    ]
+    return windows.select("session_id", "window_idx", F.explode(F.array_distinct(F.concat(*runs))).alias("pattern"))
+
+
+def _run(words: Column, n: int) -> Callable[[Column], Column]:
+    return lambda i: F.array_join(F.slice(words, i, n), " ")
+
+
+def fit_patterns(windows: DataFrame, seed: int = 42) -> DataFrame:
+    """``pattern, pattern_id``: every pattern of the training windows, numbered from 0 in a hashed order."""
+    found = window_patterns(windows).select("pattern").distinct().withColumn("_h", hash_order(seed, F.col("pattern")))
+    ranked = running(materialize(found), [], ["_h", "pattern"], {"_rn": ("row_number", None)}, split_on=hash_prefix(F.col("_h")))
+    return ranked.select("pattern", (F.col("_rn") - 1).cast("int").alias("pattern_id"))
+
+
+def pattern_features(windows: DataFrame, patterns: DataFrame, size: int, output: str = "features") -> DataFrame:
+    """Which of the ``size`` fitted ``patterns`` occur in a window, as a sparse binary vector; others are left out."""
+    known = window_patterns(windows).join(broadcast_if_small(patterns), "pattern")
+    found = known.groupBy("session_id", "window_idx").agg(F.sort_array(F.collect_list("pattern_id")).alias("_found"))
+    joined = windows.join(found, ["session_id", "window_idx"], "left")
+    ids = F.coalesce("_found", F.array().cast("array<int>"))
+    return joined.withColumn(output, sparse_vector(ids, F.transform(ids, lambda _: F.lit(1.0)), size)).drop("_found")
 
 
 def fit_classifier(
@@ -151,13 +172,14 @@ def fit_reconstruction(windows: DataFrame, vocab_size: int, components: int = 3)
 
 
 def score_reconstruction(model: PipelineModel, windows: DataFrame, vocab_size: int) -> DataFrame:
-    """Add ``score``: mean squared part of the counts outside the main directions."""
+    """Add ``score``: mean squared part of the counts outside the main directions, and ``total``: that of all centred counts."""
     made = model.transform(count_features(windows, vocab_size, "_counts"))
     def square_sum(column: str) -> Column:
         return F.aggregate(vector_to_array(column), F.lit(0.0), lambda acc, x: acc + x * x)
     # The directions are orthonormal, so the residual is the difference of the squared lengths.
     residual = F.greatest(square_sum("_centred") - square_sum("_projected"), F.lit(0.0))
-    return made.withColumn("score", residual / (vocab_size - 1)).drop("_counts", "_centred", "_projected")
+    return made.withColumn("score", residual / (vocab_size - 1)).withColumn(
+        "total", square_sum("_centred") / (vocab_size - 1)).drop("_counts", "_centred", "_projected")
 
 
 # ---- models on disk, choice of a model ------------------------------------------------------

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logweave.operators.ordering import PART_ROWS, running
+from logweave.runtime import materialize
+
 # Half-width, as a share of all rows, of the bracket in which a percentile is looked up exactly,
 # and the accuracy of the approximate percentiles that set it.
 BRACKET = 1e-4
@@ -40,7 +43,7 @@ def max_rollup(windows: DataFrame, score: str = "score") -> DataFrame:
     )
 
 
-def percentile(scores: DataFrame, p: float, score: str = "score") -> DataFrame:
+def percentile(scores: DataFrame, p: float, score: str = "score", part_rows: int = PART_ROWS) -> DataFrame:
     """One row ``threshold``: exact percentile with linear interpolation, ``p`` in [0, 1].
 
     Approximate percentiles bracket the two neighbouring order statistics; only the distinct
@@ -60,8 +63,9 @@ def percentile(scores: DataFrame, p: float, score: str = "score") -> DataFrame:
         scores.where(F.col(score).between(bounds["lo"], bounds["hi"]))
         .groupBy(F.col(score).alias("_s")).agg(F.count(F.lit(1)).alias("_c"))
     )
-    upto = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = inside.withColumn("_upto", F.sum("_c").over(upto) + below)
+    # Ranked in ranges where the bracket is long, so no task orders more than a fixed number of scores.
+    ranked = running(materialize(inside), [], ["_s"], {"_upto": ("sum", "_c")}, part_rows=part_rows).withColumn(
+        "_upto", F.col("_upto") + below)
     at = (bounds["n"] - 1) * F.lit(float(p))
     # The order statistic at 0-based rank r is the smallest score with more than r scores up to it.
     picked = ranked.agg(

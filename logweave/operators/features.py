@@ -5,63 +5,76 @@ Token work is done once per distinct template; windows receive it by lookup.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logweave.operators.vocab import PAD_ID, distinct_templates, encode_tokens, template_tokens
 from logweave.runtime import broadcast_if_small, materialize
 
-# Fixed value: default number of tokens kept per template.
-MAX_TOKEN_LEN = 50
-
 
 def sequential(windows: DataFrame) -> DataFrame:
     """Template ids of each window, as the feature column."""
     return windows.withColumn("features", F.col("ids"))
 
 
-def count_vector(ids: Column, vocab_size: int) -> Column:
-    """Occurrences of the ids 1 .. vocab_size-1 (the padding id 0 has no place)."""
-    return F.transform(
-        F.sequence(F.lit(1), F.lit(vocab_size - 1)), lambda k: F.size(F.filter(ids, lambda x: x == k))
-    )
+def id_counts(ids: Column) -> Column:
+    """``map(id, occurrences)`` of a window's ids: as long as the window, whatever the vocabulary."""
+    return F.map_from_entries(F.transform(
+        F.array_distinct(ids), lambda k: F.struct(k.alias("id"), F.size(F.filter(ids, lambda x: x == k)).alias("n"))
+    ))
+
 
+def quantitative(windows: DataFrame, vocab_size: int, dense: bool = True) -> DataFrame:
+    """Template counts per window: places 1 .. vocab_size-1 (the padding id 0 has none), or a map with ``dense=False``.
 
-def quantitative(windows: DataFrame, vocab_size: int) -> DataFrame:
-    """Dense template counts per window."""
-    return windows.withColumn("features", count_vector(F.col("ids"), vocab_size))
+    The counts are made from the few ids of the window; only the dense form is as long as the vocabulary.
+    """
+    counted = windows.withColumn("features", id_counts(F.col("ids")))
+    if not dense:
+        return counted
+    places = F.sequence(F.lit(1), F.lit(vocab_size - 1))
+    return counted.withColumn("features", F.transform(places, lambda k: F.coalesce(F.try_element_at("features", k), F.lit(0))))
 
 
-def count_features(windows: DataFrame, vocab_size: int, output: str = "features") -> DataFrame:
-    """The same counts as a sparse ml vector: its size in a row is that of the window, not of the vocabulary."""
-    words = windows.withColumn("_words", F.transform("ids", lambda x: x.cast("string")))
-    counter = CountVectorizerModel.from_vocabulary(
-        [str(i) for i in range(1, vocab_size)], inputCol="_words", outputCol=output
+_VECTOR = T.StructType([T.StructField("v", VectorUDT())])
+
+
+def sparse_vector(indices: Column, values: Column, size: int) -> Column:
+    """A sparse ml vector from ascending ``indices`` (array of int) and ``values``, made inside the JVM."""
+    parts = F.struct(
+        F.lit(0).alias("type"), F.lit(size).alias("size"), indices.alias("indices"), values.cast("array<double>").alias("values")
     )
-    return counter.transform(words).drop("_words")
+    return F.from_json(F.to_json(F.struct(parts.alias("v"))), _VECTOR)["v"]
 
 
-def template_token_ids(
-    templates: DataFrame, vocabulary: DataFrame, max_token_len: int = MAX_TOKEN_LEN
-) -> DataFrame:
-    """``template, token_ids``: token ids cut or filled with 0 to ``max_token_len``."""
+def count_features(windows: DataFrame, vocab_size: int, output: str = "features") -> DataFrame:
+    """The same counts as a sparse ml vector: its size in a row is that of the window, and no task or driver holds
+    the vocabulary."""
+    found = F.filter(F.sort_array(F.array_distinct("ids")), lambda k: (k > 0) & (k < vocab_size))
+    ids = F.col("ids")
+    values = F.transform(found, lambda k: F.size(F.filter(ids, lambda x: x == k)))
+    return windows.withColumn(output, sparse_vector(F.transform(found, lambda k: k - 1), values, vocab_size - 1))
+
+
+def template_token_ids(templates: DataFrame, vocabulary: DataFrame, max_token_len: int | None = None) -> DataFrame:
+    """``template, token_ids``: all token ids; cut or filled with 0 to ``max_token_len`` when that is given."""
     distinct = distinct_templates(templates)
-    words = template_tokens(distinct).where(F.col("token_pos") <= max_token_len)
+    words = template_tokens(distinct)
+    if max_token_len is not None:
+        words = words.where(F.col("token_pos") <= max_token_len)
     ids = (
         encode_tokens(words, vocabulary).groupBy("template")
         .agg(F.sort_array(F.collect_list(F.struct("token_pos", "token_id")))["token_id"].alias("_ids"))
     )
-    filled = F.slice(
-        F.concat(F.coalesce("_ids", F.array().cast("array<int>")), F.array_repeat(F.lit(PAD_ID), max_token_len)),
-        1, max_token_len,
-    )
     # Templates without a single token are in no row of the token table.
-    return distinct.join(ids, "template", "left").select(
-        "template", filled.alias("token_ids")
-    )
+    known = F.coalesce("_ids", F.array().cast("array<int>"))
+    if max_token_len is not None:
+        known = F.slice(F.concat(known, F.array_repeat(F.lit(PAD_ID), max_token_len)), 1, max_token_len)
+    return distinct.join(ids, "template", "left").select("template", known.alias("token_ids"))
 
 
 def attach_template_features(lines: DataFrame, features: DataFrame) -> DataFrame:
@@ -119,11 +132,18 @@ def dense_tfidf(weights: DataFrame, vocab_size: int) -> DataFrame:
     ).alias("features"))
 
 
-def summed_embedding(token_ids: DataFrame, vectors: DataFrame) -> DataFrame:
-    """``template, vec``: sum of the vectors of all its token ids, padding included."""
-    tokens = token_ids.select("template", F.explode("token_ids").alias("token_id"))
-    times = tokens.groupBy("template", "token_id").agg(F.count(F.lit(1)).cast("double").alias("times"))
-    return _weighted_sum(times, vectors, "times")
+def summed_embedding(templates: DataFrame, vocabulary: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``template, vec``: sum of the vectors of all tokens of a template; unknown ones count as such.
+
+    Tokens are counted per template first. A template without tokens gets the padding vector.
+    """
+    distinct = distinct_templates(templates)
+    words = template_tokens(distinct).groupBy("template", "token").agg(F.count(F.lit(1)).cast("double").alias("times"))
+    known = encode_tokens(words, vocabulary).select("template", "token_id", "times")
+    every = distinct.join(known, "template", "left").select(
+        "template", F.coalesce("token_id", F.lit(PAD_ID)).alias("token_id"), F.coalesce("times", F.lit(1.0)).alias("times")
+    )
+    return _weighted_sum(every, vectors, "times")
 
 
 def weighted_embedding(weights: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -137,9 +157,19 @@ def _weighted_sum(weights: DataFrame, vectors: DataFrame, weight: str) -> DataFr
     return joined.groupBy("template").agg(vector_to_array(Summarizer.sum(F.col("_v"), F.col(weight))).alias("vec"))
 
 
-def mean_pooled(windows: DataFrame, vectors_col: str, dim: int, output: str = "features") -> DataFrame:
-    """Average of the line vectors of each window; filler vectors of zeros count as lines."""
-    def mean_at(d: Column) -> Column:
-        total = F.aggregate(vectors_col, F.lit(0.0), lambda acc, v: acc + F.element_at(v, d))
-        return total / F.size(vectors_col)
-    return windows.withColumn(output, F.transform(F.sequence(F.lit(1), F.lit(dim)), mean_at))
+def mean_pooled(
+    windows: DataFrame, vectors: DataFrame, size: int, dim: int, pad_id: int, key: str = "template_id", output: str = "features"
+) -> DataFrame:
+    """Average of the line vectors of each window (``session_id, window_idx, ids``) of ``size`` lines.
+
+    ``vectors`` is ``key, vec``. Lines without a vector, and the filler ``pad_id`` behind the window's ``length`` lines, count as zeros. Ids are
+    counted per window before they meet the vectors, so a window never holds copies of vectors.
+    """
+    real = F.slice("ids", F.lit(1), F.col("length"))
+    counts = windows.select("session_id", "window_idx", F.explode(id_counts(real)).alias("_id", "_n"))
+    table = broadcast_if_small(vectors.select(F.col(key).alias("_id"), array_to_vector("vec").alias("_v")))
+    summed = counts.join(table, "_id").groupBy("session_id", "window_idx").agg(
+        vector_to_array(Summarizer.sum(F.col("_v"), F.col("_n").cast("double"))).alias("_sum")
+    )
+    mean = F.transform(F.coalesce("_sum", F.array_repeat(F.lit(0.0), dim)), lambda x: x / size)
+    return windows.join(summed, ["session_id", "window_idx"], "left").withColumn(output, mean).drop("_sum")

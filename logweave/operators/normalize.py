@@ -39,10 +39,12 @@ def line_labels_from_entities(
     lines: DataFrame,
     labels: DataFrame,
     pattern: str = ENTITY_PATTERN,
-    on_missing: str = "zero",
+    on_missing: str = "error",
 ) -> DataFrame:
     """Set ``label`` to 1 on lines that name at least one anomalous entity, else 0.
 
+    Entities without a label are refused unless ``on_missing`` is ``zero``.
+
     Only (line, entity) pairs meet the labels, and only the anomalous ones; the
     lines themselves are not multiplied.
     """
@@ -63,8 +65,10 @@ def line_labels_from_entities(
 def label_sessions(sessions: DataFrame, labels: DataFrame, on_missing: str = "error") -> DataFrame:
     """Attach the entity's label to its session (one row per session).
 
-    ``on_missing='error'`` counts unlabelled sessions first and refuses them.
+    ``on_missing='error'`` counts unlabelled sessions first and refuses them. An entity that is listed
+    more than once is anomalous when any of its rows says so.
     """
+    labels = labels.groupBy("entity_id").agg(F.max("label").alias("label"))
     keyed = labels.withColumnRenamed("entity_id", "session_id")
     _require_labels(sessions.withColumnRenamed("session_id", "entity_id"), labels, on_missing)
     if on_missing == "error":
@@ -77,7 +81,7 @@ CANONICAL: Sequence[str] = ("line_id", "ts", "content", "template", "label")
 
 
 def normalize(
-    raw: DataFrame, family: str, labels: DataFrame | None = None, on_missing: str = "zero"
+    raw: DataFrame, family: str, labels: DataFrame | None = None, on_missing: str = "error"
 ) -> DataFrame:
     """Raw structured log to ``line_id, ts, content, template, label``.
 

@@ -1,8 +1,9 @@
 """Running values over an order, computed in parallel even when one group is huge.
 
 A plain window puts each group in one task. Here the groups are counted first. A group with
-too many rows is cut into ranges of the order; every range is processed by its own
-task, and the totals of the earlier ranges (one short row per range) are added
+too many rows is cut into ranges at approximate quantiles of the order, and ranges that are
+still too long are cut again, so outliers and uneven densities do not matter. Every range is
+processed by its own task, and the totals of the earlier ranges (one short row per range) are added
 afterwards. The rows are shuffled once, as for a plain window, and without an
 oversized group the plan is a plain window.
 """
@@ -14,15 +15,16 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweave.runtime import materialize
+from logweave.runtime import broadcast_if_small, materialize
 
 # Rows of one group a single task may sort.
 PART_ROWS = 1_000_000
-# Upper bound on the number of groups that are cut: only groups that hold more
-# than this fraction of all rows qualify, so the list of them is always short.
-MAX_HOT_GROUPS = 10_000
-# Ranges are cut finer than needed to absorb uneven density of the order column.
-OVERSPLIT = 8
+# Cut points of a group in one round, and the size of the sketch they are taken from. A round makes ranges
+# about CUTS times shorter; each is one pass that adds up one sketch per group that is still too long.
+CUTS = 255
+ACCURACY = 4096
+# Rounds of cutting: a range number has to fit into 64 bits.
+ROUNDS = 7
 
 PART = "_part"
 
@@ -69,15 +71,18 @@ class Ranges:
                 raise ValueError(f"unknown running value {kind!r}")
         df = self._df
         if self._cut:
-            # One row per range of a cut group: at most 2 * OVERSPLIT * MAX_HOT_GROUPS rows.
+            # One row per range of a cut group.
             earlier = Window.partitionBy(*self._keys, F.lit(0)).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
             per_range = df.where(F.col(PART) >= 0).groupBy(*group).agg(
                 *[total.alias(f"_t_{name}") for name, (total, _) in totals.items()]
             )
             carry = per_range.select(
-                *group, *[merge(f"_t_{name}").over(earlier).alias(f"_c_{name}") for name, (_, merge) in totals.items()]
+                *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], *[merge(f"_t_{name}").over(earlier).alias(f"_c_{name}") for name, (_, merge) in totals.items()]
             )
-            df = df.join(F.broadcast(carry), group, "left")
+            match = F.lit(True)
+            for i, g in enumerate(group):
+                match = match & df[g].eqNullSafe(F.col(f"_g{i}"))
+            df = df.join(broadcast_if_small(materialize(carry)), match, "left")
             for name, (kind, _) in values.items():
                 if kind in ("row_number", "sum"):
                     local[name] = local[name] + F.coalesce(F.col(f"_c_{name}"), F.lit(0))
@@ -90,9 +95,38 @@ class Ranges:
         return self._df.drop(PART)
 
 
-def _width(n: Column, lo: Column, hi: Column, cap: int) -> Column:
-    pieces = F.ceil(n / cap) * OVERSPLIT
-    return F.greatest(F.ceil((hi - lo + 1) / pieces), F.lit(1)).cast("long")
+def _cut(df: DataFrame, keys: list[str], key: Column, part_rows: int) -> DataFrame | None:
+    """One round: groups of ``keys`` and ``PART`` with too many rows get finer ranges; None if there are none.
+
+    A group of a single order value cannot be cut and stays whole.
+    """
+    group = [*keys, PART]
+    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_lo"), F.max(key).alias("_hi"))
+    long_ones = materialize(sizes.where((F.col("_n") > part_rows) & (F.col("_lo") < F.col("_hi"))).select(*group))
+    if long_ones.isEmpty():
+        return None
+    names = [f"_h{i}" for i in range(len(group))]
+
+    def of(other: DataFrame, frame: DataFrame) -> Column:
+        match = F.lit(True)
+        for name, g in zip(names, group):
+            match = match & frame[g].eqNullSafe(other[name])
+        return match
+
+    wanted = broadcast_if_small(long_ones.toDF(*names))
+    shares = [k / (CUTS + 1) for k in range(1, CUTS + 1)]
+    cuts = materialize(
+        df.join(wanted, of(wanted, df), "left_semi").groupBy(*group)
+        .agg(F.array_distinct(F.percentile_approx(key, shares, ACCURACY)).alias("_cuts")).toDF(*names, "_cuts")
+    )
+    found = broadcast_if_small(cuts)
+    # Below, at or above a cut point are ranges of their own, so a value that fills many quantiles stands alone.
+    place = F.coalesce(F.size(F.filter("_cuts", lambda c: c < key)) + F.size(F.filter("_cuts", lambda c: c <= key)), F.lit(0))
+    # Ranges of groups that are cut in a later round only keep their order: every number moves on.
+    moved = F.when((F.col(PART) < 0) & F.col("_cuts").isNull(), F.col(PART)).otherwise(
+        F.greatest(F.col(PART), F.lit(0)) * (2 * CUTS + 1) + place
+    )
+    return df.join(found, of(found, df), "left").withColumn(PART, moved.cast("long")).drop(*names, "_cuts")
 
 
 def split_ranges(
@@ -104,26 +138,26 @@ def split_ranges(
 ) -> Ranges:
     """Find the groups of ``keys`` with more rows than a task should sort, and cut them.
 
-    ``split_on`` (default: the first order column) is an integer that never decreases
-    along the order. Group sizes are counted first; only the total and the largest
+    ``split_on`` (default: the first order column) is a number that never decreases
+    along the order; rows without it come first. Group sizes are counted first; only the total and the largest
     one come to the driver. Without keys the whole table is one group.
     """
     first = order[0] if split_on is None else split_on
-    key = (F.col(first) if isinstance(first, str) else first).cast("long")
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_lo"), F.max(key).alias("_hi"))
+    key = F.col(first) if isinstance(first, str) else first
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total, largest = sizes.agg(F.sum("_n"), F.max("_n")).first()
     total = total or 0
-    cap = max(part_rows, -(-total // MAX_HOT_GROUPS))
-    if (largest or 0) <= cap:
-        return Ranges(df.withColumn(PART, F.lit(-1)), keys, order, False, total)
-    # At most MAX_HOT_GROUPS rows, because each one exceeds total / MAX_HOT_GROUPS.
-    hot = sizes.where(F.col("_n") > cap).select(*keys, "_lo", _width(F.col("_n"), F.col("_lo"), F.col("_hi"), cap).alias("_w"))
-    if keys:
-        joined = df.join(F.broadcast(materialize(hot)), list(keys), "left")
-        part = F.coalesce(F.floor((key - F.col("_lo")) / F.col("_w")), F.lit(-1))
-        return Ranges(joined.withColumn(PART, part.cast("int")).drop("_lo", "_w"), keys, order, True, total)
-    lo, width = hot.first()
-    return Ranges(df.withColumn(PART, F.floor((key - lo) / width).cast("int")), keys, order, True, total)
+    df = df.withColumn(PART, F.lit(-1).cast("long"))
+    if (largest or 0) <= part_rows:
+        return Ranges(df, keys, order, False, total)
+    # Read several times from here on.
+    df = materialize(df)
+    for _ in range(ROUNDS):
+        finer = _cut(df, list(keys), key, part_rows)
+        if finer is None:
+            break
+        df = finer
+    return Ranges(df, keys, order, True, total)
 
 
 def running(

@@ -56,6 +56,16 @@ def session_rollup(lines: DataFrame) -> DataFrame:
     )
 
 
+# One column for all keys: a struct is never null itself, so rows with null keys are a group like any other.
+KEY = "_key"
+
+
+def _keyed(lines: DataFrame, partition_cols: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    if not partition_cols:
+        return lines, []
+    return lines.withColumn(KEY, F.struct(*partition_cols)), [KEY]
+
+
 # ---- gap + fixed chunk sessions -------------------------------------------------------------
 
 
@@ -71,13 +81,14 @@ def gap_chunk_sessions(
     and cut each group into chunks of ``interval`` seconds. Ids count from 1.
 
     The id depends on the second alone, so it is worked out on the distinct
-    seconds and joined back to the lines.
+    seconds and joined back to the lines. A line without a time gets no session (null);
+    lines whose keys are null form a group of their own.
     """
     if interval <= 0:
         raise ValueError("interval must be positive")
-    keys = list(partition_cols)
-    timed = lines.withColumn("_sec", F.floor(F.unix_micros(ts) / 1_000_000))
-    seconds = timed.select(*keys, "_sec").distinct()
+    keyed, keys = _keyed(lines, partition_cols)
+    timed = keyed.withColumn("_sec", F.floor(F.unix_micros(ts) / 1_000_000))
+    seconds = timed.where("_sec is not null").select(*keys, "_sec").distinct()
     gaps = split_ranges(materialize(seconds), keys, ["_sec"], part_rows=part_rows).add({"_prev": ("prior_max", "_sec")})
     opened = gaps.with_column(
         "_open", F.when(F.col("_prev").isNull() | (F.col("_sec") - F.col("_prev") > interval), F.col("_sec"))
@@ -90,7 +101,7 @@ def gap_chunk_sessions(
     firsts = chunks.groupBy(*keys, "_start", "_chunk").agg(F.min("_sec").alias("_first"))
     ids = running(firsts, keys, ["_first"], {output: ("row_number", None)}, part_rows=part_rows)
     by_second = chunks.join(ids.drop("_first"), [*keys, "_start", "_chunk"]).select(*keys, "_sec", output)
-    return timed.join(broadcast_if_small(materialize(by_second)), [*keys, "_sec"]).drop("_sec")
+    return timed.join(broadcast_if_small(materialize(by_second)), [*keys, "_sec"], "left").drop("_sec", KEY)
 
 
 # ---- anchored time sessions -----------------------------------------------------------------
@@ -177,10 +188,13 @@ def anchored_sessions(
     maxima: a step of more than the range always opens a session, which cuts them into
     independent stretches. A stretch is walked by one task; longer ones
     than ``fold_seconds`` go through pointer doubling.
+
+    A line without a second belongs to the session that is open; before the first second there is
+    none (null). Lines whose keys are null form a group of their own.
     """
-    keys = list(partition_cols)
-    topped = running(lines, keys, [order], {"m": ("max", sec)}, part_rows=part_rows)
-    maxima = materialize(topped.select(*keys, "m").distinct())
+    keyed, keys = _keyed(lines, partition_cols)
+    topped = materialize(running(keyed, keys, [order], {"m": ("max", sec)}, part_rows=part_rows))
+    maxima = materialize(topped.where("m is not null").select(*keys, "m").distinct())
     steps = split_ranges(maxima, keys, ["m"], part_rows=part_rows).add({"_prev": ("prior_max", "m")})
     opened = steps.with_column(
         "_open", F.when(F.col("_prev").isNull() | (F.col("m") - F.col("_prev") > range_seconds), F.col("m"))
@@ -203,4 +217,4 @@ def anchored_sessions(
         doubled = _double(materialize(stretches.join(long_ones, stretch, "left_semi")), stretch, range_seconds, part_rows)
         anchors = anchors.unionByName(doubled)
     by_maximum = materialize(anchors.select(*keys, "m", F.col("anchor").alias("session_id")))
-    return topped.join(broadcast_if_small(by_maximum), [*keys, "m"]).drop("m")
+    return topped.join(broadcast_if_small(by_maximum), [*keys, "m"], "left").drop("m", KEY)

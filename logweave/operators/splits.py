@@ -80,7 +80,9 @@ def split_lines(
 
 
 def split_report(split: DataFrame) -> DataFrame:
-    """Units and the percentage of anomalous ones per split; no row for an empty split."""
-    return split.groupBy("split").agg(
+    """Units and the percentage of anomalous ones of both parts; an empty part has 0 units and a null percentage."""
+    counted = split.groupBy("split").agg(
         F.count(F.lit(1)).alias("n"), (100 * F.avg(F.col("label").cast("double"))).alias("anomaly_pct")
     )
+    parts = split.sparkSession.range(2).select(F.when(F.col("id") == 0, "train").otherwise("test").alias("split"))
+    return parts.join(counted, "split", "left").select("split", F.coalesce("n", F.lit(0)).alias("n"), "anomaly_pct")

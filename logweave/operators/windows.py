@@ -128,32 +128,21 @@ def _compat_tail(windows: DataFrame, lines: DataFrame, size: int) -> DataFrame:
     return windows.where("_full").unionByName(tails.withColumn("an_classes", changed).drop("_head"))
 
 
-# Lines of one session kept in a single row.
-PIECE_LINES = 65_536
+def session_windows(lines: DataFrame) -> DataFrame:
+    """Each session as one window with the session's label, in long form whatever its length.
 
-
-def session_windows(lines: DataFrame, piece: int = PIECE_LINES) -> DataFrame:
-    """Each session as one window with the session's label.
-
-    The window of a very long session is delivered in ``piece`` rows of bounded size, in order.
+    One row per line: ``session_id, window_idx`` (0), ``pos, template, template_id, an_class`` (template id of an
+    anomalous line, else 0), and the window's ``length, window_label, anomaly``. Labels and lengths are joined as
+    one row per session, so no task holds a session.
     """
-    row = F.struct(
-        F.col("pos").cast("long").alias("pos"), "template",
-        F.col("template_id").cast("int").alias("template_id"), F.col("label").cast("int").alias("label"),
-    )
-    pieces = (
-        lines.select("session_id", F.floor(F.col("pos") / piece).alias("piece"), row.alias("_row"))
-        .groupBy("session_id", "piece")
-        .agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
+    labels = lines.groupBy("session_id").agg(
+        F.count(F.lit(1)).alias("length"), (F.max("label") > 0).cast("int").alias("anomaly")
     )
-    labels = lines.groupBy("session_id").agg((F.max("label") > 0).cast("int").alias("anomaly"))
-    joined = pieces.join(labels, "session_id")
-    rows = F.col("_rows")
+    joined = lines.join(labels.withColumnRenamed("session_id", "_session"), F.col("session_id").eqNullSafe(F.col("_session")))
     return joined.select(
-        "session_id", F.lit(0).cast("long").alias("window_idx"), "piece", F.size(rows).alias("length"),
-        rows["template"].alias("window"), rows["template_id"].alias("ids"),
-        F.col("anomaly").alias("window_label"), "anomaly",
-        F.transform(rows, lambda r: F.when(r["label"] > 0, r["template_id"]).otherwise(0)).alias("an_classes"),
+        "session_id", F.lit(0).cast("long").alias("window_idx"), F.col("pos").cast("long").alias("pos"), "template", "template_id",
+        F.when(F.col("label") > 0, F.col("template_id")).otherwise(0).cast("int").alias("an_class"),
+        "length", F.col("anomaly").alias("window_label"), "anomaly",
     )
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 import posixpath
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -191,14 +192,17 @@ def s6_word_vectors(spark, folder):
     return read.select("token", F.posexplode("vec").alias("dim", "value"))
 
 
+def _threshold_metrics(spark, folder, cut: float) -> DataFrame:
+    scores = value_scores(spark, folder)
+    cases = scores.select((F.col("score") > cut).cast("int").alias("pred"), F.col("anomaly").alias("truth"))
+    return evaluate.binary_metrics(cases).select(rounded("f1"), rounded("rc"), rounded("pc"))
+
+
 @query
 def s7_run_results(spark, folder):
     path = scratch(spark, "results")
-    metrics = evaluate.binary_metrics(
-        value_scores(spark, folder).select((F.col("score") > 20).cast("int").alias("pred"), F.col("anomaly").alias("truth"))
-    ).select(rounded("f1"), rounded("rc"), rounded("pc"))
-    for ratio in (0.1, 0.2):
-        datasets.append_results(metrics, {"dataset": "events", "test_ratio": ratio}, "threshold", path, 0.0, 0.0)
+    for cut in (20, 60):
+        datasets.append_results(_threshold_metrics(spark, folder, cut), {"cut": cut, "dataset": "events"}, "threshold", path, 0.0, 0.0)
     read = spark.read.parquet(path)
     f1 = F.from_json("metrics", "f1 double, rc double, pc double")
     return read.select("run_id", "model", "params", f1["f1"].alias("f1"), f1["rc"].alias("rc"), f1["pc"].alias("pc"))
@@ -509,7 +513,7 @@ def w4_session_windows(spark, folder):
     lines = sessions.with_positions(user_log(spark, folder))
     vocabulary = vocab.stored(vocab.template_vocabulary(lines))
     made = windows.session_windows(vocab.encode_templates(lines, vocabulary))
-    return made.select("session_id", "window_idx", "piece", "length", joined("window"), "window_label", "anomaly", joined("an_classes"))
+    return made.select("session_id", "window_idx", "pos", "template", "template_id", "an_class", "length", "window_label", "anomaly")
 
 
 def _frames(spark, folder, **options) -> DataFrame:
@@ -584,9 +588,9 @@ def f3_window_token_ids(spark, folder):
     docs = doc_templates(spark, folder)
     lines = sessions.with_positions(_doc_lines(docs))
     vocabulary = vocab.stored(vocab.template_vocabulary(docs))
-    table_ = vocab.stored(features.template_token_ids(docs, doc_vocab(spark, folder, 2, docs), 4))
+    table_ = vocab.stored(features.template_token_ids(docs, doc_vocab(spark, folder, 2, docs)))
     coded = features.attach_template_features(vocab.encode_templates(lines, vocabulary), table_)
-    made = windows.sliding_windows(coded, 3, 2, carry={"token_ids": F.array_repeat(F.lit(0), 4)})
+    made = windows.sliding_windows(coded, 3, 2, carry={"token_ids": F.array().cast("array<int>")})
     return made.select("session_id", "window_idx", nested("token_ids"), "next_id")
 
 
@@ -618,8 +622,7 @@ def _vectors(spark, folder, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _template_vectors(spark, folder, docs: DataFrame) -> DataFrame:
     vocabulary, table_ = _vectors(spark, folder, docs)
-    ids = features.template_token_ids(docs, vocabulary)
-    return features.summed_embedding(ids, table_)
+    return features.summed_embedding(docs, vocabulary, table_)
 
 
 @query
@@ -639,11 +642,11 @@ def f7_weighted_embedding(spark, folder):
 @query
 def f8_mean_pooled(spark, folder):
     docs = doc_templates(spark, folder)
-    lines = sessions.with_positions(_doc_lines(docs)).withColumn("template_id", F.lit(1))
-    coded = features.attach_template_features(lines, vocab.stored(_template_vectors(spark, folder, docs)))
-    zeros = F.array_repeat(F.lit(0.0), VECTOR_DIM)
-    made = windows.sliding_windows(coded.withColumn("vec", F.coalesce("vec", zeros)), 4, 4, carry={"vec": zeros})
-    pooled = features.mean_pooled(made, "vec", VECTOR_DIM)
+    vocabulary = vocab.stored(vocab.template_vocabulary(docs))
+    vectors = vocab.stored(_template_vectors(spark, folder, docs).join(vocabulary, "template").select("template_id", "vec"))
+    lines = vocab.encode_templates(sessions.with_positions(_doc_lines(docs)), vocabulary)
+    made = materialize(windows.sliding_windows(lines, 4, 4))
+    pooled = features.mean_pooled(made, vectors, 4, VECTOR_DIM, vocab.OOV_ID)
     return pooled.select("session_id", "window_idx", F.posexplode("features").alias("dim", "value")).select(
         "session_id", "window_idx", "dim", rounded("value"))
 
@@ -668,30 +671,53 @@ def d1_supplier_model(spark, folder):
 
 @query
 def d2_window_classifier(spark, folder):
+    """The classifier's sparse input, and what its optimum implies: the mean probability on the training windows is
+    their share of anomalies."""
     data = dataset(spark, folder)
     size = data.vocab_size()
-    train = features.count_features(windows.sliding_windows(data.train, SIZE, STRIDE), size)
-    model = detect.fit_classifier(materialize(train.select("features", "anomaly")))
-    made = detect.score_classifier(model, features.count_features(windows.sliding_windows(data.test, SIZE, STRIDE), size))
-    return made.select("session_id", "window_idx", "anomaly", rounded("score"), "flag")
+    train = materialize(features.count_features(windows.sliding_windows(data.train, SIZE, STRIDE), size).select("features", "anomaly"))
+    model = detect.fit_classifier(train)
+    mean = detect.score_classifier(model, train).agg(F.round(F.avg("score"), 3)).scalar()
+    test = detect.score_classifier(model, features.count_features(windows.sliding_windows(data.test, SIZE, STRIDE), size))
+    vector = vector_to_array("features")
+    counts = F.filter(
+        F.transform(vector, lambda n, i: F.struct((i + 1).alias("template_id"), n.cast("int").alias("n"))), lambda c: c["n"] > 0
+    )
+    # Only windows whose probability lies between 0 and 1, which are all of them.
+    return test.where("score between 0 and 1").select("session_id", "window_idx", "anomaly", F.inline(counts)).withColumn(
+        "mean_train_score", mean)
 
 
 @query
 def d3_pattern_classifier(spark, folder):
+    """The fitted patterns that occur in each scored window."""
     data = dataset(spark, folder)
-    train = detect.pattern_features(windows.sliding_windows(data.train, SIZE, STRIDE))
-    model = detect.fit_classifier(materialize(train.select("features", "anomaly")))
-    made = detect.score_classifier(model, detect.pattern_features(windows.sliding_windows(data.test, SIZE, STRIDE)))
-    return made.select("session_id", "window_idx", "anomaly", rounded("score"), "flag")
+    train = materialize(windows.sliding_windows(data.train, SIZE, STRIDE))
+    patterns = materialize(detect.fit_patterns(train))
+    size = patterns.count()
+    model = detect.fit_classifier(materialize(detect.pattern_features(train, patterns, size).select("features", "anomaly")))
+    made = detect.score_classifier(model, detect.pattern_features(windows.sliding_windows(data.test, SIZE, STRIDE), patterns, size))
+    found = F.transform(F.filter(F.transform(vector_to_array("features"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
+                                 lambda p: p["x"] > 0), lambda p: p["i"])
+    return made.where("score between 0 and 1").select("session_id", "window_idx", "anomaly", F.explode(found).alias("pattern_id"))
 
 
 @query
 def d4_reconstruction_error(spark, folder):
+    """Mean squared centred counts of the scored windows (the error without directions), and the error with all
+    directions, which is 0; with three directions it lies between them."""
     data = dataset(spark, folder)
     size = data.vocab_size()
-    model = detect.fit_reconstruction(windows.sliding_windows(data.train, SIZE, STRIDE), size)
-    made = detect.score_reconstruction(model, windows.sliding_windows(data.test, SIZE, STRIDE), size)
-    return made.select("session_id", "window_idx", "anomaly", rounded("score"))
+    train = materialize(windows.sliding_windows(data.train, SIZE, STRIDE))
+    test = materialize(windows.sliding_windows(data.test, SIZE, STRIDE))
+    key = ["session_id", "window_idx"]
+    made = detect.score_reconstruction(detect.fit_reconstruction(train, size), test, size)
+    full = detect.score_reconstruction(detect.fit_reconstruction(train, size, size - 1), test, size)
+    both = made.join(full.select(*key, F.col("score").alias("full")), key)
+    return both.select(
+        *key, "anomaly", rounded("total"), F.abs(F.round("full", 6)).alias("rest"),
+        F.col("score").between(F.col("full") - 1e-9, F.col("total") + 1e-9).cast("int").alias("between"),
+    )
 
 
 @query
@@ -834,13 +860,87 @@ def a4_next_event_detection(spark, folder):
     return made.select("k", *[rounded(c) for c in ("f1", "rc", "pc", "acc")])
 
 
+def _session_counts(metrics: DataFrame, *more: str) -> DataFrame:
+    """What metrics must agree with whatever the scores are: sessions (windows) and anomalous ones."""
+    return metrics.select(
+        *more,
+        (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("units"), (F.col("tp") + F.col("fn")).alias("anomalous"),
+        F.col("f1").between(0, 1).cast("int").alias("valid"),
+    )
+
+
 @query
 def a4_window_classification(spark, folder):
-    made = flows.window_classification(user_log(spark, folder), SIZE, STRIDE)
-    return made.select(*[rounded(c) for c in ("f1", "rc", "pc", "acc")])
+    parts = [
+        _session_counts(flows.window_classification(user_log(spark, folder), SIZE, STRIDE, features=kind)).select(F.lit(kind).alias("features"), "*")
+        for kind in ("counts", "patterns")
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def a4_semantic_classification(spark, folder):
+    lines = user_log(spark, folder)
+    vectors = word_vectors(spark, folder, doc_vocab(spark, folder, docs=lines.select("template")))
+    parts = [
+        _session_counts(flows.window_classification(lines, SIZE, STRIDE, features=kind, vectors=vectors)).select(F.lit(kind).alias("features"), "*")
+        for kind in ("embedding", "tfidf")
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def a4_window_results(spark, folder):
+    """Window metrics and class report of the supervised flow."""
+    made = flows.window_results(flows.scored_classification(user_log(spark, folder), SIZE, STRIDE))
+    return _session_counts(made, "macro_support").withColumnRenamed("macro_support", "lines")
 
 
 @query
 def a4_reconstruction_detection(spark, folder):
+    """Sessions above the percentile of their own scores: their number follows from the ratio where scores are distinct."""
     made = flows.reconstruction_detection(user_log(spark, folder), 0.03, SIZE, STRIDE, train_anomaly_ratio=1.0)
-    return made.select(*[rounded(c) for c in ("f1", "rc", "pc", "acc")])
+    return _session_counts(made)
+
+
+@query
+def a4_hdfs_time_sessions(spark, folder):
+    """Labels by entity, sessions of 60 seconds, split, vocabulary, windows of 50 lines every 5."""
+    lines = log_events(spark, folder).select("line_id", "ts", "content", "template")
+    labelled = normalize.line_labels_from_entities(lines, entity_labels(spark, folder))
+    made = flows.time_sessions(labelled.select("line_id", "ts", "template", "label"), sessions.RANGE_SECONDS["hdfs"])
+    data = flows.prepare(made, test_ratio=0.2)
+    windowed = features.sequential(windows.sliding_windows(data.test, 50, 5))
+    return windowed.select("session_id", "window_idx", joined("features"), "next_id", "anomaly")
+
+
+@query
+def g2_incomplete_lines(spark, folder):
+    """Lines with missing users and seconds keep their place: sessions by user, anchored."""
+    lines = normalize.seconds_since_first(log_events(spark, folder)).select(
+        F.when(F.col("user_id") % 5 != 0, F.col("user_id")).alias("user_id"), "line_id",
+        F.when(F.col("line_id") % 7 != 0, F.col("sec")).alias("sec"),
+    )
+    return sessions.anchored_sessions(lines, sessions.RANGE_SECONDS["bgl"], partition_cols=["user_id"])
+
+
+@query
+def g3_incomplete_lines(spark, folder):
+    """The same for sessions by gap and chunk."""
+    lines = log_events(spark, folder).select(
+        F.when(F.col("user_id") % 5 != 0, F.col("user_id")).alias("user_id"), "line_id",
+        F.when(F.col("line_id") % 7 != 0, F.col("ts")).alias("ts"),
+    )
+    return sessions.gap_chunk_sessions(lines, 36_000, partition_cols=["user_id"]).select("user_id", "line_id", "session_id")
+
+
+@query
+def a1_semantic_extractor(spark, folder):
+    """Token ids of windows by a fitted model, with the anomaly as the label."""
+    data = dataset(spark, folder)
+    extractor = LogFeatureExtractor(featureType="semantics", labelType="anomaly", windowSize=SIZE, stride=STRIDE, maxTokenLen=4)
+    model = extractor.fit(data.train.drop("template_id"))
+    meta = model.metadata().first()
+    made = model.transform(data.test.drop("template_id"))
+    return made.select("session_id", "window_idx", nested("features"), "anomaly",
+                       F.lit(meta["num_labels"]).alias("num_labels"), F.lit(meta["vocab_size"]).alias("vocab_size"))

@@ -4,15 +4,23 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.operators import detect, evaluate
-from logweave.operators.features import count_features
+from logweave.operators.features import count_features, mean_pooled, summed_embedding, tfidf, weighted_embedding
 from logweave.operators.normalize import seconds_since_first
 from logweave.operators.sessions import anchored_sessions, session_rollup, with_positions
 from logweave.operators.splits import sample_train_anomalies, split_sessions
-from logweave.operators.vocab import encode_templates, stored, template_vocabulary
+from logweave.operators.vocab import (
+    OOV_ID,
+    encode_templates,
+    stored,
+    template_vocabulary,
+    token_vocabulary,
+    vocabulary_vectors,
+)
 from logweave.operators.windows import sliding_windows
 from logweave.runtime import broadcast_if_small, materialize
 
@@ -77,32 +85,89 @@ def next_event_detection(
     return evaluate.topk_metrics(scored_next_event(data, size, stride, order, k), k, eval_type)
 
 
-def window_classification(
-    lines: DataFrame, size: int = 10, stride: int = 1, features: str = "counts",
-    test_ratio: float = 0.2, train_anomaly_ratio: float = 1.0, random: bool = True,
-) -> DataFrame:
-    """Session metrics of the supervised window classifier; ``features`` is ``counts`` or ``patterns``."""
-    data = prepare(lines, test_ratio, train_anomaly_ratio, random)
-    vocab_size = data.vocab_size()
+def template_vectors(lines: DataFrame, data: Dataset, vectors: DataFrame | None, weighting: str) -> DataFrame:
+    """``template_id, vec`` of the training vocabulary: summed word vectors, or weighted by tf-idf of the training lines.
+
+    ``vectors`` is ``token, vec``.
+    """
+    dim = vectors.select(F.max(F.size("vec"))).first()[0]
+    tokens = stored(token_vocabulary(data.vocabulary))
+    table = stored(vocabulary_vectors(tokens, vectors, dim))
+    if weighting == "embedding":
+        made = summed_embedding(data.vocabulary, tokens, table)
+    else:
+        made = weighted_embedding(tfidf(data.vocabulary, data.train, tokens), table)
+    return materialize(made.join(data.vocabulary, "template").select("template_id", "vec"))
+
 
-    def featured(part: DataFrame) -> DataFrame:
-        windows = sliding_windows(part, size, stride)
-        return detect.pattern_features(windows) if features == "patterns" else count_features(windows, vocab_size)
+def _pooled(data: Dataset, windows: DataFrame, table: DataFrame, size: int) -> DataFrame:
+    dim = table.select(F.max(F.size("vec"))).first()[0] or 0
+    pooled = mean_pooled(materialize(windows), table, size, dim, OOV_ID)
+    return pooled.withColumn("features", array_to_vector("features"))
 
-    model = detect.fit_classifier(materialize(featured(data.train).select("features", "anomaly")))
-    scored = detect.score_classifier(model, featured(data.test))
-    return evaluate.binary_metrics(evaluate.sum_rollup(scored))
 
+def scored_classification(
+    lines: DataFrame, size: int = 10, stride: int = 1, features: str = "counts",
+    test_ratio: float = 0.2, train_anomaly_ratio: float = 1.0, random: bool = True, vectors: DataFrame | None = None,
+) -> DataFrame:
+    """Test windows with ``score`` and ``flag`` of the supervised classifier.
 
-def reconstruction_detection(
+    ``features``: ``counts``, ``patterns``, or means over the window's lines of their summed word vectors
+    (``embedding``) or tf-idf weighted ones (``tfidf``); the last two need ``vectors`` (``token, vec``).
+    """
+    data = prepare(lines, test_ratio, train_anomaly_ratio, random)
+    train, test = (sliding_windows(part, size, stride) for part in (data.train, data.test))
+    if features == "counts":
+        vocab_size = data.vocab_size()
+        featured = lambda windows: count_features(windows, vocab_size)
+    elif features == "patterns":
+        patterns = materialize(detect.fit_patterns(train))
+        count = patterns.count()
+        featured = lambda windows: detect.pattern_features(windows, patterns, count)
+    elif features in ("embedding", "tfidf"):
+        table = template_vectors(lines, data, vectors, features)
+        featured = lambda windows: _pooled(data, windows, table, size)
+    else:
+        raise ValueError(f"unknown features {features!r}")
+    model = detect.fit_classifier(materialize(featured(train).select("features", "anomaly")))
+    return detect.score_classifier(model, featured(test))
+
+
+def window_classification(lines: DataFrame, *args, **options) -> DataFrame:
+    """Session metrics of the supervised window classifier; see ``scored_classification``."""
+    return evaluate.binary_metrics(evaluate.sum_rollup(scored_classification(lines, *args, **options)))
+
+
+def scored_reconstruction(
     lines: DataFrame, anomaly_ratio: float, size: int = 10, stride: int = 1, components: int = 3,
     test_ratio: float = 0.2, train_anomaly_ratio: float = 0.0, random: bool = True,
-) -> DataFrame:
-    """Session metrics of the reconstruction score cut at its ``1 - anomaly_ratio`` percentile."""
+) -> tuple[DataFrame, DataFrame]:
+    """Test windows with ``score`` and ``flag``, and their sessions with ``score, truth, pred``.
+
+    The cut is the ``1 - anomaly_ratio`` percentile of the session scores, for windows and sessions alike.
+    """
     data = prepare(lines, test_ratio, train_anomaly_ratio, random)
     vocab_size = data.vocab_size()
     model = detect.fit_reconstruction(sliding_windows(data.train, size, stride), vocab_size, components)
-    windows = detect.score_reconstruction(model, sliding_windows(data.test, size, stride), vocab_size)
+    windows = materialize(detect.score_reconstruction(model, sliding_windows(data.test, size, stride), vocab_size))
     sessions = materialize(evaluate.max_rollup(windows))
-    threshold = evaluate.percentile(sessions, 1 - anomaly_ratio)
-    return evaluate.binary_metrics(evaluate.flag_above_threshold(sessions, threshold))
+    threshold = materialize(evaluate.percentile(sessions, 1 - anomaly_ratio))
+    return (
+        evaluate.flag_above_threshold(windows, threshold, output="flag"),
+        evaluate.flag_above_threshold(sessions, threshold),
+    )
+
+
+def reconstruction_detection(lines: DataFrame, anomaly_ratio: float, *args, **options) -> DataFrame:
+    """Session metrics of the reconstruction score; see ``scored_reconstruction``."""
+    return evaluate.binary_metrics(scored_reconstruction(lines, anomaly_ratio, *args, **options)[1])
+
+
+def window_results(flagged: DataFrame) -> DataFrame:
+    """One row for any flow's windows (``flag, anomaly, an_classes``): window metrics, and the macro average of the
+    class report of their lines (``macro_...``)."""
+    cases = flagged.select(F.col("flag").alias("pred"), F.col("anomaly").alias("truth"))
+    metrics = evaluate.binary_metrics(cases)
+    macro = evaluate.macro_average(evaluate.class_report(flagged))
+    row = macro.select(F.struct(*macro.columns).alias("m")).scalar()
+    return metrics.select("*", *[row[c].alias(f"macro_{c}") for c in macro.columns])

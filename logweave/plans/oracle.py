@@ -57,11 +57,11 @@ PARTS["doc_split"] = r"""
 PARTS["doc_numbered"] = r"""
   SELECT doc_id, unnest(parts) AS content, generate_subscripts(parts, 1) AS n FROM doc_split"""
 PARTS["log_docs"] = r"""
-  SELECT doc_id * 1000000 + n - 1 AS line_id, doc_id, content,
-         array_to_string(regexp_split_to_array(trim(content), ' +')[1:3], ' ') AS template
+  SELECT doc_id * 2147483648 + n - 1 AS line_id, doc_id, content,
+         regexp_replace(trim(content), '[0-9]+', '<*>', 'g') AS template
   FROM doc_numbered WHERE trim(content) <> ''"""
 PARTS["conv_log"] = """
-  SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS pos, conv_id * 1000 + turn AS line_id, role AS template,
+  SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS pos, conv_id * 2147483648 + turn AS line_id, role AS template,
          CAST(role = 'system' AS INTEGER) AS label FROM conversations"""
 
 PARTS["item_log"] = """
@@ -109,12 +109,13 @@ add("s6_word_vectors", """
   SELECT 'w' || vec_id AS token, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS dim,
          CAST(CAST(unnest(embedding) AS VARCHAR) AS DOUBLE) AS value FROM embeddings""")
 PARTS["value_counts"] = """
-  SELECT sum(CAST(value > 20 AND label = 1 AS INTEGER)) AS tp, sum(CAST(value > 20 AND label = 0 AS INTEGER)) AS fp,
-         sum(CAST(value <= 20 AND label = 1 AS INTEGER)) AS fn FROM log_events"""
+  SELECT cut, sum(CAST(value > cut AND label = 1 AS INTEGER)) AS tp, sum(CAST(value > cut AND label = 0 AS INTEGER)) AS fp,
+         sum(CAST(value <= cut AND label = 1 AS INTEGER)) AS fn FROM log_events, (SELECT unnest([20, 60]) AS cut) GROUP BY 1"""
 add("s7_run_results", """
   SELECT substr(md5(params), 1, 8) AS run_id, 'threshold' AS model, params,
-         round(2.0 * tp / (2 * tp + fp + fn), 6) AS f1, round(tp::DOUBLE / (tp + fn), 6) AS rc, round(tp::DOUBLE / (tp + fp), 6) AS pc
-  FROM value_counts, (SELECT unnest(['{"dataset": "events", "test_ratio": 0.1}', '{"dataset": "events", "test_ratio": 0.2}']) AS params)""")
+         round(CASE WHEN tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0 END, 6)::DOUBLE AS f1,
+         round(CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0 END, 6) AS rc, round(CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0 END, 6) AS pc
+  FROM (SELECT *, '{"cut": ' || cut || ', "dataset": "events"}' AS params FROM value_counts)""")
 
 # ---- projections ----------------------------------------------------------------------------
 
@@ -349,10 +350,10 @@ add("w1_supplier_windows", f"SELECT session_id, window_idx, {IDS} AS ids, next_i
 PARTS["user_all"] = """
   SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY line_id) - 1 AS pos FROM user_log"""
 add("w4_session_windows", """
-  SELECT session_id, 0::BIGINT AS window_idx, 0::BIGINT AS piece, CAST(count(*) AS INTEGER) AS length,
-         string_agg(template, ',' ORDER BY pos) AS "window", max(u.label) AS window_label, max(u.label) AS anomaly,
-         string_agg(CAST(CASE WHEN u.label > 0 THEN v.template_id ELSE 0 END AS VARCHAR), ',' ORDER BY pos) AS an_classes
-  FROM user_all u JOIN log_vocab v USING (template) GROUP BY 1""")
+  SELECT session_id, 0::BIGINT AS window_idx, u.pos, u.template, v.template_id, CAST(CASE WHEN u.label > 0 THEN v.template_id ELSE 0 END AS INTEGER) AS an_class,
+         count(*) OVER (PARTITION BY session_id) AS length, max(u.label) OVER (PARTITION BY session_id) AS window_label,
+         max(u.label) OVER (PARTITION BY session_id) AS anomaly
+  FROM user_all u JOIN log_vocab v USING (template)""")
 
 
 def _frames(start_filter: str) -> str:
@@ -402,20 +403,20 @@ add("a1_feature_extractor", """
   SELECT session_id, window_idx, string_agg(CAST(len(list_filter(filled, lambda z: z = k)) AS VARCHAR), ',' ORDER BY k) AS features,
          next_id, anomaly
   FROM test_filled, vocab_ids GROUP BY session_id, window_idx, next_id, anomaly""")
-for least, length in ((2, 50), (2, 4), (1, 50)):
-    PARTS[f"template_ids_{least}_{length}"] = f"""
-  SELECT t.template, list_concat(coalesce(w.ids, []), list_transform(range({length} - len(coalesce(w.ids, []))), lambda x: 0)) AS token_ids
+for least in (1, 2):
+    PARTS[f"template_ids_{least}"] = f"""
+  SELECT t.template, coalesce(w.ids, []) AS token_ids
   FROM doc_templates t LEFT JOIN (
     SELECT w.template, list(coalesce(v.token_id, 1) ORDER BY w.token_pos) AS ids
-    FROM template_words w LEFT JOIN token_vocab{least} v USING (token) WHERE w.token_pos <= {length} GROUP BY 1) w USING (template)"""
-add("f3_template_token_ids", "SELECT template, array_to_string(token_ids, ',') AS token_ids FROM template_ids_2_50")
+    FROM template_words w LEFT JOIN token_vocab{least} v USING (token) GROUP BY 1) w USING (template)"""
+add("f3_template_token_ids", "SELECT template, array_to_string(token_ids, ',') AS token_ids FROM template_ids_2")
 PARTS["doc_coded"] = """
   SELECT CAST(d.doc_id AS VARCHAR) AS session_id, row_number() OVER (PARTITION BY d.doc_id ORDER BY d.line_id) - 1 AS pos,
          d.template, v.template_id, 0 AS label, array_to_string(t.token_ids, ' ') AS toks
-  FROM log_docs d JOIN doc_vocab v USING (template) JOIN template_ids_2_4 t USING (template)"""
+  FROM log_docs d JOIN doc_vocab v USING (template) JOIN template_ids_2 t USING (template)"""
 PARTS["doc_windows"] = _windows("doc_coded", 3, 2, ", list(toks ORDER BY pos) AS toks")
 add("f3_window_token_ids", f"""
-  SELECT session_id, window_idx, array_to_string({_padded('toks', 3, "'0 0 0 0'")}, ',') AS token_ids, next_id FROM doc_windows""")
+  SELECT session_id, window_idx, array_to_string({_padded('toks', 3, "''")}, ',') AS token_ids, next_id FROM doc_windows""")
 
 
 def _tfidf(train_filter: str, tokens_of: str) -> str:
@@ -438,7 +439,7 @@ add("f5_word_vectors", """
   SELECT token_id, token, round(sum(v * v), 6) AS squared_length FROM vector_dims GROUP BY 1, 2""")
 PARTS["template_vectors"] = """
   SELECT t.template, d.dim, sum(d.v) AS value
-  FROM (SELECT template, unnest(token_ids) AS token_id FROM template_ids_1_50) t JOIN vector_dims d USING (token_id) GROUP BY 1, 2"""
+  FROM (SELECT template, unnest(CASE WHEN len(token_ids) = 0 THEN [0] ELSE token_ids END) AS token_id FROM template_ids_1) t JOIN vector_dims d USING (token_id) GROUP BY 1, 2"""
 add("f6_summed_embedding", "SELECT template, dim, round(value, 6) AS value FROM template_vectors")
 add("f7_weighted_embedding", """
   SELECT t.template, d.dim, round(sum(t.weight * d.v), 6) AS value FROM doc_tfidf t JOIN vector_dims d USING (token_id) GROUP BY 1, 2""")
@@ -582,3 +583,100 @@ add("a2_transformer_chain", """
   FROM (SELECT *, unnest(range(0, n)) AS i
         FROM (SELECT g, list(id ORDER BY line_id) AS ids, list(label ORDER BY line_id) AS labels, count(*) AS n FROM timed_rows GROUP BY 1))
   WHERE i = 0 OR i + 5 <= n""")
+
+# ---- what fits must agree with --------------------------------------------------------------
+
+PARTS["test_counts"] = """
+  SELECT session_id, window_idx, anomaly, id AS template_id, CAST(count(*) AS INTEGER) AS n
+  FROM (SELECT session_id, window_idx, anomaly, unnest(filled) AS id FROM test_filled) GROUP BY ALL"""
+add("d2_window_classifier", """
+  SELECT *, (SELECT round(avg(anomaly), 3) FROM train_windows) AS mean_train_score FROM test_counts""")
+PARTS["train_filled"] = f"SELECT *, {_padded('ids', SIZE, '1')} AS filled FROM train_windows"
+
+
+def _patterns(source: str) -> str:
+    """Distinct runs of two to four ids in each window."""
+    runs = " UNION ALL ".join(
+        f"SELECT session_id, window_idx, anomaly, array_to_string(filled[j:j + {n - 1}], ' ') AS pattern "
+        f"FROM {source}, (SELECT unnest(range(1, {SIZE - n + 2})) AS j)" for n in (2, 3, 4))
+    return f"SELECT DISTINCT * FROM ({runs})"
+
+
+PARTS["train_patterns"] = _patterns("train_filled")
+PARTS["test_patterns"] = _patterns("test_filled")
+PARTS["pattern_ids"] = """
+  SELECT pattern, CAST(row_number() OVER (ORDER BY md5('42:' || pattern), pattern) - 1 AS INTEGER) AS pattern_id
+  FROM (SELECT DISTINCT pattern FROM train_patterns)"""
+add("d3_pattern_classifier", """
+  SELECT session_id, window_idx, anomaly, pattern_id FROM test_patterns JOIN pattern_ids USING (pattern)""")
+PARTS["id_means"] = """
+  SELECT k, (SELECT count(*) FROM (SELECT unnest(filled) AS id FROM train_filled) WHERE id = k) / (SELECT count(*) FROM train_filled)::DOUBLE AS mean
+  FROM vocab_ids"""
+add("d4_reconstruction_error", """
+  SELECT session_id, window_idx, anomaly, round(sum((len(list_filter(filled, lambda z: z = k)) - mean) ** 2) / count(*), 6) AS total,
+         0.0::DOUBLE AS rest, 1 AS "between"
+  FROM test_filled, id_means GROUP BY 1, 2, 3""")
+PARTS["test_units"] = """
+  SELECT count(*) AS units, CAST(sum(anomaly) AS BIGINT) AS anomalous, 1 AS valid
+  FROM (SELECT session_id, max(anomaly) AS anomaly FROM test_windows GROUP BY 1)"""
+add("a4_window_classification", "SELECT unnest(['counts', 'patterns']) AS features, * FROM test_units")
+add("a4_semantic_classification", "SELECT unnest(['embedding', 'tfidf']) AS features, * FROM test_units")
+add("a4_reconstruction_detection", "SELECT * FROM test_units")
+add("a4_window_results", f"""
+  SELECT count(*) AS units, CAST(sum(anomaly) AS BIGINT) AS anomalous, 1 AS valid, count(*) * {SIZE} AS lines FROM test_windows""")
+
+PARTS["hdfs_log"] = """
+  SELECT line_id, ts, template, h.label FROM log_events JOIN line_hits h USING (line_id)"""
+PARTS["hdfs_hops"] = """
+  SELECT m, min(m) OVER (ORDER BY m RANGE BETWEEN 61 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM top_set"""
+PARTS["hdfs_anchors"] = """
+  SELECT min(m) AS a FROM top_set UNION ALL SELECT h.nxt FROM hdfs_anchors x JOIN hdfs_hops h ON h.m = x.a WHERE h.nxt IS NOT NULL"""
+PARTS["hdfs_lines"] = """
+  SELECT CAST(a.a AS VARCHAR) AS session_id, t.line_id, e.template, e.label
+  FROM tops t ASOF JOIN hdfs_anchors a ON t.m >= a.a JOIN hdfs_log e ON e.line_id = t.line_id"""
+PARTS["hdfs_split"] = _split(
+    "(SELECT session_id, min(line_id) AS f FROM hdfs_lines GROUP BY 1)", SHUFFLED, "CAST(1 - 0.2::DOUBLE AS DOUBLE)", "0.2::DOUBLE")
+PARTS["hdfs_vocab"] = """
+  SELECT template, CAST(row_number() OVER (ORDER BY f, template) + 1 AS INTEGER) AS template_id
+  FROM (SELECT template, min(line_id) AS f FROM hdfs_lines JOIN hdfs_split USING (session_id) WHERE split = 'train' GROUP BY 1)"""
+PARTS["hdfs_coded"] = """
+  SELECT l.*, coalesce(v.template_id, 1) AS template_id, row_number() OVER (PARTITION BY l.session_id ORDER BY l.line_id) - 1 AS pos
+  FROM hdfs_lines l JOIN hdfs_split s USING (session_id) LEFT JOIN hdfs_vocab v USING (template) WHERE s.split = 'test'"""
+PARTS["hdfs_windows"] = _windows("hdfs_coded", 50, 5)
+add("a4_hdfs_time_sessions", f"""
+  SELECT session_id, window_idx, array_to_string({_padded('ids', 50, '1')}, ',') AS features, next_id, anomaly FROM hdfs_windows""")
+
+PARTS["gappy"] = """
+  SELECT CASE WHEN user_id % 5 <> 0 THEN user_id END AS user_id, line_id, CASE WHEN line_id % 7 <> 0 THEN sec END AS sec FROM second_lines"""
+PARTS["gappy_tops"] = """
+  SELECT coalesce(user_id, -1) AS u, user_id, line_id, sec, max(sec) OVER (PARTITION BY user_id ORDER BY line_id) AS m FROM gappy"""
+PARTS["gappy_set"] = "SELECT DISTINCT u, m FROM gappy_tops WHERE m IS NOT NULL"
+PARTS["gappy_hops"] = """
+  SELECT u, m, min(m) OVER (PARTITION BY u ORDER BY m RANGE BETWEEN 21601 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM gappy_set"""
+PARTS["gappy_anchors"] = """
+  SELECT u, min(m) AS a FROM gappy_set GROUP BY 1
+  UNION ALL SELECT h.u, h.nxt FROM gappy_anchors x JOIN gappy_hops h ON h.m = x.a AND h.u = x.u WHERE h.nxt IS NOT NULL"""
+add("g2_incomplete_lines", """
+  SELECT t.user_id, t.line_id, t.sec, a.a AS session_id FROM gappy_tops t ASOF LEFT JOIN gappy_anchors a ON t.u = a.u AND t.m >= a.a""")
+PARTS["gappy_events"] = """
+  SELECT CASE WHEN user_id % 5 <> 0 THEN user_id ELSE -1 END AS user_id, line_id, ts FROM log_events WHERE line_id % 7 <> 0"""
+PARTS["gappy_ids"] = _gap_chunk("user_id,", 36000).replace("FROM log_events", "FROM gappy_events")
+add("g3_incomplete_lines", """
+  SELECT CASE WHEN e.user_id % 5 <> 0 THEN e.user_id END AS user_id, e.line_id, i.session_id
+  FROM log_events e LEFT JOIN gappy_ids i USING (line_id)""")
+
+PARTS["event_words"] = f"SELECT template, {TOKENS.format(text='template')} AS toks FROM train_vocab"
+PARTS["event_tokens"] = """
+  SELECT token, row_number() OVER (ORDER BY token) + 1 AS token_id FROM (SELECT DISTINCT unnest(toks) AS token FROM event_words)"""
+PARTS["all_event_words"] = f"""
+  SELECT template, {TOKENS.format(text='template')} AS toks FROM (SELECT DISTINCT template FROM user_lines)"""
+PARTS["event_token_ids"] = """
+  SELECT template, array_to_string(list_concat(ids, list_transform(range(4 - len(ids)), lambda x: 0)), ' ') AS toks FROM (
+    SELECT template, (list(coalesce(token_id, 1) ORDER BY p))[1:4] AS ids FROM (
+      SELECT template, unnest(toks) AS token, generate_subscripts(toks, 1) AS p FROM all_event_words) LEFT JOIN event_tokens USING (token) GROUP BY 1)"""
+PARTS["semantic_lines"] = "SELECT c.*, t.toks FROM coded_lines c JOIN event_token_ids t USING (template) WHERE split = 'test'"
+PARTS["semantic_windows"] = _windows("semantic_lines", SIZE, STRIDE, ", list(toks ORDER BY pos) AS toks")
+add("a1_semantic_extractor", f"""
+  SELECT session_id, window_idx, array_to_string({_padded('toks', SIZE, "'0 0 0 0'")}, ',') AS features, anomaly,
+         2 AS num_labels, (SELECT CAST(count(*) + 2 AS INTEGER) FROM event_tokens) AS vocab_size
+  FROM semantic_windows""")

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import posixpath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.operators.ordering import running
 from logweave.operators.vocab import token_vocabulary
 
-# Line ids of text lines: document number times this, plus the line's place in the document.
-LINES_PER_DOCUMENT = 1_000_000
+# Line ids: document (conversation) number times this, plus the place in it. A place is an int, so it always fits;
+# a number too large for the product is an arithmetic error, never another line's id.
+PLACES = 1 << 31
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -55,14 +56,18 @@ def entity_labels(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def masked(content: Column) -> Column:
+    """The template of a line: the whole line, with numbers masked."""
+    return F.regexp_replace(F.trim(content), "[0-9]+", "<*>")
+
+
 def log_docs(spark: SparkSession, folder: str) -> DataFrame:
-    """One log line per non-blank line of each text; the first three words are its template."""
+    """One log line per non-blank line of each text."""
     docs = table(spark, folder, "documents")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("_n", "content"))
-    words = F.split(F.trim("content"), " +")
     return lines.where(F.trim("content") != "").select(
-        (F.col("doc_id") * LINES_PER_DOCUMENT + F.col("_n")).alias("line_id"), "doc_id", "content",
-        F.array_join(F.slice(words, 1, 3), " ").alias("template"),
+        (F.col("doc_id") * PLACES + F.col("_n")).alias("line_id"), "doc_id", "content",
+        masked(F.col("content")).alias("template"),
     )
 
 
@@ -83,7 +88,7 @@ def conv_sessions(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations")
     return turns.select(
         F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("pos"),
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("line_id"), F.col("role").alias("template"),
+        (F.col("conv_id") * PLACES + F.col("turn").cast("int")).alias("line_id"), F.col("role").alias("template"),
         (F.col("role") == "system").cast("int").alias("label"),
     )
 

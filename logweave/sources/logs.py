@@ -11,11 +11,8 @@ from logweave.functions.columns import anomaly_label
 from logweave.operators.ordering import running
 from logweave.runtime import broadcast_if_small, materialize
 
-# Row caps and file names of the id-sequence data set, word-vector line cap.
+# File names of the id-sequence data set.
 ID_FILES = {"train": ("hdfs_train", 0), "test_normal": ("hdfs_test_normal", 0), "test_abnormal": ("hdfs_test_abnormal", 1)}
-MAX_NORMAL_ROWS = 50_001
-MAX_TEST_INDEX = 100_000
-WORD_LIMIT = 1000
 
 
 def _csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -53,7 +50,7 @@ def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"), "value"
     )
     lengths = lines.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
-    # One short row per file.
+    # One short row per file. File names have no numeric order, so this one is plain.
     earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
     offsets = lengths.select("_file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
     numbered = running(lines, ["_file"], ["_at"], {"_rn": ("row_number", None)})
@@ -65,14 +62,14 @@ def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 def read_id_sequences(
     spark: SparkSession,
     folder: str,
-    max_normal: int | None = MAX_NORMAL_ROWS,
-    max_test_index: int | None = MAX_TEST_INDEX,
+    max_normal: int | None = None,
+    max_test_index: int | None = None,
 ) -> DataFrame:
     """One session per line of whitespace-separated ids, labelled by file.
 
     Returns ``split, session_id, templates, label``. The test sessions are
     numbered through: normal lines first, abnormal lines after them.
-    Both caps belong to the data set's definition; None reads everything.
+    Everything is read unless the caller gives a cap.
     """
     def load(part: str) -> DataFrame:
         name, label = ID_FILES[part]
@@ -94,11 +91,11 @@ def read_id_sequences(
 
 
 def read_word_vectors(
-    spark: SparkSession, path: str, limit_words: int | None = WORD_LIMIT
+    spark: SparkSession, path: str, limit_words: int | None = None
 ) -> DataFrame:
     """``word v1 .. vd`` lines after a ``count dimension`` header to ``token, vec``.
 
-    Stored vectors (a parquet folder with the same columns) are read as they are.
+    All words are read unless ``limit_words`` is given. Stored vectors (a parquet folder with the same columns) are read as they are.
     """
     if path.rstrip("/").endswith(".parquet"):
         return spark.read.parquet(path).select("token", "vec")

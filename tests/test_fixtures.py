@@ -181,6 +181,43 @@ def test_best_k_takes_the_larger_on_ties(spark):
 
 
 def test_mean_pooled(spark):
-    df = spark.createDataFrame([([[1.0, 2.0], [3.0, 0.0], [0.0, 0.0]],)], "v array<array<double>>")
-    [row] = features.mean_pooled(df, "v", 2).collect()
-    assert row.features == pytest.approx([4 / 3, 2 / 3])
+    made = spark.createDataFrame([("s", 0, [2, 3, 2], 3), ("s", 1, [3, 1, 1], 1), ("s", 2, [1, 1, 1], 0)],
+                                 "session_id string, window_idx long, ids array<int>, length int")
+    vectors = spark.createDataFrame([(2, [1.0, 2.0]), (3, [3.0, 0.0])], "template_id int, vec array<double>")
+    pooled = features.mean_pooled(made, vectors, 3, 2, 1).orderBy("window_idx").collect()
+    assert [r.features for r in pooled] == [pytest.approx([5 / 3, 4 / 3]), pytest.approx([1.0, 0.0]), [0.0, 0.0]]
+
+
+def test_sparse_counts_of_a_large_vocabulary(spark):
+    made = spark.createDataFrame([([99_999, 5, 5],)], "ids array<int>")
+    vector = features.count_features(made, 100_000).first().features
+    assert (vector.size, list(vector.indices), list(vector.values)) == (99_999, [4, 99_998], [2.0, 1.0])
+
+
+def test_long_session_is_one_window(spark):
+    lines = spark.range(70_000).selectExpr(
+        "'s' AS session_id", "id AS pos", "cast(id % 7 AS string) AS template", "cast(id % 7 AS int) AS template_id", "cast(id = 5 AS int) AS label")
+    made = windows.session_windows(lines)
+    assert made.count() == 70_000
+    assert [tuple(r) for r in made.select("length", "anomaly").distinct().collect()] == [(70_000, 1)]
+
+
+def test_lines_without_key_or_time_stay(spark):
+    rows = [(None, 0, 5), (None, 1, None), ("a", 2, None), ("a", 3, 7), ("a", 4, 500), (None, 5, 6)]
+    df = spark.createDataFrame(rows, "user string, line_id long, sec long")
+    got = {r.line_id: r.session_id for r in sessions.anchored_sessions(df, 60, partition_cols=["user"]).collect()}
+    assert got == {0: 5, 1: 5, 2: None, 3: 7, 4: 500, 5: 5}
+    timed = df.select("user", "line_id", F.timestamp_seconds("sec").alias("ts"))
+    got = {r.line_id: r.session_id for r in sessions.gap_chunk_sessions(timed, 60, partition_cols=["user"]).collect()}
+    assert got == {0: 1, 1: None, 2: None, 3: 1, 4: 2, 5: 1}
+
+
+def test_empty_part_of_a_split_is_reported(spark):
+    df = spark.createDataFrame([("train", 1), ("train", 0)], "split string, label int")
+    assert {tuple(r) for r in splits.split_report(df).collect()} == {("train", 2, 50.0), ("test", 0, None)}
+
+
+def test_repeated_entity_keeps_one_session(spark):
+    rolled = spark.createDataFrame([("a", 1)], "session_id string, length int")
+    labels = spark.createDataFrame([("a", 0), ("a", 1)], "entity_id string, label int")
+    assert [r.label for r in normalize.label_sessions(rolled, labels).collect()] == [1]

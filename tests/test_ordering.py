@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from logweave.operators.ordering import running
+from logweave.operators.ordering import PART, running, split_ranges
 
 
 @pytest.fixture(scope="module")
@@ -44,3 +44,28 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], "g string, at long")
     assert running(empty, [], ["at"], {"rn": ("row_number", None)}).count() == 0
     assert running(empty, ["g"], ["at"], {"rn": ("row_number", None)}).count() == 0
+
+
+@pytest.mark.parametrize("value", [
+    "CASE WHEN id = 7 THEN 1000000000000 ELSE id * 2 END",  # one outlier
+    "cast(pow(2, id / 1200.0) * 1000 as long)",  # exponential gaps
+    "CASE WHEN id % 3 = 0 THEN 5 ELSE id END",  # one value with a third of the rows
+    "cast(pow(id / 40000.0, 6) * 1000000 as long)",  # dense at one end
+])
+def test_ranges_do_not_depend_on_the_distribution(spark, value):
+    part_rows = 2_000
+    rows = spark.range(40_000).selectExpr("id", f"{value} AS at")
+    ranges = split_ranges(rows, [], ["at", "id"], part_rows=part_rows)
+    tied = max(r["count"] for r in rows.groupBy("at").count().collect())
+    counts = [r["count"] for r in ranges._df.groupBy(PART).count().collect()]
+    assert max(counts) <= max(2 * part_rows, tied) and sum(counts) == 40_000
+    made = ranges.add({"rn": ("row_number", None)}).rows()
+    plain = F.row_number().over(Window.orderBy("at", "id"))
+    assert made.withColumn("rn2", plain).where("rn != rn2").count() == 0
+
+
+def test_null_keys_and_values_keep_their_rows(spark):
+    rows = spark.range(500).selectExpr("IF(id % 2 = 0, NULL, 'a') AS g", "IF(id % 50 = 0, NULL, id) AS at", "1 AS v")
+    made = running(rows, ["g"], ["at"], {"total": ("sum", "v")}, part_rows=20)
+    assert made.count() == 500
+    assert [r.n for r in made.groupBy("g").agg(F.max("total").alias("n")).orderBy("g").collect()] == [250, 250]

@@ -51,16 +51,6 @@ def test_scalar_label(spark):
     assert {(r.session_id, r.anomaly) for r in made.collect()} == {("s0", 1), ("s1", 0)}
 
 
-def test_session_windows_in_pieces(spark):
-    data, lines = many_sessions(spark, [3, 10, 25])
-    made = windows.session_windows(lines.withColumn("template", F.col("template_id").cast("string")), piece=10)
-    got = {}
-    for r in made.orderBy("session_id", "piece").collect():
-        got.setdefault(r.session_id, []).extend(r.ids)
-        assert r.length <= 10 and r.anomaly == max(l for _, l in data[r.session_id])
-    assert got == {s: [t for t, _ in items] for s, items in data.items()}
-
-
 @pytest.mark.parametrize("size,stride,compat", [
     (3, 1, False), (3, 2, False), (4, 2, True), (5, 3, False), (5, 3, True), (2, 5, False), (6, 6, True),
 ])

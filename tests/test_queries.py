@@ -1,23 +1,14 @@
-"""Registered queries against their SQL on the smallest tables.
-
-All of them with ``ALL_QUERIES=1``; ``tests/compare.py`` does the same at any scale.
-"""
-
-import os
+"""Registered queries against their SQL on the smallest tables; ``tests/compare.py`` does the same at any scale."""
 
 import pytest
 
 import __spark_entry__ as contract
 from compare import DATA, connect, difference
+from logweave.plans.oracle import ORACLE
 
 FOLDER = DATA / "sf0.001"
-# One query per family.
-SAMPLE = [
-    "s1_structured_csv", "p7_normalize", "l2_line_labels", "g1_entity_sessions", "g2_anchored_sessions",
-    "g3_gap_chunk_sessions_by_user", "t2_anomaly_sampling", "v4_token_vocabulary", "w1_short_sessions",
-    "f4_tfidf", "d5_batch_scoring", "e5_binary_metrics", "e8_class_report", "a2_transformer_chain",
-]
-NAMES = list(contract.oracle_sql()) if os.environ.get("ALL_QUERIES") else SAMPLE
+# The text operators bring their own tests.
+NAMES = list(ORACLE)
 
 
 @pytest.mark.skipif(not FOLDER.exists(), reason="test tables are not here")
@@ -27,14 +18,11 @@ def test_query_equals_sql(spark, name):
     assert difference(result, connect(FOLDER), contract.oracle_sql()[name]) is None
 
 
-def test_every_statement_has_a_query():
-    queries, sql = contract.queries(), contract.oracle_sql()
-    assert set(sql) <= set(queries)
-    # Fits of spark.ml models have no SQL form.
-    assert set(queries) - set(sql) == {
-        "d2_window_classifier", "d3_pattern_classifier", "d4_reconstruction_error",
-        "a4_window_classification", "a4_reconstruction_detection",
-    }
+def test_every_query_has_a_statement():
+    from logweave.plans import catalog
+
+    assert set(catalog.QUERIES) == set(ORACLE)
+    assert set(ORACLE) <= set(contract.oracle_sql()) <= set(contract.queries())
 
 
 @pytest.mark.skipif(not FOLDER.exists(), reason="test tables are not here")
