@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -18,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import Batches, map_batches, rows_of, store
+from logweave.llm.common import Batches, map_batches, rows_of
+from logweave.runtime import materialize
 
 WINDOW = 4096
 END_ID = 2
@@ -27,24 +29,45 @@ SHARD_TOKENS = 2_000_000
 # Tokens of a seed that are looked up.
 QUERY_TOKENS = 16
 K1, B = 1.2, 0.75
-# Words whose ids a worker remembers; beyond it starts afresh.
-CACHE_WORDS = 500_000
+# Entries of each of the two halves of a worker's cache of words, and of texts between blanks.
+CACHE_ENTRIES = 500_000
+
+
+class _Cache(dict):
+    """Least recently used entries in two halves: a full half becomes the old one, and what is used moves on."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self[key] = self.old.get(key) or self.make(key)
+        if len(self) > CACHE_ENTRIES:
+            self.old = dict(self)
+            self.clear()
+        return value
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself where printable, else the next beyond 255."""
+    itself = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in itself else chr(next(others)) for b in range(256)]
 
 
 class Encoder:
     """Token ids exactly as ``tokenizers`` gives them for a file of the word-end BPE kind, from a cache of words.
 
     Texts of plain Latin characters are cut at blanks and into words, and only words not seen before go through
-    the library. Other texts, and those that may hold a special token's string, go through it whole.
+    the library's model. Other texts, and those that may hold a special token's string, go through it whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        vocabulary = self.whole.get_vocab()
-        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.model = self.whole.model
+        self.letters = dict(enumerate(_byte_letters()))
         # Below U+0250 nothing combines, and controls that only some libraries call blanks are left out.
         plain = [
             chr(i) for i in range(0x250)
@@ -58,26 +81,19 @@ class Encoder:
         # Fixed value: how this tokenizer cuts words.
         self.cut = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{group['L']}]+|[{group['N']}]|[^\s{group['L']}{group['N']}]+").findall
         self.odd = re.compile("[^" + re.escape("".join(plain)) + "]").search
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Ids of chunks between blanks, for the cache."""
-        if len(self.chunks) + len(chunks) > CACHE_WORDS:
-            self.chunks.clear()
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        chunks = [c for c in chunks if c not in self.chunks]
-        parts = [self.cut(c) for c in chunks]
-        new = list({w for p in parts for w in p if w not in self.words})
-        if new:
-            ids = np.array(self.whole.encode(" ".join(new), add_special_tokens=False).ids, np.uint32)
-            each = np.split(ids, np.flatnonzero(self.last[ids]) + 1)[:-1]
-            if len(each) != len(new):
-                each = [np.array(self.whole.encode(w, add_special_tokens=False).ids, np.uint32) for w in new]
-            self.words.update(zip(new, (e.tobytes() for e in each)))
-        get = self.words.__getitem__
-        self.chunks.update((c, b"".join(map(get, p))) for c, p in zip(chunks, parts))
+        self.words = _Cache(self._word)
+        self.chunks = _Cache(self._chunk)
+
+    def _word(self, word: str) -> bytes:
+        spelled = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        if chunk.isalpha():
+            return self.words[chunk]
+        if chunk[-1] in ",." and chunk[:-1].isalpha():
+            return self.words[chunk[:-1]] + self.words[chunk[-1]]
+        return b"".join(map(self.words.__getitem__, self.cut(chunk)))
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a text as 32-bit integers; none for a null text."""
@@ -85,13 +101,7 @@ class Encoder:
             return np.empty(0, np.uint32)
         if self.odd(text) or "<|" in text:
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
-        chunks = text.lower().split()
-        try:
-            data = b"".join(map(self.chunks.__getitem__, chunks))
-        except KeyError:
-            self._learn(list(dict.fromkeys(chunks)))
-            data = b"".join(map(self.chunks.__getitem__, chunks))
-        return np.frombuffer(data, np.uint32)
+        return np.frombuffer(b"".join(map(self.chunks.__getitem__, text.lower().split())), np.uint32)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -124,8 +134,12 @@ def token_ids(docs: DataFrame, tokenizer: str | Callable[[], str], end_id: int =
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, ids binary")
 
 
+def packed_ids(ids: bytes) -> np.ndarray:
+    return np.frombuffer(ids, "<u2" if ids[0] == 2 else "<u4", offset=1)
+
+
 def unpacked(ids: bytes) -> np.ndarray:
-    return np.frombuffer(ids, "<u2" if ids[0] == 2 else "<u4", offset=1).astype(np.uint32)
+    return packed_ids(ids).astype(np.uint32)
 
 
 def _document_counts(stored: DataFrame) -> DataFrame:
@@ -135,13 +149,14 @@ def _document_counts(stored: DataFrame) -> DataFrame:
     def run(batches: Batches) -> Batches:
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
+            own = []
             for ids in batch.column(0).to_pylist():
-                ids = unpacked(ids)
-                if len(total) <= ids.max():
-                    total = np.pad(total, (0, int(ids.max()) + 1 - len(total)))
-                seen = np.zeros(len(total), bool)
-                seen[ids] = True
-                total += seen
+                ids = np.sort(packed_ids(ids), kind="stable")
+                own.append(ids[np.concatenate(([True], ids[1:] != ids[:-1]))])
+            found = np.bincount(np.concatenate(own)) if own else total[:0]
+            if len(found) > len(total):
+                total = np.pad(total, (0, len(found) - len(total)))
+            total[: len(found)] += found
         token = np.flatnonzero(total)
         yield rows_of(schema, token=token, n=total[token])
 
@@ -274,7 +289,8 @@ def pack(docs: DataFrame, tokenizer: str | Callable[[], str], window: int = WIND
     """
     if window & (window - 1):
         raise ValueError("window must be a power of two")
-    stored = store(token_ids(docs, tokenizer, end_id))
+    # Token ids hardly get smaller by a slow codec.
+    stored = materialize(token_ids(docs, tokenizer, end_id))
     # One row per token of the vocabulary: bounded by the tokenizer, whatever the number of documents.
     counts = {r["token"]: r["n"] for r in _document_counts(stored).collect()}
     shape = stored.agg(F.count(F.lit(1)), F.sum(F.octet_length("ids").cast("long"))).first()
