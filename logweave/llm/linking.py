@@ -126,6 +126,9 @@ def confirmed_classes(
         pairs.select("a", "b").join(chosen, ["a", "b"], "left_anti").join(x, "a", "left").join(y, "b", "left")
         .where("ca is null or cb is null or ca != cb").select("a", "b")
     )
+    if rest.isEmpty():
+        discard(pairs, texts, chosen, rest)
+        return classes, links
     more = store(_confirmed(rest, texts, similar))
     links = links.union(more)
     result = store(components(classes.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)))
