@@ -156,14 +156,14 @@ def _beginnings(term: str) -> list[str]:
     return [term[: k + 1] for k in PREFIXES if k + 1 < len(term.rstrip())] + ([term[:-1]] if term[-1] == " " else [])
 
 
-def _select(candidates: dict[str, int], clean_counts: dict[str, int], toxic: int, clean: int) -> dict[str, float]:
+def _select(candidates: dict[str, int], clean_counts: dict[str, int], toxic: int, clean: int, least: float) -> dict[str, float]:
     """The telling terms. A word beginning is one only where it unites a family of words: where far more toxic texts
     have it than have any single longer form. Longer forms go where such a beginning is about as telling."""
     sure = {}
     for term, p in candidates.items():
         n = clean_counts.get(term, 0)
         odds, error = _odds(p, n, toxic, clean)
-        if odds - 2 * error > LEAST_ODDS and _likelihood(p, n, toxic, clean) > math.log(len(candidates) / ACCIDENTAL):
+        if odds - 2 * error > least and _likelihood(p, n, toxic, clean) > math.log(len(candidates) / ACCIDENTAL):
             sure[term] = odds - 2 * error
     longer: dict[str, int] = {}
     for term in candidates:
@@ -174,6 +174,15 @@ def _select(candidates: dict[str, int], clean_counts: dict[str, int], toxic: int
     return dict(sorted(chosen.items(), key=lambda x: (-x[1], x[0]))[:MAX_TERMS])
 
 
+def _hit_terms(lexicon: Lexicon):
+    """For a folded text: the terms that stand outside exception phrases."""
+    automaton = lexicon.automaton()
+    return lambda folded: {
+        term for start, end, _ in lexicon.hits(automaton, folded)
+        for term in (folded[start : end + 1],) if term in lexicon.terms
+    }
+
+
 def _phrases(lexicon: Lexicon):
     """For a folded text: the phrases of a term with the word before or after it."""
     automaton = lexicon.automaton()
@@ -215,7 +224,7 @@ def learn(labelled: DataFrame, rows: int = LABELLED_ROWS) -> Lexicon:
     candidates = _top(_counts(positive, lambda: _terms_of), max(LEAST_TOXIC, toxic // 1000), 40 * MAX_TERMS)
     wanted = set(candidates)
     clean_counts = _top(_counts(negative, lambda: lambda folded: _terms_of(folded) & wanted), 1, 40 * MAX_TERMS)
-    lexicon = Lexicon(_select(candidates, clean_counts, toxic, clean))
+    lexicon = Lexicon(_select(candidates, clean_counts, toxic, clean, 0.5 * LEAST_ODDS))
     # Phrases that clean texts use more surely than toxic ones.
     fine = _top(_counts(negative, lambda: _phrases(lexicon)), 3, MAX_PHRASES)
     if fine:
@@ -225,6 +234,9 @@ def learn(labelled: DataFrame, rows: int = LABELLED_ROWS) -> Lexicon:
             odds, error = _odds(foul.get(phrase, 0), n, toxic, clean)
             if odds + 2 * error < 0:
                 lexicon.exceptions.add(phrase)
+    # What is left of the terms outside these phrases decides.
+    left = [_top(_counts(part, lambda: _hit_terms(lexicon)), 1, 2 * MAX_TERMS) for part in (positive, negative)]
+    lexicon.terms = _select(left[0], left[1], toxic, clean, LEAST_ODDS)
     table = _features(labelled.withColumn("id", F.col("label")), lexicon, "id").collect()
     lexicon.curve = _logistic(np.array([tuple(r) for r in table]), prior)
     return lexicon
