@@ -22,7 +22,6 @@ MAX_RULES, MAX_CONDITIONS, BINS = 8, 3, 24
 # A rule has to be right this often on the texts it was not grown on, and by Laplace's estimate still almost as often.
 LEAST_PRECISION, LEAST_SURE = 0.9, 0.75
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
@@ -33,9 +32,16 @@ FEATURES = [
 ]
 
 
-def _without(text: Column, chars: str) -> Column:
-    """Length of a text without some characters."""
-    return F.length(F.translate(text, chars, ""))
+def _replaced(text: Column, chars: str, by: str) -> Column:
+    """Each of a few characters replaced; a search for one character is much cheaper than a translation table."""
+    for c in chars:
+        text = F.replace(text, F.lit(c), F.lit(by))
+    return text
+
+
+def _count(text: Column, pattern: str) -> Column:
+    """How many characters of a class a text has."""
+    return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -47,14 +53,17 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     blanks = "\t\n\x0b\x0c\r"
     # Each step's arrays are columns that the next step reads, so nothing is worked out twice.
-    a = docs.withColumn("_words", F.filter(F.split(F.translate(t, blanks, " " * len(blanks)), " "), lambda w: w != ""))
-    a = a.withColumn("_lines", F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, " " + blanks, "")) > 0))
+    a = docs.withColumn("_spaced", _replaced(t, blanks, " "))
+    a = a.withColumn("_words", F.filter(F.split("_spaced", " "), lambda w: w != ""))
+    a = a.withColumn("_lines", F.filter(F.split(t, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
     a = a.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
     n = F.size("_words")
-    starts = F.sequence(F.lit(0), n - WINDOW)
-    a = a.withColumn("_windows", F.when(n >= WINDOW, F.transform(
-        starts, lambda i: F.xxhash64(*[F.get(F.col("_hashes"), i + k) for k in range(WINDOW)])
-    )))
+    # Hashes of runs of 2, 4 and 8 words, each from two of the half length.
+    pair = lambda x, y: F.xxhash64(x, y)
+    a = a.withColumn("_windows", F.when(n >= WINDOW, F.col("_hashes")))
+    for half in (1, 2, 4):
+        left = F.size("_windows") - half
+        a = a.withColumn("_windows", F.zip_with(F.slice("_windows", F.lit(1), left), F.slice("_windows", F.lit(half + 1), left), pair))
     a = a.withColumn("_again", F.size(F.array_distinct("_windows")) < F.size("_windows"))
     # Only texts with a window that returns sort theirs.
     pairs = F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
@@ -72,27 +81,29 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         lambda k: F.least(F.lit(WINDOW), F.get(F.col("_found"), k) - F.get(F.col("_found"), k - 1)),
     )
     repeat = F.when(F.col("_again"), WINDOW + F.aggregate(gaps, F.lit(0), lambda s, x: s + x)).otherwise(0)
-    spaces = _without(t, " " + blanks)
     a = a.withColumns({
-        "n_words": n.cast("long"), "word_chars": spaces.cast("long"),
-        "n_symbols": (F.length(t) - _without(t, SYMBOLS)).cast("long"),
+        "n_words": n.cast("long"), "word_chars": F.length(F.replace("_spaced", F.lit(" "), F.lit(""))).cast("long"),
+        "n_symbols": (F.length(t) - F.length(_replaced(t, SYMBOLS, ""))).cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_repeat_words": repeat.cast("long"),
     })
     words = F.greatest(F.col("n_words"), F.lit(1))
-    return a.withColumns({
+    shares = {
         "f_words": F.col("n_words").cast("double"),
         "f_word_length": F.col("word_chars") / words,
         "f_symbols_per_word": F.col("n_symbols") / words,
         "f_repeat_share": F.col("n_repeat_words") / words,
         "f_dup_line_share": F.col("n_dup_lines") / F.greatest(F.size("_lines"), F.lit(1)),
-        "f_upper_share": (F.length(t) - _without(t, UPPER)) / F.greatest(F.col("word_chars"), F.lit(1)),
-        "f_bangs_per_word": (F.length(t) - _without(t, "!")) / words,
+        "f_upper_share": _count(t, "[A-Z]+") / F.greatest(F.col("word_chars"), F.lit(1)),
+        "f_bangs_per_word": (F.length(t) - F.length(_replaced(t, "!", ""))) / words,
         "f_distinct_share": F.size(F.array_distinct("_hashes")) / words,
         "f_short_share": F.size(F.filter("_words", lambda w: F.length(w) <= 3)) / words,
         "f_words_per_line": F.col("n_words") / F.greatest(F.size("_lines"), F.lit(1)),
-        "f_digits_per_word": (F.length(t) - _without(t, "0123456789")) / words,
-    }).drop("_words", "_lines", "_hashes", "_windows", "_again", "_sorted", "_found")
+        "f_digits_per_word": _count(t, "[0-9]+") / words,
+    }
+    # A generator, so that a later filter on a statistic is not rewritten into one on these nested expressions.
+    found = F.struct(*COUNTS, *[value.alias(name) for name, value in shares.items()])
+    return a.select(*docs.columns, F.inline(F.array(found)))
 
 
 @dataclass(frozen=True)
@@ -165,12 +176,12 @@ def learn(labelled: DataFrame, rows: int = LABELLED_ROWS) -> list[Rule]:
     without good rows the list is empty.
     """
     names = [f"f_{f}" for f in FEATURES]
-    labelled = labelled.where("label in (0, 1)")
-    total = labelled.count()
     where = F.xxhash64(*names)
+    found = store(labelled.where("label in (0, 1)").select(*names, (F.col("label") == 0).cast("int").alias("bad")))
+    total, table = found.count(), found
     if total > rows:
-        labelled = labelled.where(F.pmod(F.xxhash64(where), F.lit(1_000_000)) < int(1_000_000 * rows / total))
-    table = store(labelled.select(*names, (F.col("label") == 0).cast("int").alias("bad"), (F.pmod(where, F.lit(3)) == 0).alias("prune")))
+        table = table.where(F.pmod(F.xxhash64(where), F.lit(1_000_000)) < int(1_000_000 * rows / total))
+    table = table.withColumn("prune", F.pmod(where, F.lit(3)) == 0)
     # Thresholds between the values at even shares of all rows and of the bad rows.
     shares = [k / BINS for k in range(1, BINS)]
     both = [*table.approxQuantile(names, shares, 1e-3), *table.where("bad = 1").approxQuantile(names, shares, 1e-3)]
@@ -194,7 +205,7 @@ def learn(labelled: DataFrame, rows: int = LABELLED_ROWS) -> list[Rule]:
         rule = _centred(rest, rule)
         rules.append(rule)
         rest = rest.where(~_holds(rule))
-    discard(table)
+    discard(found)
     return rules
 
 
