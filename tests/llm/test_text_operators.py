@@ -192,15 +192,16 @@ def test_pseudonyms_keep_the_format(value, kind):
     text = f"before {value} after {value}."
     made, counts = pii.pseudonymise(text, f)
     assert counts == {kind: 2}
-    new = made[len("before "):][:len(value)]
+    new = made[len("before "):made.index(" after")]
     assert made == f"before {new} after {new}." and new != value
     assert [c.isdigit() for c in new] == [c.isdigit() for c in value] or kind in ("secret", "ip")
+    assert kind != "ip" or len(new.split(".")) == 4
     assert pii.pseudonymise(new, f)[1] == {kind: 1}
     assert pii.pseudonymise(made, f, back=True)[0] == text
     assert pii.pseudonymise(text, pii.Feistel(b"other"))[0] != made
 
 
-@pytest.mark.parametrize("value", ["4111 1111 1111 1112", "31.02.2024", "2023-02-29", "300.1.2.3", "DE89 3704 0044 0532 0130 01", "no data 42"])
+@pytest.mark.parametrize("value", ["4111 1111 1111 1112", "31.02.2024", "2023-02-29", "300.1.2.3", "GB33BUKB20201555555556", "no data 42"])
 def test_invalid_values_stay(value):
     made, counts = pii.pseudonymise(value, pii.Feistel(b"key"))
     assert made == value and not counts
