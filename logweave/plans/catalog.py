@@ -51,6 +51,11 @@ def nested(column: str) -> Column:
     return F.array_join(F.transform(column, lambda x: F.array_join(x.cast("array<string>"), " ")), ",").alias(column)
 
 
+def digest(column: str) -> Column:
+    """Whole lines as templates are long; results with many rows per template carry their digest."""
+    return F.md5(F.col(column)).alias(f"{column}_md5")
+
+
 def micros(column: str) -> Column:
     return F.unix_micros(column).alias(column)
 
@@ -295,7 +300,7 @@ def l3_template_ids(spark, folder):
 @query
 def l4_token_ids(spark, folder):
     words = vocab.template_tokens(log_docs(spark, folder))
-    return vocab.encode_tokens(words, doc_vocab(spark, folder, 3)).select("template", "token_pos", "token_id")
+    return vocab.encode_tokens(words, doc_vocab(spark, folder, 3)).select(digest("template"), "token_pos", "token_id")
 
 
 @query
@@ -322,7 +327,9 @@ def l6_filter_unseen_normal(spark, folder):
 def l7_vocabulary_vectors(spark, folder):
     vocabulary = doc_vocab(spark, folder)
     made = vocab.vocabulary_vectors(vocabulary, word_vectors(spark, folder, vocabulary), VECTOR_DIM)
-    return made.select("token", "token_id", "has_vec", F.posexplode("vec").alias("dim", "value")).select(
+    # Entries without a vector, all zeros, take one row.
+    given = F.when(F.col("has_vec") == 1, F.col("vec"))
+    return made.select("token", "token_id", "has_vec", F.posexplode_outer(given).alias("dim", "value")).select(
         "token", "token_id", "has_vec", "dim", rounded("value"))
 
 
@@ -598,14 +605,14 @@ def f3_window_token_ids(spark, folder):
 def f4_tfidf(spark, folder):
     docs = doc_templates(spark, folder)
     made = features.tfidf(docs, docs, doc_vocab(spark, folder, docs=docs))
-    return made.select("template", "token_id", rounded("weight"))
+    return made.select(digest("template"), "token_id", rounded("weight"))
 
 
 @query
 def f4_tfidf_lower_first(spark, folder):
     docs = doc_templates(spark, folder)
     made = features.tfidf(docs, docs.where("doc_id % 2 = 0"), doc_vocab(spark, folder, docs=docs), lower_first=True)
-    return made.select("template", "token_id", rounded("weight"))
+    return made.select(digest("template"), "token_id", rounded("weight"))
 
 
 @query
@@ -628,7 +635,7 @@ def _template_vectors(spark, folder, docs: DataFrame) -> DataFrame:
 @query
 def f6_summed_embedding(spark, folder):
     made = _template_vectors(spark, folder, doc_templates(spark, folder))
-    return made.select("template", F.posexplode("vec").alias("dim", "value")).select("template", "dim", rounded("value"))
+    return made.select(digest("template"), F.posexplode("vec").alias("dim", "value")).select("template_md5", "dim", rounded("value"))
 
 
 @query
@@ -636,7 +643,7 @@ def f7_weighted_embedding(spark, folder):
     docs = doc_templates(spark, folder)
     vocabulary, table_ = _vectors(spark, folder, docs)
     made = features.weighted_embedding(features.tfidf(docs, docs, vocabulary), table_)
-    return made.select("template", F.posexplode("vec").alias("dim", "value")).select("template", "dim", rounded("value"))
+    return made.select(digest("template"), F.posexplode("vec").alias("dim", "value")).select("template_md5", "dim", rounded("value"))
 
 
 @query
@@ -740,6 +747,20 @@ def d7_best_candidate(spark, folder):
     return detect.select_best(metrics.withColumnRenamed("k", "candidate"), patience=2).select("candidate", rounded("f1"), "stopped_at")
 
 
+@query
+def d7_order_search(spark, folder):
+    """Next-event models of growing order, until two in a row are no better."""
+    data = dataset(spark, folder)
+    train, test = (materialize(windows.sliding_windows(part, SIZE, STRIDE)) for part in (data.train, data.test))
+
+    def metrics(order: int) -> DataFrame:
+        model = materialize(detect.fit_next_event(train, order, K))
+        return evaluate.topk_metrics(detect.score_next_event(test, model, order), 1)
+
+    found = detect.search(range(1, 5), metrics, 2, spark)
+    return found.select("candidate", rounded("f1"), "stopped_at")
+
+
 # ---- evaluation -----------------------------------------------------------------------------
 
 

@@ -155,7 +155,7 @@ for least in (1, 2, 3):
     PARTS[f"token_vocab{least}"] = f"""
   SELECT token, CAST(row_number() OVER (ORDER BY token) + 1 AS INTEGER) AS token_id, n FROM token_counts WHERE n >= {least}"""
 add("l4_token_ids", """
-  SELECT w.template, w.token_pos, coalesce(v.token_id, 1) AS token_id FROM template_words w LEFT JOIN token_vocab3 v USING (token)""")
+  SELECT md5(w.template) AS template_md5, w.token_pos, coalesce(v.token_id, 1) AS token_id FROM template_words w LEFT JOIN token_vocab3 v USING (token)""")
 PARTS["doc_split30"] = """
   SELECT doc_id, CASE WHEN r <= CAST(trunc(CAST(1 - 0.3::DOUBLE AS DOUBLE) * n) AS BIGINT) THEN 'train'
                       WHEN r > n - CAST(trunc(0.3::DOUBLE * n) AS BIGINT) THEN 'test' END AS split
@@ -176,7 +176,9 @@ PARTS["token_vectors"] = """
   FROM all_tokens a LEFT JOIN embeddings e ON e.vec_id = a.token_id AND a.token_id >= 2"""
 PARTS["vector_dims"] = """
   SELECT token, token_id, has_vec, CAST(generate_subscripts(vec, 1) - 1 AS INTEGER) AS dim, unnest(vec) AS v FROM token_vectors"""
-add("l7_vocabulary_vectors", "SELECT token, token_id, has_vec, dim, round(v, 6) AS value FROM vector_dims")
+add("l7_vocabulary_vectors", """
+  SELECT token, token_id, has_vec, dim, round(v, 6) AS value FROM vector_dims WHERE has_vec = 1
+  UNION ALL SELECT token, token_id, has_vec, NULL, NULL FROM token_vectors WHERE has_vec = 0""")
 add("l7_vector_coverage", """
   SELECT count(*) AS entries, CAST(sum(has_vec) AS BIGINT) AS with_vector, round(avg(has_vec), 6) AS coverage FROM token_vectors""")
 
@@ -432,17 +434,18 @@ def _tfidf(train_filter: str, tokens_of: str) -> str:
 
 
 PARTS["doc_tfidf"] = _tfidf("", TOKENS.format(text="template"))
-add("f4_tfidf", "SELECT template, token_id, round(weight, 6) AS weight FROM doc_tfidf")
+add("f4_tfidf", "SELECT md5(template) AS template_md5, token_id, round(weight, 6) AS weight FROM doc_tfidf")
 add("f4_tfidf_lower_first", f"""
-  SELECT template, token_id, round(weight, 6) AS weight FROM ({_tfidf("WHERE doc_id % 2 = 0", TOKENS.format(text="lower(template)"))})""")
+  SELECT md5(template) AS template_md5, token_id, round(weight, 6) AS weight FROM ({_tfidf("WHERE doc_id % 2 = 0", TOKENS.format(text="lower(template)"))})""")
 add("f5_word_vectors", """
   SELECT token_id, token, round(sum(v * v), 6) AS squared_length FROM vector_dims GROUP BY 1, 2""")
 PARTS["template_vectors"] = """
   SELECT t.template, d.dim, sum(d.v) AS value
   FROM (SELECT template, unnest(CASE WHEN len(token_ids) = 0 THEN [0] ELSE token_ids END) AS token_id FROM template_ids_1) t JOIN vector_dims d USING (token_id) GROUP BY 1, 2"""
-add("f6_summed_embedding", "SELECT template, dim, round(value, 6) AS value FROM template_vectors")
+add("f6_summed_embedding", "SELECT md5(template) AS template_md5, dim, round(value, 6) AS value FROM template_vectors")
 add("f7_weighted_embedding", """
-  SELECT t.template, d.dim, round(sum(t.weight * d.v), 6) AS value FROM doc_tfidf t JOIN vector_dims d USING (token_id) GROUP BY 1, 2""")
+  SELECT md5(t.template) AS template_md5, d.dim, round(sum(t.weight * d.v), 6) AS value
+  FROM doc_tfidf t JOIN vector_dims d USING (token_id) GROUP BY t.template, d.dim""")
 PARTS["doc_positions"] = """
   SELECT CAST(doc_id AS VARCHAR) AS session_id, template, row_number() OVER (PARTITION BY doc_id ORDER BY line_id) - 1 AS pos,
          count(*) OVER (PARTITION BY doc_id) AS n FROM log_docs"""
@@ -474,11 +477,11 @@ add("a4_time_session_samples", f"SELECT session_id, window_idx, {IDS} AS feature
 # ---- detectors ------------------------------------------------------------------------------
 
 CONTEXT = "array_to_string(ids[i + 1:i + len][greatest(len - {last} + 1, 1):len], ' ')"
-def _top(windows: str) -> str:
+def _top(windows: str, order: int = ORDER) -> str:
     """The first K next events of each context, of every length, in ``windows``."""
     contexts = " UNION ALL ".join(
         f"SELECT {CONTEXT.format(last=m)} AS context, next_id FROM {windows} WHERE len >= {m}" if m else
-        f"SELECT '' AS context, next_id FROM {windows}" for m in range(ORDER + 1))
+        f"SELECT '' AS context, next_id FROM {windows}" for m in range(order + 1))
     return f"""
   SELECT context, array_to_string(list(next_id ORDER BY r), ',') AS topk, list(next_id ORDER BY r) AS tops
   FROM (SELECT *, row_number() OVER (PARTITION BY context ORDER BY n DESC, next_id) AS r
@@ -680,3 +683,25 @@ add("a1_semantic_extractor", f"""
   SELECT session_id, window_idx, array_to_string({_padded('toks', SIZE, "'0 0 0 0'")}, ',') AS features, anomaly,
          2 AS num_labels, (SELECT CAST(count(*) + 2 AS INTEGER) FROM event_tokens) AS vocab_size
   FROM semantic_windows""")
+
+# Best order of the next-event model: one table of contexts up to the longest order serves all candidates.
+PARTS["context_top4"] = _top("train_windows", 4)
+PARTS["order_tries"] = " UNION ALL ".join(
+    f"SELECT session_id, window_idx, anomaly, next_id, {m} AS used, " + (CONTEXT.format(last=m) if m else "''")
+    + f" AS context FROM test_windows WHERE len >= {m}" for m in range(5))
+PARTS["order_picked"] = """
+  SELECT o.candidate, session_id, window_idx, any_value(anomaly) AS anomaly, any_value(next_id) AS next_id, arg_max(m.tops, used) AS tops
+  FROM order_tries t JOIN context_top4 m USING (context) JOIN (SELECT CAST(unnest([1, 2, 3, 4]) AS INTEGER) AS candidate) o ON t.used <= o.candidate
+  GROUP BY 1, 2, 3"""
+PARTS["order_sessions"] = """
+  SELECT candidate AS k, session_id, CAST(max(CAST(coalesce(tops[1] <> next_id, true) AS INTEGER)) AS INTEGER) AS pred, CAST(max(anomaly) > 0 AS INTEGER) AS truth
+  FROM order_picked GROUP BY 1, 2"""
+PARTS["order_measured"] = _metrics("order_sessions")
+PARTS["order_patience"] = """
+  SELECT *, max(CASE WHEN best IS NULL OR f1 > best THEN k END) OVER (ORDER BY k) AS last
+  FROM (SELECT *, max(f1) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM order_measured)"""
+PARTS["order_patient"] = """
+  SELECT * FROM order_patience WHERE k <= coalesce((SELECT min(k) FROM order_patience WHERE k - last >= 2), 1000000)"""
+add("d7_order_search", """
+  SELECT k AS candidate, round(f1, 6)::DOUBLE AS f1, (SELECT max(k) FROM order_patient) AS stopped_at FROM order_patient
+  ORDER BY order_patient.f1 DESC, k LIMIT 1""")

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 # The size is that of the rows as JSON text, which is close to their size in memory.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 128 << 20
+# Times that a stored table may grow in memory; between its size and that bound its rows are measured.
+EXPANSION = 16
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -50,8 +52,21 @@ def discard(*stored: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def _stored_bytes(df: DataFrame) -> int | None:
+    """Size of the files of a table made by ``materialize``; None for any other."""
+    path = getattr(df, "stored_path", None)
+    if path is None:
+        return None
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    files = path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf())
+    return files.getContentSummary(path).getLength()
+
+
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """Measure a table against the broadcast bounds."""
+    """Measure a table against the broadcast bounds: a stored one by its files and row count, else row by row."""
+    stored = _stored_bytes(df)
+    if stored is not None and (stored > size or stored * EXPANSION <= size):
+        return stored <= size and df.count() <= rows
     text = F.octet_length(F.to_json(F.struct(*df.columns))).cast("long")
     found, taken = df.agg(F.count(F.lit(1)), F.sum(text)).first()
     return found <= rows and (taken or 0) <= size

@@ -25,22 +25,22 @@ def gap_chunk(times, interval):
 
 
 def sliding(ids, labels, size, stride, pad=1, tail=True, compat=False):
-    """(index, ids, next, anomaly, classes) of one session."""
-    n, i, out = len(ids), 0, []
+    """(index, ids, next, anomaly, classes) of one session, from the closed form: full windows start at 0, s, 2s, ..
+    below n - size, and the tail window at the next multiple of the stride."""
+    n = len(ids)
     cls = [t if l > 0 else 0 for t, l in zip(ids, labels)]
-    while i + size < n:
-        out.append((i // stride, ids[i:i + size], ids[i + size], int(1 in labels[i:i + size + 1]), cls[i:i + size]))
-        i += stride
+    whole = -(-max(n - size, 0) // stride)
+    fill = lambda values, filler: values + [filler] * (size - len(values))
+    out = [
+        (k, ids[k * stride:k * stride + size], ids[k * stride + size], max(labels[k * stride:k * stride + size + 1]),
+         cls[k * stride:k * stride + size])
+        for k in range(whole)
+    ]
     if tail:
-        rest = ids[i:n - 1] if i < n - 1 else []
-        classes = cls[i:n - 1] if i < n - 1 else []
-        fill = 0
-        if compat:
-            classes, fill = cls[:max(n - i, 0)], 1
-        out.append((
-            i // stride, rest + [pad] * (size - len(rest)), ids[-1], int(1 in labels[i:]),
-            classes + [fill] * (size - len(classes)),
-        ))
+        start = whole * stride
+        rest = slice(start, max(n - 1, start))
+        classes = fill(cls[:max(n - start, 0)], 1) if compat else fill(cls[rest], 0)
+        out.append((whole, fill(ids[rest], pad), ids[-1], max(labels[start:], default=0), classes))
     return out
 
 
