@@ -48,6 +48,22 @@ _SUBSTITUTED = str.maketrans(SUBSTITUTES)
 _FOREIGN = re.compile("[" + "".join([*HOMOGLYPHS, *_WIDE, *_INVISIBLE]) + "]")
 _MIXED = re.compile(r"[^\W_]*(?:(?<=[^\W\d_])[0134578@$!|](?=[^\W_]|[@$])|[0134578@$](?=[@$!|\d]*[^\W\d_]))[\w@$!|]*")
 _GAP = re.compile(r"[\W\d_]+")
+_SIGN, _BLANK = re.compile(r"[0134578@$!|]"), re.compile(r"\s")
+
+
+def _unmasked(text: str) -> str:
+    """Signs that stand for letters replaced, only in the words that have such signs."""
+    out, at = [], 0
+    for sign in _SIGN.finditer(text):
+        k = sign.start()
+        if k < at:
+            continue
+        start = max(text.rfind(" ", at, k), text.rfind("\n", at, k)) + 1 or at
+        blank = _BLANK.search(text, k)
+        end = blank.start() if blank else len(text)
+        out += [text[at:start], _MIXED.sub(lambda m: m[0].rstrip("!|").translate(_SUBSTITUTED), text[start:end])]
+        at = end
+    return "".join([*out, text[at:]]) if out else text
 
 
 def fold(text: str | None) -> str:
@@ -55,8 +71,7 @@ def fold(text: str | None) -> str:
     text = (text or "").lower()
     if _FOREIGN.search(text):
         text = text.translate(_LOOKS)
-    text = _MIXED.sub(lambda m: m[0].rstrip("!|").translate(_SUBSTITUTED), text)
-    return f" {_GAP.sub(' ', text).strip()} "
+    return f" {_GAP.sub(' ', _unmasked(text)).strip()} "
 
 
 @dataclass
@@ -92,16 +107,26 @@ class Lexicon:
                 found[start] = (end, weight)
         return [(s, e, w) for s, (e, w) in found.items() if not any(a <= s and e <= b + 1 for a, b in spans)]
 
-    def features(self, automaton, text: str | None) -> tuple[float, float, float]:
-        """Sum of the weights, and the same by length, both damped; the number of terms."""
-        folded = fold(text)
+    def features(self, automaton, folded: str) -> tuple[float, float, float]:
+        """Of a folded text: sum of the weights, and the same by length, both damped; the number of terms."""
         hits = self.hits(automaton, folded)
         total, words = sum(w for _, _, w in hits), folded.count(" ")
         return math.log1p(total), math.log1p(100 * total / (20 + words)), math.log1p(len(hits))
 
 
+def _folded(labelled: DataFrame) -> DataFrame:
+    """``text, label`` with folded texts."""
+    schema = pa.schema([("text", pa.string()), ("label", pa.int32())])
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            yield rows_of(schema, text=[fold(t) for t in batch.column(0).to_pylist()], label=batch.column(1))
+
+    return map_batches(labelled, run, "text string, label int")
+
+
 def _features(docs: DataFrame, lexicon: Lexicon, key: str) -> DataFrame:
-    """``key`` and the three features of every text."""
+    """``key`` and the three features of every folded text."""
     schema = pa.schema([(key, pa.int64()), *[(n, pa.float64()) for n in ("f0", "f1", "f2")]])
 
     def run(batches: Batches) -> Batches:
@@ -131,7 +156,7 @@ def _terms_of(folded: str) -> set[str]:
 
 
 def _counts(texts: DataFrame, of_text) -> DataFrame:
-    """``term, n``: in how many texts each term stands, added up within batches before the shuffle."""
+    """``term, n``: in how many folded texts each term stands, added up within batches before the shuffle."""
     schema = pa.schema([("term", pa.string()), ("n", pa.int64())])
 
     def run(batches: Batches) -> Batches:
@@ -139,7 +164,7 @@ def _counts(texts: DataFrame, of_text) -> DataFrame:
         for batch in batches:
             found = Counter()
             for text in batch.column(0).to_pylist():
-                found.update(pick(fold(text)))
+                found.update(pick(text))
             yield rows_of(schema, term=list(found), n=list(found.values()))
 
     return map_batches(texts.select("text"), run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
@@ -214,7 +239,8 @@ def learn(labelled: DataFrame, rows: int = LABELLED_ROWS) -> Lexicon:
     total = labelled.count()
     if total > rows:
         labelled = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * rows / total))
-    labelled = store(labelled)
+    # Folded once; everything below reads these texts.
+    labelled = store(_folded(labelled))
     sizes = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
     prior = math.log((toxic + 0.5) / (clean + 0.5))
@@ -272,7 +298,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     def rate(texts: list, _: dict) -> dict[str, list]:
         if not automata:
             automata.append(lexicon.automaton())
-        x = np.array([lexicon.features(automata[0], t) for t in texts]).reshape(-1, 3)
+        x = np.array([lexicon.features(automata[0], fold(t)) for t in texts]).reshape(-1, 3)
         z = lexicon.curve[0] + x @ np.array(lexicon.curve[1:])
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         return {"score": p, "predicted": (p >= 0.5).astype(np.int32)}
