@@ -1,8 +1,8 @@
 """Format-preserving pseudonyms for personal data.
 
-Values that pass their check (card numbers by Luhn, account numbers by modulo 97, dates by the calendar, addresses and
-telephone numbers by their parts) are permuted by a keyed Feistel network within the set of values of the same
-format. The same value and key always give the same pseudonym, so documents stay linked; the key undoes it.
+Values that pass their check (card numbers by Luhn, account numbers by modulo 97, dates by the calendar, addresses
+by parts up to 255; any digits in telephone numbers that are written with a plus, brackets or separators) are permuted by a keyed
+Feistel network within the set of values of the same format. The same value and key always give the same pseudonym, so documents stay linked; the key undoes it.
 """
 
 from __future__ import annotations
@@ -65,6 +65,11 @@ def luhn_digit(digits: str) -> str:
     return str(-total % 10)
 
 
+# Telephone numbers of the North American layout, with or without a country code.
+_NATIONAL = r"(?:\+?\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-]?)\d{3}[ .-]?\d{4}"
+_PHONE_3_3_4 = re.compile(_NATIONAL)
+
+
 def _digits(text: str) -> str:
     return "".join(c for c in text if c.isdigit())
 
@@ -90,26 +95,31 @@ def _card(f: Feistel, text: str, back: bool) -> str | None:
 
 def _phone(f: Feistel, text: str, back: bool) -> str | None:
     digits = _digits(text)
-    head, own = digits[:-10], digits[-10:]
-    if len(own) < 10 or own[0] in "01" or own[3] in "01" or len(head) > 3:
-        return None
-    # Area code and exchange begin with 2 to 9.
-    n = ((int(own[0]) - 2) * 8 + int(own[3]) - 2) * 10**8 + int(own[1:3] + own[4:])
-    n = f.permute(n, 64 * 10**8, "phone", back)
-    first, rest = divmod(n, 10**8)
-    rest = str(rest).zfill(8)
-    return _refill(text, head + str(first // 8 + 2) + rest[:2] + str(first % 8 + 2) + rest[2:])
+    if digits == text:
+        # Ten or more digits in a row may be any number: only those whose area code and exchange begin with 2 to 9.
+        head, own = digits[:-10], digits[-10:]
+        if own[0] in "01" or own[3] in "01":
+            return None
+        n = ((int(own[0]) - 2) * 8 + int(own[3]) - 2) * 10**8 + int(own[1:3] + own[4:])
+        n = f.permute(n, 64 * 10**8, "phone", back)
+        first, rest = divmod(n, 10**8)
+        rest = str(rest).zfill(8)
+        return head + str(first // 8 + 2) + rest[:2] + str(first % 8 + 2) + rest[2:]
+    # A number that is written as one has any digits. The country code stays: what stands before ten digits of the
+    # North American layout, else the first group after the plus, of which a longer one gives two digits.
+    if _PHONE_3_3_4.fullmatch(text):
+        head = len(digits) - 10
+    else:
+        group = len(re.match(r"\+(\d+)", text)[1])
+        head = group if group <= 3 else 2
+    return _refill(text, digits[:head] + _number(f, digits[head:], "phone", back))
 
 
 def _ip(f: Feistel, text: str, back: bool) -> str | None:
     parts = [int(p) for p in text.split(".")]
     if any(p > 255 for p in parts) or any(len(p) > 1 and p[0] == "0" for p in text.split(".")):
         return None
-    # The first part is neither 0 nor beyond 223.
-    if not 1 <= parts[0] <= 223:
-        return None
-    n = int.from_bytes(bytes(parts), "big") - (1 << 24)
-    n = f.permute(n, 223 << 24, "ip", back) + (1 << 24)
+    n = f.permute(int.from_bytes(bytes(parts), "big"), 1 << 32, "ip", back)
     return ".".join(map(str, n.to_bytes(4, "big")))
 
 
@@ -147,10 +157,19 @@ def _iban(f: Feistel, text: str, back: bool) -> str | None:
     return "".join(next(plain) if c != " " else c for c in text)
 
 
-def _ssn(f: Feistel, text: str, back: bool) -> str | None:
+def _issued(area: int, group: int, serial: int) -> bool:
+    return 1 <= area <= 899 and area != 666 and group > 0 and serial > 0
+
+
+def _ssn(f: Feistel, text: str, back: bool) -> str:
     area, group, serial = (int(p) for p in text.split("-"))
-    if not 1 <= area <= 899 or area == 666 or not group or not serial:
-        return None
+    if not _issued(area, group, serial):
+        # Numbers that are never issued are permuted among themselves.
+        n = int(_digits(text))
+        while True:
+            n = f.permute(n, 10**9, "other ssn", back)
+            if not _issued(n // 10**6, n // 10**4 % 100, n % 10**4):
+                return _refill(text, f"{n:09d}")
     n = (((area - 1 - (area > 666)) * 99) + group - 1) * 9999 + serial - 1
     n = f.permute(n, 898 * 99 * 9999, "ssn", back)
     n, serial = divmod(n, 9999)
@@ -158,25 +177,49 @@ def _ssn(f: Feistel, text: str, back: bool) -> str | None:
     return f"{area + 1 + (area >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
 
 
-# Days that dates are permuted within.
+# Days that dates are permuted within; all days outside of them are permuted among themselves.
 _FIRST_DAY, _DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
+_BEFORE, _ALL = _FIRST_DAY.toordinal() - 1, date.max.toordinal()
 
 
-def _date(order: str) -> Callable:
-    """Dates written in the order of 'ymd', 'dmy' or 'mdy'; separators and the width of the parts stay."""
+def _moved(f: Feistel, day: date, back: bool) -> date:
+    n = day.toordinal() - 1 - _BEFORE
+    if 0 <= n < _DAYS:
+        return _FIRST_DAY + timedelta(f.permute(n, _DAYS, "date", back))
+    n = f.permute(n + _BEFORE if n < 0 else n + _BEFORE - _DAYS, _ALL - _DAYS, "far date", back)
+    return date.fromordinal(n + 1 if n < _BEFORE else n + 1 + _DAYS)
+
+
+def _date(order: str, other: str | None = None) -> Callable:
+    """Dates written in the order of 'ymd', 'dmy' or 'mdy'; separators and the width of the parts stay.
+
+    A text that is no date in ``order`` may be one in the ``other`` order, with a day beyond 12; so is its pseudonym. Beside a
+    part of one digit, parts of two digits stay below 10 or not, so that the pseudonym can be undone.
+    """
+
+    def written(day: date, order: str, widths: list[int]) -> tuple[list[str], list]:
+        value = {"y": day.year, "m": day.month, "d": day.day}
+        parts = [str(value[k]).zfill(w) for k, w in zip(order, widths)]
+        mixed = 1 in widths
+        return parts, [len(p) if mixed else w for p, w in zip(parts, widths)] + [mixed and value[k] > 9 for k in order]
 
     def permute(f: Feistel, text: str, back: bool) -> str | None:
         parts = re.split(r"([-./])", text)
-        value = dict(zip(order, (int(p) for p in parts[::2])))
-        try:
-            day = (date(value["y"], value["m"], value["d"]) - _FIRST_DAY).days
-        except ValueError:
-            return None
-        if not 0 <= day < _DAYS:
-            return None
-        new = _FIRST_DAY + timedelta(f.permute(day, _DAYS, "date", back))
-        text = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
-        return parts[1].join(text[k] for k in order)
+        widths = [len(p) for p in parts[::2]]
+        for way in (order, other):
+            value = dict(zip(way or "", (int(p) for p in parts[::2])))
+            try:
+                day = date(value["y"], value["m"], value["d"])
+            except (KeyError, ValueError):
+                continue
+            shape = written(day, way, widths)[1]
+            # Walks on until the pseudonym has the form of the value.
+            while True:
+                day = _moved(f, day, back)
+                made, form = written(day, way, widths)
+                if form == shape and (way == order or day.day > 12):
+                    return parts[1].join(made)
+        return None
 
     return permute
 
@@ -203,12 +246,12 @@ KINDS: tuple[tuple[str, str, Callable], ...] = (
     ("secret", r"(?<![\w])(?:password|passwd|token|secret|api_key|apikey)\s*[=:]\s*[\"']?[A-Za-z0-9+/_-]{8,}", _secret),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
     ("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)", _ip),
-    ("date_ymd", r"(?<![\d./-])\d{4}(?:-\d{2}-|/\d{2}/|\.\d{2}\.)\d{2}(?![\d]|[./-]\d)", _date("ymd")),
-    ("date_dmy", r"(?<![\d./-])\d{2}(?:\.\d{2}\.|-\d{2}-)\d{4}(?![\d]|[./-]\d)", _date("dmy")),
-    ("date_mdy", r"(?<![\d./-])\d{2}/\d{2}/\d{4}(?![\d]|[./-]\d)", _date("mdy")),
+    ("date_ymd", r"(?<![\d./-])\d{4}(?:-\d{1,2}-|/\d{1,2}/|\.\d{1,2}\.)\d{1,2}(?![\d]|[./-]\d)", _date("ymd")),
+    ("date_dmy", r"(?<![\d./-])\d{1,2}(?:\.\d{1,2}\.|-\d{1,2}-)\d{4}(?![\d]|[./-]\d)", _date("dmy", "mdy")),
+    ("date_mdy", r"(?<![\d./-])\d{1,2}/\d{1,2}/\d{4}(?![\d]|[./-]\d)", _date("mdy", "dmy")),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", _ssn),
     ("card", r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])", _card),
-    ("phone", r"(?<![\w+(])(?:\+?\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-]?)\d{3}[ .-]?\d{4}(?![\w-])", _phone),
+    ("phone", rf"(?<![\w+(]){_NATIONAL}(?![\w-])|(?<![\w+])\+\d(?:(?:[ ./-]|[ .-]?\(|\)[ .-]?)?\d){{6,14}}(?![\w-])", _phone),
 )
 NAMES = [name for name, _, _ in KINDS]
 _CLAIM = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern, _ in KINDS))

@@ -207,6 +207,20 @@ def test_invalid_values_stay(value):
     assert made == value and not counts
 
 
+@pytest.mark.parametrize("value", [
+    "233.254.104.120", "248.40.198.62", "0.1.2.3", "255.255.255.255", "+1 (017) 555-7713", "017-155-7713", "+49 30 1234567",
+    "+442079460958", "+33 1 42 68 53 00", "31/12/1999", "3/5/2021", "12/5/2021", "05/3/2021", "12-31-1999", "1.2.2024",
+    "2021-3-5", "28/2/1850", "31.12.9999", "987-65-4320",
+])
+def test_whole_range_of_formats(value):
+    f = pii.Feistel(b"key")
+    text = f"a {value}, b"
+    made, counts = pii.pseudonymise(text, f)
+    assert value not in made and sum(counts.values()) == 1
+    assert pii.pseudonymise(made, f)[1] == counts and pii.pseudonymise(made, f, back=True)[0] == text
+    assert "." in value or [c.isdigit() for c in made] == [c.isdigit() for c in text]
+
+
 def test_pseudonyms_of_odd_rows(documents):
     made = pii.pseudonymise_documents(clashing(documents(ODD), "n_card"), "key")
     assert sorted((r.doc_id or 0, r.text or "") for r in made.collect()) == sorted((d or 0, t or "") for d, t in ODD)

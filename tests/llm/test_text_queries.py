@@ -67,6 +67,25 @@ def test_pseudonyms_can_be_undone(spark, texts):
     assert {r.doc_id: r.text for r in back.collect()} == texts
 
 
+@pytest.mark.parametrize("pattern", [
+    r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.])", r"\+\d[\d ().-]{6,}\d", r"\(?\b\d{3}\)?[ .-]\d{3}[ .-]\d{4}\b",
+    r"\b\d{1,2}([./-])\d{1,2}\1\d{4}\b", r"\b\d{4}-\d{1,2}-\d{1,2}\b", r"\b\d{3}-\d{2}-\d{4}\b",
+])
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.1"])
+def test_no_value_stays_in_clear(spark, pattern, scale):
+    """Values of a format, found by a pattern of the test's own, are all replaced."""
+    import re
+
+    folder = DATA / scale
+    if not folder.exists():
+        pytest.skip("test tables are not here")
+    find = lambda text: [m[0] for m in re.finditer(pattern, text or "")]
+    before = {d: found for d, t in connect(folder).sql("SELECT doc_id, text FROM documents").fetchall() if (found := find(t))}
+    made = QUERIES["op3_pii_pseudonyms"](spark, str(folder)).select("doc_id", "text")
+    after = {r.doc_id: r.text for r in made.collect() if r.doc_id in before}
+    assert not [v for d, found in before.items() for v in found if v in find(after[d])]
+
+
 def test_pipeline_stages(spark, texts):
     """Every stage's decision against plain Python on what the stage before it kept."""
     import corpus_pipeline
