@@ -9,14 +9,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logweave.llm import shingles
 from logweave.llm.common import Batches, discard, map_batches, rows_of, store
-from logweave.llm.components import components
+from logweave.llm.components import components, roots
 
 # Rows before a row, in sorted order, that it is compared with.
 NEIGHBOURS = 3
 # Candidates of each id that are confirmed first; all others follow where classes still differ.
 FIRST_PAIRS = 3
 
+# Nodes and shingles of a block of a crowded bucket: two blocks are compared in one piece.
+BLOCK_NODES, BLOCK_SHINGLES = 512, 1 << 20
+# Shingles that this many nodes of two blocks share are compared by matrix products, rarer ones pair by pair.
+DENSE_FROM, DENSE_COLUMNS = 16, 2048
+
 _FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("score", pa.float64()), ("key", pa.binary()), ("sketch", pa.binary())])
 
 
@@ -134,3 +140,126 @@ def confirmed_classes(
     result = store(components(classes.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)))
     discard(pairs, texts, chosen, rest, classes)
     return result, links
+
+
+def _overlaps(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """The number of common values of each set of ``one`` and each of ``two``."""
+    sets = one + two
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(column, kind="stable")
+    row, column, first = row[order], column[order], np.concatenate(([0], np.cumsum(count)))
+    n, common = len(one), np.zeros((len(one), len(two)), np.float32)
+    dense = np.flatnonzero(count >= DENSE_FROM)
+    for at in range(0, len(dense), DENSE_COLUMNS):
+        some = dense[at : at + DENSE_COLUMNS]
+        mark = np.zeros((len(sets), len(some)), np.float32)
+        mark[np.concatenate([row[first[c] : first[c + 1]] for c in some]), np.repeat(np.arange(len(some)), count[some])] = 1
+        common += mark[:n] @ mark[n:].T
+    # Rows ascend within a column, so every pair of a column is a value and one some places behind it.
+    left = np.flatnonzero((count[column] > 1) & (count[column] < DENSE_FROM))
+    row, column = row[left], column[left]
+    for step in range(1, DENSE_FROM):
+        a, b = row[:-step], row[step:]
+        hit = (column[:-step] == column[step:]) & (a < n) & (b >= n)
+        if len(a):
+            np.add.at(common, (a[hit], b[hit] - n), 1)
+    return common
+
+
+def _linked(ids: list[np.ndarray], sets: list[list[np.ndarray]], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of an id of the first and one of the last block whose sets are similar."""
+    sizes = [np.array([len(x) for x in part]) for part in (sets[0], sets[-1])]
+    common = _overlaps(sets[0], sets[-1]).astype(np.int64)
+    i, j = np.nonzero(100 * common >= percent * (sizes[0][:, None] + sizes[1][None, :] - common))
+    a, b = ids[0][i], ids[-1][j]
+    return a[a != b], b[a != b]
+
+
+def crowded_links(
+    bands: DataFrame, classes: DataFrame, fetch: Callable[[DataFrame], DataFrame], width: int, percent: int
+) -> DataFrame:
+    """``a, b``: links between classes, from all pairs of the nodes that share a band, however many they are.
+
+    ``bands`` (``id``, ``bands``: array of hashes) are all nodes, ``classes`` (``id, component``) those with a link so far.
+    A bucket, the nodes with one hash, takes part while its nodes are in more than one class. It is cut by a hash of the
+    id into blocks of bounded size, and every two blocks are compared in one piece, on their full shingle sets;
+    pieces are spread over the tasks. Of the links of a piece a forest is returned, which joins the same nodes.
+    """
+    rows = bands.join(classes, "id", "left").select("id", F.coalesce("component", "id").alias("component"), F.explode("bands").alias("band"))
+    # Stored, so that a few buckets are broadcast and many are not.
+    open_ = store(
+        rows.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        .where("low != high").select("band")
+    )
+    if open_.isEmpty():
+        discard(open_)
+        return classes.select(F.col("id").alias("a"), F.col("component").alias("b")).limit(0)
+    members = store(rows.join(open_.select("band"), "band").select("id", "band", "component"))
+    texts = fetch(members.select("id").distinct())
+
+    def sets(batches: Batches) -> Batches:
+        schema = pa.schema([("id", pa.int64()), ("size", pa.int64()), ("shingles", pa.binary())])
+        for batch in batches:
+            made = shingles.text_shingles(batch.column(1).to_pylist(), width)
+            yield rows_of(schema, id=batch.column(0), size=[len(x) for x in made], shingles=[x.tobytes() for x in made])
+
+    held = store(map_batches(texts, sets, "id long, size long, shingles binary"))
+    sized = store(members.join(held.select("id", "size"), "id").select("id", "band", "component", "size"))
+    each = sized.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    # The largest class of a bucket is not compared with itself.
+    largest = F.max(F.struct("n", "size", "component"))
+    total = store(each.groupBy("band").agg(largest.alias("main"), F.sum("n").alias("n"), F.sum("size").alias("total")))
+    parts = lambda n, size: F.greatest(F.lit(1), F.ceil(n / BLOCK_NODES), F.ceil(size / BLOCK_SHINGLES)).cast("int")
+    dealt = sized.join(total.select(
+        "band", F.col("main.component").alias("main"), parts(F.col("main.n"), F.col("main.size")).alias("main_parts"),
+        parts(F.col("n") - F.col("main.n"), F.col("total") - F.col("main.size")).alias("rest_parts"),
+    ), "band").withColumn("is_main", F.col("component") == F.col("main"))
+    place = lambda n: F.pmod(F.xxhash64("id", "band"), F.col(n)).cast("int")
+    block = F.when(F.col("is_main"), F.col("rest_parts") + place("main_parts")).otherwise(place("rest_parts"))
+    # The pieces of a block: those with every block of the rest, and for one of the rest with those of the largest class too.
+    last = F.col("rest_parts") - 1 + F.when(F.col("is_main"), 0).otherwise(F.col("main_parts"))
+    paired = dealt.select("id", "band", block.alias("block"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    pieces = store(paired.select("id", "band", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block"))
+    joined = pieces.join(held, "id").select("band", "one", "two", "block", "id", "shingles")
+    n_tasks = max(1, int(bands.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    joined = joined.repartition(n_tasks, "band", "one", "two").sortWithinPartitions("band", "one", "two", "block")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(batches: Batches) -> Batches:
+        piece, ids, made = None, {}, {}
+
+        def done() -> pa.RecordBatch | None:
+            blocks = sorted(ids)
+            if piece is None or piece[1] != piece[2] and len(blocks) < 2:
+                return None
+            a, b = _linked([np.array(ids[k]) for k in blocks], [made[k] for k in blocks], percent)
+            if not len(a):
+                return None
+            nodes, root = roots(a, b)
+            return rows_of(schema, a=root[root != nodes], b=nodes[root != nodes])
+
+        for batch in batches:
+            for band, one, two, k, node, part in zip(*(c.to_pylist() for c in batch.columns)):
+                if piece != (band, one, two):
+                    if (out := done()) is not None:
+                        yield out
+                    piece, ids, made = (band, one, two), {}, {}
+                ids.setdefault(k, []).append(node)
+                made.setdefault(k, []).append(np.frombuffer(part, np.uint64))
+        if (out := done()) is not None:
+            yield out
+
+    links = store(map_batches(joined, compare, "a long, b long"))
+    discard(open_, members, held, sized, total, pieces)
+    return links
+
+
+def completed_classes(
+    classes: DataFrame, bands: DataFrame, fetch: Callable[[DataFrame], DataFrame], width: int, percent: int
+) -> DataFrame:
+    """``classes`` joined up by ``crowded_links``: no two nodes that share a band and are similar are in different classes."""
+    links = crowded_links(bands, classes, fetch, width, percent)
+    if links.isEmpty():
+        return classes
+    return components(classes.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links))

@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 from logweave.llm import shingles
 from logweave.llm.common import Batches, discard, map_batches, rows_of, store
 from logweave.llm.components import components
-from logweave.llm.linking import confirmed_classes, sorted_neighbours
+from logweave.llm.linking import completed_classes, confirmed_classes, sorted_neighbours
 
 # Components of a tree's sort key. Eight 16-bit components tell any two sets apart that are worth it.
 DEPTH = 8
 # Prefix below which neighbours are not compared at all.
 LEAST_DEPTH = 2
+# MinHash values of a band. All sets with an equal band are compared, where the neighbours have not linked them.
+BAND_ROWS = 5
 
 
 class Forest:
@@ -52,30 +54,37 @@ class Forest:
         return self.trees * DEPTH
 
     def signatures(self, docs: DataFrame) -> DataFrame:
-        """``doc_id, n_shingles, set_key, signature``: the set's size, a 128-bit key of the set, and its MinHash values.
+        """``doc_id, n_shingles, set_key, signature, bands``: the set's size, a 128-bit key of the set, its MinHash values, and
+        a hash of each band of them.
 
-        The set key and signature of an empty set are null.
+        The set key, signature and bands of an empty set are null.
         """
-        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("signature", pa.binary())])
+        schema = pa.schema([
+            ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("signature", pa.binary()),
+            ("bands", pa.list_(pa.int64())),
+        ])
         width, hashes = self.width, shingles.MinHash(self._functions())
 
         def run(batches: Batches) -> Batches:
             for batch in batches:
-                ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+                ids, texts = batch.column(0), batch.column(1).to_pylist()
                 for first, last, _, _, words in shingles.chunks(texts):
                     n = last - first
                     values, start, owner = shingles.grouped(*shingles.all_shingles(words, n, width))
                     size = np.zeros(n, np.int64)
                     size[owner] = np.diff(np.append(start, len(values)))
                     rows = hashes.signatures(values, start)
-                    key, signature = [None] * n, [None] * n
+                    hashed = shingles.band_hashes(rows, BAND_ROWS)
+                    key, signature, bands = [None] * n, [None] * n, [None] * n
                     for k, g in enumerate(owner):
                         part = values[start[k] : start[k] + size[g]]
                         key[g] = hashlib.blake2b(part.tobytes(), digest_size=16).digest()
                         signature[g] = (rows[k] >> 16).astype(">u2").tobytes() + np.packbits(rows[k] & 1).tobytes()
-                    yield rows_of(schema, doc_id=ids[first:last], n_shingles=size, set_key=key, signature=signature)
+                        bands[g] = hashed[k]
+                    yield rows_of(schema, doc_id=ids.slice(first, n), n_shingles=size, set_key=key, signature=signature, bands=bands)
 
-        return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_shingles long, set_key binary, signature binary")
+        made = "doc_id long, n_shingles long, set_key binary, signature binary, bands array<bigint>"
+        return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, made)
 
     def tree_keys(self, sets: DataFrame) -> DataFrame:
         """``key, id, sketch``: one row per set (``id, signature``) and tree. A key is the tree's number and its components."""
@@ -113,14 +122,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     # Equal sets are one node from here on, however many documents have them.
     sets = store(
         signed.where("set_key is not null and doc_id is not null").groupBy("set_key")
-        .agg(F.min("doc_id").alias("id"), F.min("signature").alias("signature"))
+        .agg(F.min("doc_id").alias("id"), F.min("signature").alias("signature"), F.min("bands").alias("bands"))
     )
-    rows = store(signed.drop("signature"))
+    rows = store(signed.drop("signature", "bands"))
     discard(signed)
     # Where rows repeat a doc_id, one document may have several sets.
     numbered = rows.where("doc_id is not null")
     repeated = numbered.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    nodes = store(sets.groupBy("id").agg(F.min("signature").alias("signature"))) if repeated else sets
+    nodes = store(sets.groupBy("id").agg(F.min("signature").alias("signature"), F.min("bands").alias("bands"))) if repeated else sets
     pairs = sorted_neighbours(forest.tree_keys(nodes), 1 + 2 * LEAST_DEPTH, forest.least_bits())
 
     def fetch(ids: DataFrame) -> DataFrame:
@@ -129,6 +138,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
         return some.groupBy("id").agg(F.max("text").alias("text")) if repeated else some
 
     classes, _ = confirmed_classes(pairs, fetch, forest.similar)
+    classes = completed_classes(classes, nodes.select("id", "bands"), fetch, width, percent)
     member = sets.select("set_key", "id")
     if repeated:
         own = numbered.where("set_key is not null").join(member, "set_key").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))

@@ -157,6 +157,15 @@ class MinHash:
         return out
 
 
+def band_hashes(signatures: np.ndarray, rows: int) -> np.ndarray:
+    """A hash of every ``rows`` columns of MinHash values and of their place; columns that are left over are not used."""
+    bands = signatures.shape[1] // rows
+    hashed = np.tile(np.arange(bands, dtype=np.uint64), (len(signatures), 1))
+    for r in range(rows):
+        hashed = mixed(hashed * SHINGLE_BASE ^ signatures[:, r : bands * rows : rows].astype(np.uint64))
+    return hashed.view(np.int64)
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     """Sizes of intersection and union of two sorted sets."""
     both = len(np.intersect1d(a, b, assume_unique=True))

@@ -392,6 +392,44 @@ def test_near_duplicates_equal_brute_force(documents, width):
     assert all(r.kept == (r.doc_id == r.component_id) and r.n_shingles == len(plain.shingles(texts[r.doc_id], width)) for r in made.collect())
 
 
+def star(rng, words, variants, edits):
+    """A text and variants of it that are near to it, but not to each other."""
+    base = [f"b{i}" for i in range(words)]
+    out = [" ".join(base)]
+    for v in range(variants):
+        own = list(base)
+        for at in rng.sample(range(words), edits):
+            own[at] = f"v{v}x{at}"
+        out.append(" ".join(own))
+    return out
+
+
+def near_to_first(texts, width):
+    sets = [plain.shingles(t, width) for t in texts]
+    return [100 * len(s & sets[0]) >= 80 * len(s | sets[0]) for s in sets]
+
+
+@pytest.mark.parametrize("width,words,edits", [(2, 200, 9), (5, 400, 7)])
+def test_star_of_near_copies(documents, monkeypatch, width, words, edits):
+    """2,000 near copies of one text that are not near to each other are one class, whatever the number of neighbours."""
+    texts = star(random.Random(21), words, 2000, edits)
+    assert all(near_to_first(texts, width)) and not near_to_first(texts[1:3], width)[1]
+    # The text they all are near to has the largest number, so no other holds the class together.
+    rows = [(len(texts) - k, t) for k, t in enumerate(texts)] + [(9000 + k, prose(random.Random(k), 50)) for k in range(20)]
+    for nodes in (100,) if width == 2 else (linking.BLOCK_NODES,):
+        monkeypatch.setattr(linking, "BLOCK_NODES", nodes)
+        got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(documents(rows), width=width).collect()}
+        assert got == {d: 1 if d <= len(texts) else d for d, _ in rows}
+
+
+def test_overlaps():
+    rng = np.random.RandomState(3)
+    sets = [np.unique(rng.choice(400, 60) ** 2 // 300).astype(np.uint64) for _ in range(70)]
+    for one, two in ((sets[:30], sets[30:]), (sets, sets)):
+        expected = [[len(np.intersect1d(a, b)) for b in two] for a in one]
+        assert (linking._overlaps(one, two) == expected).all()
+
+
 def test_near_duplicates_of_odd_rows(documents):
     made = near_dedup.near_duplicates(documents(ODD), width=2)
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in made.collect()), key=str)
