@@ -492,6 +492,16 @@ def test_paragraphs_equal_brute_force(documents):
         assert r.text == "\n".join(x for k, x in enumerate(lines) if k not in set(r.removed))
 
 
+def test_star_of_paragraphs(documents):
+    """2,000 variants of one paragraph, most in the same buckets and not near to each other, all go but the first."""
+    texts = star(random.Random(22), 400, 2000, 7)
+    assert all(near_to_first(texts, 5)) and not near_to_first(texts[1:3], 5)[1]
+    made = paragraph_dedup.dedup_paragraphs(documents([(len(texts) - k, t) for k, t in enumerate(texts)]))
+    found = sorted(r.doc_id for r in made.collect() if not r.removed)
+    # The bands find a pair at 80 % with probability 0.998.
+    assert found[0] == 1 and len(found) <= 8
+
+
 def test_paragraphs_of_odd_rows(documents):
     made = paragraph_dedup.dedup_paragraphs(clashing(documents(ODD), "removed"))
     got = sorted(((r.doc_id, r.text, r.n_removed) for r in made.collect()), key=str)
