@@ -66,7 +66,7 @@ PARTS["conv_log"] = """
 
 PARTS["item_log"] = """
   SELECT CAST(l_suppkey AS VARCHAR) AS session_id, l_returnflag || l_linestatus || l_linenumber AS template,
-         row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS line_id,
+         row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus, l_quantity) AS line_id,
          CAST(l_quantity >= 49 AS INTEGER) AS label FROM lineitem"""
 
 # ---- sources and sinks ----------------------------------------------------------------------

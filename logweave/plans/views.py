@@ -71,16 +71,19 @@ def log_docs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# Columns that together tell any two order lines apart: the order of the lines is total.
+ITEM_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity"]
+
+
 def log_lineitem(spark: SparkSession, folder: str) -> DataFrame:
     """Order lines as a long log: the supplier is the entity, flag, status and line number the template."""
     items = table(spark, folder, "lineitem")
     lines = items.select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_suppkey").cast("string").alias("session_id"),
+        *ITEM_ORDER, F.col("l_suppkey").cast("string").alias("session_id"),
         F.concat("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")).alias("template"),
         (F.col("l_quantity") >= 49).cast("int").alias("label"),
     )
-    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    return running(lines, [], order, {"line_id": ("row_number", None)}).select("session_id", "line_id", "template", "label")
+    return running(lines, [], ITEM_ORDER, {"line_id": ("row_number", None)}).select("session_id", "line_id", "template", "label")
 
 
 def conv_sessions(spark: SparkSession, folder: str) -> DataFrame:

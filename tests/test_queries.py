@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as contract
 from compare import DATA, connect, difference
+from logweave.plans import views
 from logweave.plans.oracle import ORACLE
 
 FOLDER = DATA / "sf0.001"
@@ -29,3 +30,12 @@ def test_every_query_has_a_statement():
 def test_entry(spark):
     made = contract.entry(spark)
     assert made.columns == ["k", "f1", "rc", "pc", "acc"] and made.count() == 5
+
+
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01", "sf0.1"])
+def test_order_of_the_order_lines_is_total(spark, scale):
+    folder = FOLDER.parent / scale
+    if not folder.exists():
+        pytest.skip("test tables are not here")
+    items = views.table(spark, str(folder), "lineitem").select(views.ITEM_ORDER)
+    assert items.count() == items.distinct().count()
