@@ -32,7 +32,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    gone = near_dedup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = near_dedup.near_duplicates(docs, width=2).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(store(gone), F.col("doc_id") == F.col("_gone"), "left_anti").select(*COLUMNS)
 
 
