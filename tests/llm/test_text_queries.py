@@ -109,7 +109,7 @@ def test_pipeline_stages(spark, texts):
         elif name == "line_dedup":
             assert after == {d: t for d, (t, _, _) in plain.dedup_lines(before).items()}
         elif name == "near_dedup":
-            classes = plain.near_duplicates(before, 5)
+            classes = plain.near_duplicates(before, 2)
             assert set(after) == {d for d, c in classes.items() if d == c}
         elif name == "decontaminate":
             assert set(after) == set(before) - {d for d, _ in plain.contained(before, items)}
