@@ -116,3 +116,35 @@ SELECT doc_id, coalesce(n_paragraphs, 0) AS n_paragraphs, coalesce(n_removed, 0)
        coalesce(kept_sha256, sha256('')) AS kept_sha256
 FROM documents LEFT JOIN found USING (doc_id)
 """
+
+
+def _clusters(clusters: int, rounds: int, scale: int, salt: str) -> str:
+    """Every round as table expressions: the nearest centroid of every vector, then the means of the clusters."""
+    steps = [f"""
+kept AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY sha256('{salt}' || vec_id), vec_id) - 1 AS rid, vec_id, embedding FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
+), parts AS MATERIALIZED (
+    SELECT rid, unnest(generate_series(1, 64)) AS dim, CAST(floor({scale} * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x FROM kept
+), c0 AS MATERIALIZED (SELECT rid AS cluster, dim, x FROM parts WHERE rid < {clusters})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+d{r} AS (SELECT p.rid, c.cluster, CAST(sum((p.x - c.x) * (p.x - c.x)) AS BIGINT) AS distance FROM parts p JOIN c{r} c USING (dim) GROUP BY 1, 2),
+a{r} AS MATERIALIZED (
+    SELECT rid, cluster, distance FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY distance, cluster) AS place FROM d{r}) WHERE place = 1
+)""")
+        if r < rounds:
+            steps.append(f"""
+m{r} AS (SELECT cluster, dim, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM a{r} JOIN parts USING (rid) GROUP BY 1, 2),
+c{r + 1} AS MATERIALIZED (
+    SELECT c.cluster, c.dim, CASE WHEN n IS NULL THEN x ELSE CAST((s - ((s % n) + n) % n) / n AS BIGINT) END AS x FROM c{r} c LEFT JOIN m{r} USING (cluster, dim)
+)""")
+    return "WITH " + ",".join(steps) + f""",
+shas AS (SELECT cluster, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY dim)) AS centroid_sha256 FROM c{rounds} GROUP BY 1)
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a{rounds} JOIN kept USING (rid) JOIN shas USING (cluster)
+"""
+
+
+ORACLE["op12_bit_plane_clusters"] = _clusters(8, 10, 1024, "3:")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.llm import (
+    bit_planes,
     decontaminate,
     line_dedup,
     near_dedup,
@@ -122,3 +123,8 @@ def op10_paragraph_dedup(spark, folder):
         "doc_id", "n_paragraphs", "n_removed", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"),
         F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
     )
+
+
+@query
+def op12_bit_plane_clusters(spark, folder):
+    return bit_planes.cluster_vectors(table(spark, folder, "embeddings").select("vec_id", "embedding"))
