@@ -148,3 +148,42 @@ FROM a{rounds} JOIN kept USING (rid) JOIN shas USING (cluster)
 
 
 ORACLE["op12_bit_plane_clusters"] = _clusters(8, 10, 1024, "3:")
+
+# The crc32 of a text, bit by bit: the register shifts right, and takes the polynomial where the bit that leaves it is set.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+        generate_series(0, length(bits) - 1), lambda k: CAST(bits[k - k % 8 + 8 - k % 8] AS BIGINT))),
+        lambda c, b: xor(c >> 1, 3988292384::BIGINT * (xor(c, b) & 1))))"""
+
+ORACLE["op11_spelling_variants"] = f"""
+WITH RECURSIVE runs AS (
+    SELECT doc_id, run, count(*) AS times FROM (
+        SELECT doc_id, unnest(regexp_extract_all(translate(text, {_LOWER}), '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents
+    ) WHERE length(run) >= 5 GROUP BY 1, 2
+), coded AS (
+    SELECT run, times, CAST(CAST(encode(doc_id || ':' || run) AS BIT) AS VARCHAR) AS bits FROM runs
+), hashed AS (
+    SELECT run, times, {_CRC} AS h FROM coded
+), words AS (
+    SELECT CASE WHEN h % 97 = 0 THEN run[: h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word, times FROM hashed
+), vocabulary AS MATERIALIZED (
+    SELECT word, CAST(sum(times) AS BIGINT) AS n FROM words WHERE length(word) >= 5 GROUP BY 1 HAVING sum(times) >= 3
+), places AS (
+    SELECT word, n, unnest(generate_series(1, length(word))) AS i FROM vocabulary
+), shorter AS MATERIALIZED (
+    SELECT DISTINCT word, n, word[: i - 1] || word[i + 1 :] AS rest FROM places
+), holed AS MATERIALIZED (
+    SELECT word, n, i, word[: i - 1] || word[i + 1 :] AS rest FROM places
+), near AS MATERIALIZED (
+    SELECT s.word, s.n, v.word AS other, v.n AS other_n FROM shorter s JOIN vocabulary v ON s.rest = v.word
+    UNION ALL SELECT v.word, v.n, s.word, s.n FROM shorter s JOIN vocabulary v ON s.rest = v.word
+    UNION ALL SELECT a.word, a.n, b.word, b.n FROM holed a JOIN holed b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+), best AS (
+    SELECT word, count(*) OVER (PARTITION BY word) AS n_near, CASE WHEN other_n >= 2 * n THEN other END AS form, CASE WHEN other_n >= 2 * n THEN other_n END AS form_n,
+           row_number() OVER (PARTITION BY word ORDER BY other_n DESC, encode(other)) AS place
+    FROM near
+), forms AS MATERIALIZED (SELECT word, form FROM best WHERE place = 1 AND form IS NOT NULL), chain(word, root) AS (
+    SELECT word, form FROM forms UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON c.root = f.word
+), ends AS (SELECT word, root FROM chain WHERE root NOT IN (SELECT word FROM forms))
+SELECT v.word, b.form, coalesce(e.root, v.word) AS root, v.n, coalesce(b.n_near, 0) AS n_near, b.form_n
+FROM vocabulary v LEFT JOIN (SELECT * FROM best WHERE place = 1) b USING (word) LEFT JOIN ends e USING (word)
+"""

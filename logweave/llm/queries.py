@@ -17,6 +17,7 @@ from logweave.llm import (
     pii,
     quality_gam,
     quality_rules,
+    spelling,
     toxicity,
     url_filter,
 )
@@ -125,6 +126,11 @@ def op10_paragraph_dedup(spark, folder):
     )
 
 
+@query
+def op11_spelling_variants(spark, folder):
+    return spelling.variants(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query
 def op12_bit_plane_clusters(spark, folder):
     return bit_planes.cluster_vectors(table(spark, folder, "embeddings").select("vec_id", "embedding"))
