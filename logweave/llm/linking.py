@@ -20,6 +20,8 @@ FIRST_PAIRS = 3
 
 # Nodes and shingles of a block of a crowded bucket: two blocks are compared in one piece.
 BLOCK_NODES, BLOCK_SHINGLES = 512, 1 << 20
+# Bytes of the pieces of one task.
+PIECE_BYTES = 16 << 20
 # Shingles that this many nodes of two blocks share are compared by matrix products, rarer ones pair by pair.
 DENSE_FROM, DENSE_COLUMNS = 16, 2048
 
@@ -179,14 +181,28 @@ def _linked(ids: list[np.ndarray], sets: list[list[np.ndarray]], percent: int) -
 def crowded_links(
     bands: DataFrame, classes: DataFrame, fetch: Callable[[DataFrame], DataFrame], width: int, percent: int
 ) -> DataFrame:
-    """``a, b``: links between classes, from all pairs of the nodes that share a band, however many they are.
+    """The links of ``crowded_set_links`` for nodes with an array of keys (``id, bands``); ``fetch`` gives ``id, text``."""
 
-    ``bands`` (``id``, ``bands``: array of hashes) are all nodes, ``classes`` (``id, component``) those with a link so far.
-    A bucket, the nodes with one hash, takes part while its nodes are in more than one class. It is cut by a hash of the
-    id into blocks of bounded size, and every two blocks are compared in one piece, on their full shingle sets;
-    pieces are spread over the tasks. Of the links of a piece a forest is returned, which joins the same nodes.
+    def sets(batches: Batches) -> Batches:
+        schema = pa.schema([("id", pa.int64()), ("size", pa.int64()), ("shingles", pa.binary())])
+        for batch in batches:
+            made = shingles.text_shingles(batch.column(1).to_pylist(), width)
+            yield rows_of(schema, id=batch.column(0), size=[len(x) for x in made], shingles=[x.tobytes() for x in made])
+
+    fetch_sets = lambda ids: map_batches(fetch(ids), sets, "id long, size long, shingles binary")
+    return crowded_set_links(bands.select("id", F.explode("bands").alias("band")), classes, fetch_sets, percent)
+
+
+def crowded_set_links(keys: DataFrame, classes: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """``a, b``: links between classes, from all pairs of the nodes that share a key, however many they are.
+
+    ``keys`` (``id, band``) are the nodes and their keys, ``classes`` (``id, component``) the nodes with a link so far. ``fetch``
+    gives ``id, size, shingles`` (their bytes) for a table of ids. A bucket, the nodes with one key, takes part while its
+    nodes are in more than one class. It is cut by a hash of the id into blocks of bounded size, and every two blocks are compared
+    in one piece, on their full shingle sets; pieces are spread over as many tasks as their size asks for. Of the links of a piece
+    a forest is returned, which joins the same nodes.
     """
-    rows = bands.join(classes, "id", "left").select("id", F.coalesce("component", "id").alias("component"), F.explode("bands").alias("band"))
+    rows = keys.join(classes, "id", "left").select("id", F.coalesce("component", "id").alias("component"), "band")
     # Stored, so that a few buckets are broadcast and many are not.
     open_ = store(
         rows.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
@@ -196,15 +212,7 @@ def crowded_links(
         discard(open_)
         return classes.select(F.col("id").alias("a"), F.col("component").alias("b")).limit(0)
     members = store(rows.join(open_.select("band"), "band").select("id", "band", "component"))
-    texts = fetch(members.select("id").distinct())
-
-    def sets(batches: Batches) -> Batches:
-        schema = pa.schema([("id", pa.int64()), ("size", pa.int64()), ("shingles", pa.binary())])
-        for batch in batches:
-            made = shingles.text_shingles(batch.column(1).to_pylist(), width)
-            yield rows_of(schema, id=batch.column(0), size=[len(x) for x in made], shingles=[x.tobytes() for x in made])
-
-    held = store(map_batches(texts, sets, "id long, size long, shingles binary"))
+    held = store(fetch(members.select("id").distinct()))
     sized = store(members.join(held.select("id", "size"), "id").select("id", "band", "component", "size"))
     each = sized.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
     # The largest class of a bucket is not compared with itself.
@@ -219,10 +227,12 @@ def crowded_links(
     block = F.when(F.col("is_main"), F.col("rest_parts") + place("main_parts")).otherwise(place("rest_parts"))
     # The pieces of a block: those with every block of the rest, and for one of the rest with those of the largest class too.
     last = F.col("rest_parts") - 1 + F.when(F.col("is_main"), 0).otherwise(F.col("main_parts"))
-    paired = dealt.select("id", "band", block.alias("block"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
-    pieces = store(paired.select("id", "band", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block"))
-    joined = pieces.join(held, "id").select("band", "one", "two", "block", "id", "shingles")
-    n_tasks = max(1, int(bands.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    paired = dealt.select("id", "band", "size", block.alias("block"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    pieces = store(paired.select("id", "band", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "size"))
+    joined = pieces.drop("size").join(held.select("id", "shingles"), "id").select("band", "one", "two", "block", "id", "shingles")
+    # Enough tasks for the bytes that are dealt, so that adaptive execution has no say and needs none.
+    dealt_bytes = 8 * (pieces.agg(F.sum("size")).first()[0] or 0)
+    n_tasks = max(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-dealt_bytes // PIECE_BYTES))
     joined = joined.repartition(n_tasks, "band", "one", "two").sortWithinPartitions("band", "one", "two", "block")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 

@@ -187,3 +187,21 @@ WITH RECURSIVE runs AS (
 SELECT v.word, b.form, coalesce(e.root, v.word) AS root, v.n, coalesce(b.n_near, 0) AS n_near, b.form_n
 FROM vocabulary v LEFT JOIN (SELECT * FROM best WHERE place = 1) b USING (word) LEFT JOIN ends e USING (word)
 """
+
+ORACLE["op13_jaccard_join"] = f"""
+WITH RECURSIVE worded AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_sort(list_distinct(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) END AS s FROM worded
+), nodes AS (
+    SELECT min(doc_id) AS id, s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s
+), shingles AS (SELECT id, n, unnest(s) AS x FROM nodes), common AS (
+    SELECT p.id AS a, q.id AS b, count(*) AS c, any_value(p.n) AS na, any_value(q.n) AS nb
+    FROM shingles p JOIN shingles q ON p.x = q.x AND p.id < q.id AND 100 * p.n >= 90 * q.n AND 100 * q.n >= 90 * p.n GROUP BY p.id, q.id
+), links AS (
+    SELECT a, b FROM common WHERE 100 * c >= 90 * (na + nb - c) UNION ALL SELECT b, a FROM common WHERE 100 * c >= 90 * (na + nb - c)
+), {_REACH}
+SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, coalesce(l.component, n.id, d.doc_id) AS component_id
+FROM sets d LEFT JOIN nodes n ON n.s = d.s LEFT JOIN least l ON l.id = n.id
+"""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from logweave.llm import (
     bit_planes,
     decontaminate,
+    jaccard_join,
     line_dedup,
     near_dedup,
     packing,
@@ -134,3 +135,8 @@ def op11_spelling_variants(spark, folder):
 @query
 def op12_bit_plane_clusters(spark, folder):
     return bit_planes.cluster_vectors(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
+@query
+def op13_jaccard_join(spark, folder):
+    return jaccard_join.jaccard_join(table(spark, folder, "documents").select("doc_id", "text"))

@@ -117,3 +117,62 @@ def check_packing(rows, ids, window=4096):
             assert start == at and length > 0
             at += length
         assert at == total if total is not None else at <= window and at & (at - 1) == 0
+
+
+def spelling_variants(rows, least=5, occurrences=3, ratio=2, misspelt=97):
+    """word -> (form, root, n, near words, occurrences of the form), from (doc, text) rows."""
+    counts = Counter()
+    for d, t in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            run = run.translate(LOWER)
+            h = zlib.crc32(f"{'' if d is None else d}:{run}".encode())
+            if misspelt and h % misspelt == 0:
+                run = run[:h % len(run)] + run[h % len(run) + 1:]
+            counts[run] += 1
+    words = {w: n for w, n in counts.items() if len(w) >= least and n >= occurrences}
+
+    def near(a, b):
+        if abs(len(a) - len(b)) > 1 or a == b:
+            return False
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        a, b = sorted((a, b), key=len)
+        return any(b[:k] + b[k + 1:] == a for k in range(len(b)))
+
+    forms, out = {}, {}
+    for w, n in words.items():
+        others = [v for v in words if near(w, v)]
+        best = min(others, key=lambda v: (-words[v], v), default=None)
+        forms[w] = best if best is not None and words[best] >= ratio * n else None
+        out[w] = [forms[w], None, n, len(others), words[forms[w]] if forms[w] else None]
+    for w in out:
+        root = w
+        while forms[root]:
+            root = forms[root]
+        out[w][1] = root
+    return {w: tuple(v) for w, v in out.items()}
+
+
+def clusters(vectors, k=8, rounds=10, scale=1024, salt="3:"):
+    """Rows (id, cluster, distance, inertia of the cluster, inertia, sha256 of the centroid) from (id, components) rows."""
+    import hashlib
+    import math
+
+    kept = [(i, [math.floor(scale * x) for x in v]) for i, v in vectors
+            if v is not None and len(v) == 64 and all(x is not None and math.isfinite(x) for x in v)]
+    order = sorted(kept, key=lambda r: hashlib.sha256(f"{salt}{'' if r[0] is None else r[0]}".encode()).hexdigest())
+    centres = [list(v) for _, v in order[:k]]
+    distance = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
+    assign = lambda v: min((distance(v, c), n) for n, c in enumerate(centres))
+    for _ in range(rounds):
+        members = defaultdict(list)
+        for _, v in kept:
+            members[assign(v)[1]].append(v)
+        for n, own in members.items():
+            centres[n] = [sum(x) // len(own) for x in zip(*own)]
+    last = [(i, *assign(v)) for i, v in kept]
+    total = Counter()
+    for _, d, n in last:
+        total[n] += d
+    return [(i, n, d, total[n], sum(total.values()), hashlib.sha256(",".join(map(str, centres[n])).encode()).hexdigest())
+            for i, d, n in last]

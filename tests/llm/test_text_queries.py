@@ -26,7 +26,7 @@ def test_equals_sql(spark, name):
 
 
 def test_one_query_per_operator():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name,label", [("op2_toxicity", "toxic"), ("op4_quality_gam", "quality")])
