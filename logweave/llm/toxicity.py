@@ -46,9 +46,36 @@ _INVISIBLE = dict.fromkeys("​‌‍⁠﻿­", "")
 _LOOKS = str.maketrans({**HOMOGLYPHS, **_WIDE, **_INVISIBLE})
 _SUBSTITUTED = str.maketrans(SUBSTITUTES)
 _FOREIGN = re.compile("[" + "".join([*HOMOGLYPHS, *_WIDE, *_INVISIBLE]) + "]")
-_MIXED = re.compile(r"[^\W_]*(?:(?<=[^\W\d_])[0134578@$!|](?=[^\W_]|[@$])|[0134578@$](?=[@$!|\d]*[^\W\d_]))[\w@$!|]*")
 _GAP = re.compile(r"[\W\d_]+")
 _SIGN, _BLANK = re.compile(r"[0134578@$!|]"), re.compile(r"\s")
+_RUN, _BLOCK = re.compile(r"[\w@$!|]+"), re.compile(r"[@$!|\d]+")
+# A sign behind a letter and before more of the word; one that counts before letters.
+_INSIDE, _BEFORE = re.compile(r"(?<=[^\W\d_])[0134578@$!|](?=[^\W_]|[@$])"), re.compile(r"[0134578@$]")
+
+
+def _first_sign(run: str) -> int | None:
+    """Place of the first sign of a run of letters, digits and signs that stands for a letter: one inside a word, or one
+    of the signs and digits right before a letter. Every character is looked at a fixed number of times."""
+    inside = _INSIDE.search(run)
+    most = inside.start() if inside else len(run)
+    for block in _BLOCK.finditer(run):
+        if block.start() >= most:
+            break
+        behind = run[block.end() : block.end() + 1]
+        if behind.isalnum() and not behind.isdecimal() and (sign := _BEFORE.search(run, block.start(), block.end())):
+            return min(most, sign.start())
+    return inside and most
+
+
+def _spelled(match: re.Match) -> str:
+    """A run with its signs as letters, from the word on in which the first of them stands."""
+    run = match[0]
+    at = _first_sign(run)
+    if at is None:
+        return run
+    while at and run[at - 1].isalnum():
+        at -= 1
+    return run[:at] + run[at:].rstrip("!|").translate(_SUBSTITUTED)
 
 
 def _unmasked(text: str) -> str:
@@ -61,7 +88,7 @@ def _unmasked(text: str) -> str:
         start = max(text.rfind(" ", at, k), text.rfind("\n", at, k)) + 1 or at
         blank = _BLANK.search(text, k)
         end = blank.start() if blank else len(text)
-        out += [text[at:start], _MIXED.sub(lambda m: m[0].rstrip("!|").translate(_SUBSTITUTED), text[start:end])]
+        out += [text[at:start], _RUN.sub(_spelled, text[start:end])]
         at = end
     return "".join([*out, text[at:]]) if out else text
 
