@@ -179,7 +179,7 @@ def _linked(ids: list[np.ndarray], sets: list[list[np.ndarray]], percent: int) -
 
 
 def crowded_links(
-    bands: DataFrame, classes: DataFrame, fetch: Callable[[DataFrame], DataFrame], width: int, percent: int
+    bands: DataFrame, classes: DataFrame, fetch: Callable[[DataFrame], DataFrame], width: int, percent: int, least: int = 2
 ) -> DataFrame:
     """The links of ``crowded_set_links`` for nodes with an array of keys (``id, bands``); ``fetch`` gives ``id, text``."""
 
@@ -190,28 +190,49 @@ def crowded_links(
             yield rows_of(schema, id=batch.column(0), size=[len(x) for x in made], shingles=[x.tobytes() for x in made])
 
     fetch_sets = lambda ids: map_batches(fetch(ids), sets, "id long, size long, shingles binary")
-    return crowded_set_links(bands.select("id", F.explode("bands").alias("band")), classes, fetch_sets, percent)
+    return crowded_set_links(bands.select("id", F.explode("bands").alias("band")), classes, fetch_sets, percent, least)
 
 
-def crowded_set_links(keys: DataFrame, classes: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def _united(members: DataFrame) -> DataFrame:
+    """``members`` (stored; ``id, band, component``) with buckets that share nodes made one, where that takes fewer rows.
+
+    Similar nodes meet in many buckets; apart, each of these would get all their sets. Buckets that hang together only through a
+    few nodes stay apart.
+    """
+    blocks = lambda n: F.col(n) * F.ceil(F.col(n) / BLOCK_NODES)
+    buckets = store(members.groupBy("band").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")))
+    groups = store(components(members.join(buckets, "band").select(F.col("head").alias("a"), F.col("id").alias("b"))))
+    apart = buckets.join(groups, F.col("head") == F.col("id")).groupBy(F.col("component").alias("whole")).agg(F.sum(blocks("n")).alias("apart"))
+    sizes = groups.groupBy(F.col("component").alias("whole")).agg(F.count(F.lit(1)).alias("n"))
+    cheap = store(sizes.join(apart, "whole").where(blocks("n") <= F.col("apart")).select("whole"))
+    of = store(groups.select("id", F.col("component").alias("whole")).join(cheap, "whole"))
+    made = members.join(of, "id", "left").select("id", F.when(F.col("whole").isNull(), F.col("band")).otherwise(F.xxhash64("whole")).alias("band"), "component")
+    result = store(made.distinct())
+    discard(buckets, groups, cheap, of, members)
+    return result
+
+
+def crowded_set_links(
+    keys: DataFrame, classes: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, least: int = 2
+) -> DataFrame:
     """``a, b``: links between classes, from all pairs of the nodes that share a key, however many they are.
 
     ``keys`` (``id, band``) are the nodes and their keys, ``classes`` (``id, component``) the nodes with a link so far. ``fetch``
     gives ``id, size, shingles`` (their bytes) for a table of ids. A bucket, the nodes with one key, takes part while its
-    nodes are in more than one class. It is cut by a hash of the id into blocks of bounded size, and every two blocks are compared
+    nodes are in more than one class and it has at least ``least`` of them. It is cut by a hash of the id into blocks of bounded size, and every two blocks are compared
     in one piece, on their full shingle sets; pieces are spread over as many tasks as their size asks for. Of the links of a piece
     a forest is returned, which joins the same nodes.
     """
     rows = keys.join(classes, "id", "left").select("id", F.coalesce("component", "id").alias("component"), "band")
     # Stored, so that a few buckets are broadcast and many are not.
     open_ = store(
-        rows.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .where("low != high").select("band")
+        rows.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"))
+        .where("low != high").where(F.col("n") >= least).select("band")
     )
     if open_.isEmpty():
         discard(open_)
         return classes.select(F.col("id").alias("a"), F.col("component").alias("b")).limit(0)
-    members = store(rows.join(open_.select("band"), "band").select("id", "band", "component"))
+    members = _united(store(rows.join(open_.select("band"), "band").select("id", "band", "component")))
     held = store(fetch(members.select("id").distinct()))
     sized = store(members.join(held.select("id", "size"), "id").select("id", "band", "component", "size"))
     each = sized.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
@@ -266,10 +287,13 @@ def crowded_set_links(keys: DataFrame, classes: DataFrame, fetch: Callable[[Data
 
 
 def completed_classes(
-    classes: DataFrame, bands: DataFrame, fetch: Callable[[DataFrame], DataFrame], width: int, percent: int
+    classes: DataFrame, bands: DataFrame, fetch: Callable[[DataFrame], DataFrame], width: int, percent: int, least: int = 2
 ) -> DataFrame:
-    """``classes`` joined up by ``crowded_links``: no two nodes that share a band and are similar are in different classes."""
-    links = crowded_links(bands, classes, fetch, width, percent)
+    """``classes`` joined up by ``crowded_links``: no two nodes that share a band and are similar are in different classes.
+
+    Bands with fewer than ``least`` nodes are left out: all their pairs were compared before.
+    """
+    links = crowded_links(bands, classes, fetch, width, percent, least)
     if links.isEmpty():
         return classes
     return components(classes.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links))
