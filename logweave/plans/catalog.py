@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions import columns as C
 from logweave.ml.transformers import FirstSeenIndexer, FrameWindower, GapChunkSessionizer, LogFeatureExtractor
-from logweave.operators import detect, evaluate, features, normalize, sessions, splits, vocab, windows
+from logweave.operators import cooccurrence, detect, evaluate, features, normalize, patterns, sessions, splits, suffix_tree, vocab, windows
 from logweave.plans import flows
 from logweave.plans.views import (
     VECTOR_DIM,
@@ -29,12 +29,14 @@ from logweave.plans.views import (
 )
 from logweave.runtime import materialize
 from logweave.runtime import scratch_path as scratch
-from logweave.sources import datasets, logs
+from logweave.sources import datasets, logs, models
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 SIZE, STRIDE, ORDER, K = 10, 1, 3, 5
+# Of the whole uncertainty, what a node of the suffix tree explains at least; of the windows, where a pattern stands at least; patterns.
+TREE_SHARE, PATTERN_SHARE, PATTERNS = 0.0005, 0.002, 50
 
 
 def query(function: Query) -> Query:
@@ -218,8 +220,9 @@ def s8_feature_cache(spark, folder):
     cache = scratch(spark, "cache")
     params = {"input": folder, "window_size": SIZE, "stride": STRIDE}
     build = lambda: all_windows(spark, folder)
-    datasets.cached_features(spark, cache, params, build)
-    again = datasets.cached_features(spark, cache, params, build)
+    events = [table(spark, folder, "events")]
+    datasets.cached_features(spark, cache, params, build, events)
+    again = datasets.cached_features(spark, cache, params, build, events)
     return again.select("session_id", "window_idx", joined("ids"), "next_id", "anomaly")
 
 
@@ -632,6 +635,27 @@ def _template_vectors(spark, folder, docs: DataFrame) -> DataFrame:
     return features.summed_embedding(docs, vocabulary, table_)
 
 
+@query
+def f5_mutual_information(spark, folder):
+    """Token pairs of the texts that occur at least five times within two places and are likelier than by chance."""
+    pairs = materialize(cooccurrence.token_pairs(log_docs(spark, folder)).where("n >= 5"))
+    return cooccurrence.mutual_information(pairs).select("token", "near", "n", rounded("ppmi"))
+
+
+@query
+def f6_learned_vectors(spark, folder):
+    """Lengths of the token vectors in all directions of that table, which are the lengths of its rows, and the share of the first eight."""
+    lines = doc_templates(spark, folder)
+    information = materialize(cooccurrence.mutual_information(materialize(cooccurrence.token_pairs(lines).where("n >= 200"))))
+    vocabulary = doc_vocab(spark, folder, docs=lines)
+    square = F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x * x)
+    count = information.select("token").distinct().count()
+    every = cooccurrence.learned_vectors(information, vocabulary, count).select("token", F.round(square, 4).alias("squared_length"))
+    first = cooccurrence.learned_vectors(information, vocabulary, min(8, count)).select("token", square.alias("first"))
+    return every.join(first, "token").select(
+        "token", "squared_length", (F.col("first") <= F.col("squared_length") + 1e-3).cast("int").alias("within"))
+
+
 @query
 def f6_summed_embedding(spark, folder):
     made = _template_vectors(spark, folder, doc_templates(spark, folder))
@@ -676,6 +700,32 @@ def d1_supplier_model(spark, folder):
     return detect.fit_next_event(windows.sliding_windows(lines, SIZE, STRIDE), ORDER, K).select("context", joined("topk"))
 
 
+@query
+def d1_suffix_tree(spark, folder):
+    """Contexts of any length up to the window's, as far as they explain a thousandth of the log's uncertainty."""
+    train = windows.sliding_windows(dataset(spark, folder).train, SIZE, STRIDE)
+    return suffix_tree.fit_suffix_tree(train, SIZE, K, TREE_SHARE).select("context", joined("topk"))
+
+
+@query
+def d1_suffix_tree_hits(spark, folder):
+    """Test windows whose next event is among the first k, by the suffix tree and by contexts of three events."""
+    data = dataset(spark, folder)
+    train = materialize(windows.sliding_windows(data.train, SIZE, STRIDE))
+    test = materialize(windows.sliding_windows(data.test, SIZE, STRIDE))
+    models = {
+        "tree": (suffix_tree.fit_suffix_tree(train, SIZE, K, TREE_SHARE), SIZE),
+        "order": (materialize(detect.fit_next_event(train, ORDER, K)), ORDER),
+    }
+    hits = [
+        detect.score_next_event(test, model, order).select(F.lit(name).alias("model"), evaluate.hit_rank().alias("hit"))
+        for name, (model, order) in models.items()
+    ]
+    at = hits[0].union(hits[1]).select("model", "hit", F.explode(F.sequence(F.lit(1), F.lit(K))).alias("k"))
+    return at.groupBy("model", "k").agg(
+        F.count_if(F.col("hit").between(F.lit(1), F.col("k"))).alias("hits"), F.count(F.lit(1)).alias("windows"))
+
+
 @query
 def d2_window_classifier(spark, folder):
     """The classifier's sparse input, and what its optimum implies: the mean probability on the training windows is
@@ -695,6 +745,27 @@ def d2_window_classifier(spark, folder):
         "mean_train_score", mean)
 
 
+@query
+def d2_tree_classifier(spark, folder):
+    """F1 of the test windows by boosted trees with a threshold chosen on held-out training sessions, and by the logistic fit."""
+    data = dataset(spark, folder)
+    trees, threshold = flows.tree_classification(data, SIZE, STRIDE)
+    size = data.vocab_size()
+    train = materialize(features.count_features(windows.sliding_windows(data.train, SIZE, STRIDE), size).select("features", "anomaly"))
+    plain = detect.score_classifier(
+        detect.fit_classifier(train), features.count_features(windows.sliding_windows(data.test, SIZE, STRIDE), size))
+    made = trees.select(F.lit("trees").alias("model"), F.col("flag").alias("pred"), F.col("anomaly").alias("truth")).union(
+        plain.select(F.lit("logistic"), "flag", "anomaly"))
+    cut = F.when(F.col("model") == "trees", threshold.select("threshold").scalar())
+    return evaluate.binary_metrics(made, by=["model"]).select("model", rounded("f1"), rounded("rc"), rounded("pc"), F.round(cut, 6).alias("threshold"))
+
+
+@query
+def d2_best_threshold(spark, folder):
+    """The value from which on events are best called anomalous, exactly."""
+    return detect.best_threshold(value_scores(spark, folder)).select("threshold", rounded("f1"))
+
+
 @query
 def d3_pattern_classifier(spark, folder):
     """The fitted patterns that occur in each scored window."""
@@ -709,6 +780,29 @@ def d3_pattern_classifier(spark, folder):
     return made.where("score between 0 and 1").select("session_id", "window_idx", "anomaly", F.explode(found).alias("pattern_id"))
 
 
+@query
+def d3_frequent_patterns(spark, folder):
+    """Runs of two to four events in at least one of five hundred training windows."""
+    train = windows.sliding_windows(dataset(spark, folder).train, SIZE, STRIDE)
+    return patterns.frequent_patterns(train, PATTERN_SHARE)
+
+
+@query
+def d3_telling_patterns(spark, folder):
+    """The fifty of them that tell most about the label, and the test windows in which each occurs."""
+    data = dataset(spark, folder)
+    train = materialize(windows.sliding_windows(data.train, SIZE, STRIDE))
+    best = patterns.telling_patterns(train, PATTERNS, PATTERN_SHARE)
+    test = patterns.telling_features(windows.sliding_windows(data.test, SIZE, STRIDE), best, PATTERNS)
+    places = F.transform(vector_to_array("features"), lambda x, i: F.when(x > 0, i))
+    hits = test.select("anomaly", F.explode(F.filter(places, lambda i: i.isNotNull())).alias("pattern_id")).groupBy("pattern_id").agg(
+        F.count(F.lit(1)).alias("test_windows"), F.sum("anomaly").alias("test_anomalous"))
+    zero = F.lit(0).cast("long")
+    return best.join(F.broadcast(hits), "pattern_id", "left").select(
+        "pattern", "pattern_id", "width", "support", "anomalous", rounded("chi2"),
+        F.coalesce("test_windows", zero).alias("test_windows"), F.coalesce("test_anomalous", zero).alias("test_anomalous"))
+
+
 @query
 def d4_reconstruction_error(spark, folder):
     """Mean squared centred counts of the scored windows (the error without directions), and the error with all
@@ -727,6 +821,15 @@ def d4_reconstruction_error(spark, folder):
     )
 
 
+@query
+def d4_main_directions(spark, folder):
+    """Error of the scored windows outside the three main directions of the training windows."""
+    data = dataset(spark, folder)
+    model = detect.fit_sparse_reconstruction(windows.sliding_windows(data.train, SIZE, STRIDE), 3)
+    made = detect.score_sparse_reconstruction(model, windows.sliding_windows(data.test, SIZE, STRIDE), data.vocab_size())
+    return made.select("session_id", "window_idx", rounded("score"), rounded("total"))
+
+
 @query
 def d5_batch_scoring(spark, folder):
     return scored(spark, folder).select("session_id", "window_idx", "next_id", joined("topk"))
@@ -761,6 +864,43 @@ def d7_order_search(spark, folder):
     return found.select("candidate", rounded("f1"), "stopped_at")
 
 
+@query
+def d7_shared_search(spark, folder):
+    """The same choice from one pass over the windows for all orders."""
+    data = dataset(spark, folder)
+    train, test = (windows.sliding_windows(part, SIZE, STRIDE) for part in (data.train, data.test))
+    return detect.search_orders(train, test, range(1, 5), 1, 2).select("candidate", rounded("f1"), "stopped_at")
+
+
+@query
+def d6_model_registry(spark, folder):
+    """Models of three kinds, saved, loaded and held against the ones in memory on the test windows."""
+    data = dataset(spark, folder)
+    size, root = data.vocab_size(), scratch(spark, "models")
+    train, test = (materialize(windows.sliding_windows(part, SIZE, STRIDE)) for part in (data.train, data.test))
+    key, params = ["session_id", "window_idx"], {"size": SIZE, "stride": STRIDE}
+    counts = materialize(features.count_features(test, size))
+    fitted = {
+        "next_event": _train_model(data),
+        "classifier": detect.fit_classifier(materialize(features.count_features(train, size).select("features", "anomaly"))),
+        "directions": detect.fit_sparse_reconstruction(train, 3),
+    }
+    score = {
+        "next_event": lambda m: detect.score_next_event(test, m, ORDER).select(*key, F.array_join("topk", ",").alias("v")),
+        "classifier": lambda m: detect.score_classifier(m, counts).select(*key, F.round("score", 9).cast("string").alias("v")),
+        "directions": lambda m: detect.score_sparse_reconstruction(m, test, size).select(*key, F.round("score", 9).cast("string").alias("v")),
+    }
+    parts = []
+    for kind, model in fitted.items():
+        models.save(model, root, kind, params, data.vocabulary)
+        # A later version replaces the first one.
+        models.save(model, root, kind, {**params, "again": True}, data.vocabulary)
+        loaded = models.load(spark, root, kind)
+        both = score[kind](model).join(score[kind](loaded.model).withColumnRenamed("v", "again"), key)
+        parts.append(both.agg(F.lit(kind).alias("kind"), F.lit(loaded.version).alias("version"), F.count_if(F.col("v") == F.col("again")).alias("equal_scores")))
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 # ---- evaluation -----------------------------------------------------------------------------
 
 

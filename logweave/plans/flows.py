@@ -8,6 +8,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logweave.functions.columns import hash_unit
 from logweave.operators import detect, evaluate
 from logweave.operators.features import count_features, mean_pooled, summed_embedding, tfidf, weighted_embedding
 from logweave.operators.normalize import seconds_since_first
@@ -133,6 +134,22 @@ def scored_classification(
     return detect.score_classifier(model, featured(test))
 
 
+def tree_classification(
+    data: Dataset, size: int = 10, stride: int = 1, validation: float = 0.25, seed: int = 42
+) -> tuple[DataFrame, DataFrame]:
+    """Test windows with ``score`` and ``flag`` of boosted trees on the windows' event counts, and the threshold (``threshold, f1``).
+
+    A share of the training sessions, by hash, is kept out of the fit; on their windows the threshold is chosen.
+    """
+    vocab_size = data.vocab_size()
+    held = hash_unit(seed, F.col("session_id")) < validation
+    train = materialize(count_features(sliding_windows(data.train, size, stride), vocab_size).withColumn("_held", held))
+    model = detect.fit_trees(train.where("not _held"))
+    threshold = materialize(detect.best_threshold(detect.score_classifier(model, train.where("_held"))))
+    test = detect.score_classifier(model, count_features(sliding_windows(data.test, size, stride), vocab_size))
+    return detect.flag_from_threshold(test, threshold), threshold
+
+
 def window_classification(lines: DataFrame, *args, **options) -> DataFrame:
     """Session metrics of the supervised window classifier; see ``scored_classification``."""
     return evaluate.binary_metrics(evaluate.sum_rollup(scored_classification(lines, *args, **options)))
@@ -148,8 +165,8 @@ def scored_reconstruction(
     """
     data = prepare(lines, test_ratio, train_anomaly_ratio, random)
     vocab_size = data.vocab_size()
-    model = detect.fit_reconstruction(sliding_windows(data.train, size, stride), vocab_size, components)
-    windows = materialize(detect.score_reconstruction(model, sliding_windows(data.test, size, stride), vocab_size))
+    model = detect.fit_sparse_reconstruction(sliding_windows(data.train, size, stride), components)
+    windows = materialize(detect.score_sparse_reconstruction(model, sliding_windows(data.test, size, stride), vocab_size))
     sessions = materialize(evaluate.max_rollup(windows))
     threshold = materialize(evaluate.percentile(sessions, 1 - anomaly_ratio))
     return (

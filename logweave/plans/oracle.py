@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from logweave.plans.catalog import K, ORDER, SIZE, STRIDE
+from logweave.plans.catalog import K, ORDER, PATTERN_SHARE, PATTERNS, SIZE, STRIDE, TREE_SHARE
 
 PARTS: dict[str, str] = {}
 ORACLE: dict[str, str] = {}
@@ -439,6 +439,26 @@ add("f4_tfidf_lower_first", f"""
   SELECT md5(template) AS template_md5, token_id, round(weight, 6) AS weight FROM ({_tfidf("WHERE doc_id % 2 = 0", TOKENS.format(text="lower(template)"))})""")
 add("f5_word_vectors", """
   SELECT token_id, token, round(sum(v * v), 6) AS squared_length FROM vector_dims GROUP BY 1, 2""")
+
+# Pairs of tokens at most two places apart, from both sides.
+PARTS["doc_words"] = f"""
+  SELECT t, count(*) AS w FROM (SELECT template, {TOKENS.format(text="template")} AS t FROM log_docs) GROUP BY template, t"""
+PARTS["doc_pairs"] = """
+  SELECT t[i] AS a, t[i + d] AS b, sum(w) AS n
+  FROM (SELECT t, w, unnest(range(1, len(t) + 1)) AS i FROM doc_words), (SELECT unnest([1, 2]) AS d) WHERE i + d <= len(t) GROUP BY 1, 2"""
+PARTS["near_tokens"] = """
+  SELECT token, near, CAST(sum(n) AS BIGINT) AS n FROM (SELECT a AS token, b AS near, n FROM doc_pairs UNION ALL SELECT b, a, n FROM doc_pairs) GROUP BY 1, 2"""
+
+
+def _information(least: int) -> str:
+    """Positive pointwise mutual information of the pairs that occur so often."""
+    return f"""SELECT token, near, n, ln(n * sum(n) OVER () / (sum(n) OVER (PARTITION BY token)::DOUBLE * sum(n) OVER (PARTITION BY near))) AS ppmi
+      FROM near_tokens WHERE n >= {least}"""
+
+
+add("f5_mutual_information", f"SELECT token, near, n, round(ppmi, 6) AS ppmi FROM ({_information(5)}) WHERE ppmi > 0")
+add("f6_learned_vectors", f"""
+  SELECT token, round(sum(ppmi * ppmi), 4) AS squared_length, 1 AS "within" FROM ({_information(200)}) WHERE ppmi > 0 GROUP BY 1""")
 PARTS["template_vectors"] = """
   SELECT t.template, d.dim, sum(d.v) AS value
   FROM (SELECT template, unnest(CASE WHEN len(token_ids) = 0 THEN [0] ELSE token_ids END) AS token_id FROM template_ids_1) t JOIN vector_dims d USING (token_id) GROUP BY 1, 2"""
@@ -497,6 +517,44 @@ PARTS["tries"] = " UNION ALL ".join(
 PARTS["picked"] = """
   SELECT session_id, window_idx, arg_max(m.tops, used) AS tops, arg_max(m.topk, used) AS topk
   FROM tries t JOIN context_top m USING (context) GROUP BY 1, 2"""
+
+# The suffix tree: counts of all contexts, what each explains beyond its parent, and the nodes that stay with those before them.
+PARTS["all_contexts"] = "SELECT m, context, next_id, count(*) AS n FROM (" + " UNION ALL ".join(
+    f"SELECT {m} AS m, " + (CONTEXT.format(last=m) if m else "''") + f" AS context, next_id FROM train_windows WHERE len >= {m}"
+    for m in range(SIZE + 1)) + ") GROUP BY ALL"
+_PARENT = "CASE WHEN contains(context, ' ') THEN substr(context, strpos(context, ' ') + 1) ELSE '' END"
+PARTS["seen_contexts"] = f"""
+  SELECT *, CASE WHEN m > 0 THEN {_PARENT} END AS parent, sum(n) OVER (PARTITION BY context) AS total, count(*) OVER (PARTITION BY context) AS kinds
+  FROM all_contexts"""
+PARTS["context_gains"] = """
+  SELECT c.context, sum(c.n * ln((c.n / c.total) / (p.n / p.total))) AS gain
+  FROM seen_contexts c JOIN seen_contexts p ON c.parent = p.context AND c.next_id = p.next_id GROUP BY 1"""
+PARTS["tree_contexts"] = f"""
+  SELECT context FROM context_gains, (SELECT sum(n * ln(total / n)) AS whole FROM seen_contexts WHERE m = 0)
+  WHERE gain >= {TREE_SHARE}::DOUBLE * whole AND gain > 0 UNION SELECT {_PARENT} FROM tree_contexts WHERE context <> ''"""
+PARTS["tree_nodes"] = """
+  SELECT DISTINCT m, context, parent, total, kinds FROM seen_contexts WHERE m = 0 OR context IN (SELECT context FROM tree_contexts)"""
+PARTS["tree_level0"] = "SELECT context, next_id, n / total AS p FROM seen_contexts WHERE m = 0"
+for m in range(1, SIZE + 1):
+    PARTS[f"tree_level{m}"] = f"""
+  SELECT t.context, l.next_id, (coalesce(s.n, 0) + t.kinds * l.p) / (t.total + t.kinds) AS p
+  FROM tree_nodes t JOIN tree_level{m - 1} l ON t.parent = l.context LEFT JOIN all_contexts s ON s.context = t.context AND s.next_id = l.next_id
+  WHERE t.m = {m}"""
+PARTS["tree_top"] = f"""
+  SELECT context, array_to_string(list(next_id ORDER BY r), ',') AS topk, list(next_id ORDER BY r) AS tops
+  FROM (SELECT *, row_number() OVER (PARTITION BY context ORDER BY p DESC, next_id) AS r
+        FROM ({" UNION ALL ".join(f"SELECT * FROM tree_level{m}" for m in range(SIZE + 1))})) WHERE r <= {K} GROUP BY 1"""
+add("d1_suffix_tree", "SELECT context, topk FROM tree_top")
+PARTS["tree_tries"] = " UNION ALL ".join(
+    f"SELECT session_id, window_idx, next_id, {m} AS used, " + (CONTEXT.format(last=m) if m else "''") + f" AS context FROM test_windows WHERE len >= {m}"
+    for m in range(SIZE + 1))
+PARTS["tree_picked"] = """
+  SELECT session_id, window_idx, any_value(next_id) AS next_id, arg_max(m.tops, used) AS tops FROM tree_tries JOIN tree_top m USING (context) GROUP BY 1, 2"""
+add("d1_suffix_tree_hits", f"""
+  SELECT model, CAST(k AS INTEGER) AS k, count(*) FILTER (hit BETWEEN 1 AND k) AS hits, count(*) AS windows
+  FROM (SELECT 'tree' AS model, coalesce(list_position(tops, next_id), 0) AS hit FROM tree_picked
+        UNION ALL SELECT 'order', coalesce(list_position(tops, next_id), 0) FROM picked JOIN test_windows USING (session_id, window_idx)),
+       (SELECT unnest(range(1, {K + 1})) AS k) GROUP BY 1, 2""")
 PARTS["scored"] = """
   SELECT w.session_id, w.window_idx, w.next_id, w.anomaly, w.cls, w.i, w.len, p.topk,
          CAST(coalesce(list_position(p.tops, w.next_id), 0) AS INTEGER) AS hit_rank
@@ -592,6 +650,12 @@ add("a2_transformer_chain", """
 PARTS["test_counts"] = """
   SELECT session_id, window_idx, anomaly, id AS template_id, CAST(count(*) AS INTEGER) AS n
   FROM (SELECT session_id, window_idx, anomaly, unnest(filled) AS id FROM test_filled) GROUP BY ALL"""
+add("d6_model_registry", """
+  SELECT unnest(['next_event', 'classifier', 'directions']) AS kind, 2 AS version, count(*) AS equal_scores FROM test_windows""")
+add("d2_best_threshold", """
+  SELECT value AS threshold, round(CASE WHEN tp > 0 THEN 2 * tp / (flagged + (SELECT sum(label) FROM log_events)) ELSE 0.0 END, 6) AS f1
+  FROM (SELECT value, sum(sum(label)) OVER (ORDER BY value DESC) AS tp, sum(count(*)) OVER (ORDER BY value DESC) AS flagged FROM log_events GROUP BY 1)
+  ORDER BY CASE WHEN tp > 0 THEN 2 * tp / (flagged + (SELECT sum(label) FROM log_events)) ELSE 0.0 END DESC, value DESC LIMIT 1""")
 add("d2_window_classifier", """
   SELECT *, (SELECT round(avg(anomaly), 3) FROM train_windows) AS mean_train_score FROM test_counts""")
 PARTS["train_filled"] = f"SELECT *, {_padded('ids', SIZE, '1')} AS filled FROM train_windows"
@@ -612,6 +676,34 @@ PARTS["pattern_ids"] = """
   FROM (SELECT DISTINCT pattern FROM train_patterns)"""
 add("d3_pattern_classifier", """
   SELECT session_id, window_idx, anomaly, pattern_id FROM test_patterns JOIN pattern_ids USING (pattern)""")
+
+
+def _runs(source: str) -> str:
+    """Distinct runs of two to four events in each window, without its filler."""
+    runs = " UNION ALL ".join(
+        f"SELECT session_id, window_idx, anomaly, {n} AS width, array_to_string(ids[i + j:i + j + {n - 1}], ' ') AS pattern "
+        f"FROM {source}, (SELECT unnest(range(1, {SIZE - n + 2})) AS j) WHERE j + {n - 1} <= len" for n in (2, 3, 4))
+    return f"SELECT DISTINCT * FROM ({runs})"
+
+
+PARTS["train_runs"] = _runs("train_windows")
+PARTS["frequent_runs"] = f"""
+  SELECT pattern, CAST(width AS INTEGER) AS width, count(*) AS support, CAST(sum(anomaly) AS BIGINT) AS anomalous FROM train_runs
+  GROUP BY 1, 2 HAVING count(*) >= {PATTERN_SHARE}::DOUBLE * (SELECT count(*) FROM train_windows)"""
+add("d3_frequent_patterns", "SELECT * FROM frequent_runs")
+PARTS["told_runs"] = """
+  SELECT *, CASE WHEN base > 0 THEN n * x * x / base ELSE 0.0 END AS chi2 FROM (
+    SELECT *, anomalous::DOUBLE * ((n - bad) - (support::DOUBLE - anomalous)) - (support::DOUBLE - anomalous) * (bad - anomalous) AS x,
+           support::DOUBLE * (n - support) * bad * (n - bad) AS base
+    FROM frequent_runs, (SELECT count(*)::DOUBLE AS n, sum(anomaly)::DOUBLE AS bad FROM train_windows))"""
+PARTS["best_runs"] = f"""
+  SELECT *, row_number() OVER (ORDER BY chi2 DESC, support DESC, pattern) - 1 AS pattern_id FROM told_runs
+  ORDER BY chi2 DESC, support DESC, pattern LIMIT {PATTERNS}"""
+PARTS["test_runs"] = _runs("test_windows")
+add("d3_telling_patterns", """
+  SELECT b.pattern, CAST(pattern_id AS INTEGER) AS pattern_id, b.width, support, anomalous, round(chi2, 6) AS chi2,
+         coalesce(tw, 0) AS test_windows, coalesce(ta, 0) AS test_anomalous
+  FROM best_runs b LEFT JOIN (SELECT pattern, count(*) AS tw, CAST(sum(anomaly) AS BIGINT) AS ta FROM test_runs GROUP BY 1) t USING (pattern)""")
 PARTS["id_means"] = """
   SELECT k, (SELECT count(*) FROM (SELECT unnest(filled) AS id FROM train_filled) WHERE id = k) / (SELECT count(*) FROM train_filled)::DOUBLE AS mean
   FROM vocab_ids"""
@@ -619,6 +711,44 @@ add("d4_reconstruction_error", """
   SELECT session_id, window_idx, anomaly, round(sum((len(list_filter(filled, lambda z: z = k)) - mean) ** 2) / count(*), 6) AS total,
          0.0::DOUBLE AS rest, 1 AS "between"
   FROM test_filled, id_means GROUP BY 1, 2, 3""")
+# The covariance as a list of rows. Squaring it again and again leaves the square of its strongest direction, which is then taken out.
+PARTS["covariance"] = """
+  SELECT list(line ORDER BY k) AS m FROM (
+    SELECT a.k, list(coalesce(s, 0) / n - a.mean * b.mean ORDER BY b.k) AS line
+    FROM id_means a CROSS JOIN id_means b CROSS JOIN (SELECT count(*) AS n FROM train_filled)
+    LEFT JOIN (
+      SELECT x.id AS i, y.id AS j, sum(x.n * y.n) AS s FROM train_cells x JOIN train_cells y USING (session_id, window_idx) GROUP BY 1, 2
+    ) ON i = a.k AND j = b.k GROUP BY a.k)"""
+PARTS["train_cells"] = """
+  SELECT session_id, window_idx, id, count(*) AS n FROM (SELECT session_id, window_idx, unnest(filled) AS id FROM train_filled) GROUP BY ALL"""
+
+
+def _trace(m: str) -> str:
+    return f"list_sum(list_transform({m}, lambda r, i: r[i]))"
+
+
+def _strongest(source: str) -> str:
+    """Thirty squarings of the matrix ``m`` of ``source``, each divided by its trace."""
+    return f"""SELECT step + 1 AS step, list_transform(s, lambda r: list_transform(r, lambda x: x / {_trace('s')})) AS m
+      FROM (SELECT step, list_transform(m, lambda r: list_transform(m, lambda q: list_dot_product(r, q))) AS s FROM {source} WHERE step < 30)"""
+
+
+def _deflated(m: str, p: str) -> str:
+    """The matrix without its part in the direction whose square is ``p``."""
+    strength = f"list_sum(list_transform({m}, lambda r, i: list_dot_product(r, {p}[i])))"
+    return f"list_transform({m}, lambda r, i: list_transform(r, lambda x, j: x - {strength} * {p}[i][j]))"
+
+
+for place, before in enumerate(("m0", "m1", "m2"), 1):
+    PARTS[f"m{place - 1}"] = "SELECT m FROM covariance" if place == 1 else f"SELECT {_deflated('a.m', 'b.m')} AS m FROM m{place - 2} a, top{place - 1} b"
+    PARTS[f"power{place}"] = f"SELECT 0 AS step, m FROM {before} UNION ALL ({_strongest(f'power{place}')})"
+    PARTS[f"top{place}"] = f"SELECT m FROM power{place} WHERE step = 30"
+PARTS["centred"] = """
+  SELECT session_id, window_idx, list(len(list_filter(filled, lambda z: z = k)) - mean ORDER BY k) AS c FROM test_filled, id_means GROUP BY 1, 2"""
+_inside = " + ".join(f"list_dot_product(c, list_transform(p{k}.m, lambda r: list_dot_product(r, c)))" for k in (1, 2, 3))
+add("d4_main_directions", f"""
+  SELECT session_id, window_idx, round(greatest(list_dot_product(c, c) - ({_inside}), 0) / len(c), 6) AS score, round(list_dot_product(c, c) / len(c), 6) AS total
+  FROM centred, top1 p1, top2 p2, top3 p3""")
 PARTS["test_units"] = """
   SELECT count(*) AS units, CAST(sum(anomaly) AS BIGINT) AS anomalous, 1 AS valid
   FROM (SELECT session_id, max(anomaly) AS anomaly FROM test_windows GROUP BY 1)"""
@@ -705,3 +835,4 @@ PARTS["order_patient"] = """
 add("d7_order_search", """
   SELECT k AS candidate, round(f1, 6)::DOUBLE AS f1, (SELECT max(k) FROM order_patient) AS stopped_at FROM order_patient
   ORDER BY order_patient.f1 DESC, k LIMIT 1""")
+ORACLE["d7_shared_search"] = ORACLE["d7_order_search"]

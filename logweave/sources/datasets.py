@@ -5,11 +5,14 @@ from __future__ import annotations
 import hashlib
 import json
 import posixpath
-from collections.abc import Callable, Mapping
+import uuid
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logweave.sources import files
+
 
 def write_sessions(lines: DataFrame, params: Mapping, path: str) -> None:
     """Store session lines by split, and the split parameters next to them."""
@@ -59,17 +62,29 @@ def append_results(
     record.coalesce(1).write.mode("append").parquet(path)
 
 
+def input_fingerprint(df: DataFrame) -> str:
+    """Text that changes with the files that ``df`` is read from: their paths, lengths and times of change.
+
+    ``df`` is a table read from files. Only the files' names and sizes are looked at, once per file.
+    """
+    of_file = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    number = F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)")
+    count, total = of_file.agg(F.count(F.lit(1)), F.sum(number)).first()
+    return f"{count}:{total or 0}"
+
+
 def cached_features(
-    spark: SparkSession, cache_dir: str, params: Mapping, build: Callable[[], DataFrame]
+    spark: SparkSession, cache_dir: str, params: Mapping, build: Callable[[], DataFrame], inputs: Sequence[DataFrame] = ()
 ) -> DataFrame:
-    """Stored features for these parameters, built and written on the first call.
+    """Stored features for these parameters and the present files of ``inputs``, built and written on the first call.
 
-    Put the input path into ``params``: two inputs must not share an entry.
-    A write that did not finish leaves no ``_SUCCESS`` file and is written again.
+    A changed input gets an entry of its own. An entry is written aside and put in place as a whole: a write that did not finish
+    leaves nothing that is read, and of two builders at once the first one's entry stays.
     """
-    path = posixpath.join(cache_dir, run_id(params))
-    marker = spark._jvm.org.apache.hadoop.fs.Path(posixpath.join(path, "_SUCCESS"))
-    files = marker.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(marker):
-        build().write.mode("overwrite").parquet(path)
+    key = {**params, "_inputs": [input_fingerprint(df) for df in inputs]} if inputs else params
+    path = posixpath.join(cache_dir, run_id(key))
+    if not files.exists(spark, path):
+        aside = posixpath.join(cache_dir, f"_building-{uuid.uuid4().hex}")
+        build().write.parquet(aside)
+        files.publish(spark, aside, path)
     return spark.read.parquet(path)

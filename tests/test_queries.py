@@ -22,7 +22,8 @@ def test_query_equals_sql(spark, name):
 def test_every_query_has_a_statement():
     from logweave.plans import catalog
 
-    assert set(catalog.QUERIES) == set(ORACLE)
+    # What boosted trees predict cannot be said in SQL; tests/test_models.py holds it against plain counts.
+    assert set(catalog.QUERIES) == set(ORACLE) | {"d2_tree_classifier"}
     assert set(ORACLE) <= set(contract.oracle_sql()) <= set(contract.queries())
 
 

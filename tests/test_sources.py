@@ -1,6 +1,9 @@
+import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from logweave.sources import datasets, logs
+from logweave.operators import detect
+from logweave.sources import datasets, logs, models
 
 
 def test_csv_keeps_empty_strings_and_quotes(spark, tmp_path):
@@ -81,3 +84,95 @@ def test_cache_builds_once_per_parameters(spark, tmp_path):
     for params in ({"input": "a"}, {"input": "a"}, {"input": "b"}):
         assert datasets.cached_features(spark, str(tmp_path / "cache"), params, build).count() == 3
     assert len(calls) == 2
+
+
+def test_cache_follows_its_input(spark, tmp_path):
+    source, cache = str(tmp_path / "in"), str(tmp_path / "features")
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.read.parquet(source).select((F.col("id") * 2).alias("x"))
+
+    def cached():
+        return datasets.cached_features(spark, cache, {"size": 1}, build, [spark.read.parquet(source)])
+
+    spark.range(3).write.parquet(source)
+    assert cached().count() == 3 and cached().count() == 3 and len(calls) == 1
+    spark.range(3, 8).write.mode("append").parquet(source)
+    assert cached().count() == 8 and len(calls) == 2
+    # Unchanged files are the same input.
+    assert datasets.input_fingerprint(spark.read.parquet(source)) == datasets.input_fingerprint(spark.read.parquet(source))
+
+
+def test_two_builders_leave_one_whole_result(spark, tmp_path):
+    cache, inside = str(tmp_path / "cache"), []
+
+    def build():
+        # While the first one builds, another builder comes and finishes.
+        if not inside:
+            inside.append(1)
+            assert datasets.cached_features(spark, cache, {"a": 1}, build).count() == 2
+        return spark.range(2)
+
+    assert datasets.cached_features(spark, cache, {"a": 1}, build).count() == 2
+    entries = [p for p in (tmp_path / "cache").iterdir() if not p.name.startswith(".")]
+    assert len(entries) == 1 and (entries[0] / "_SUCCESS").exists()
+
+
+def test_failed_build_leaves_nothing(spark, tmp_path):
+    cache = str(tmp_path / "cache")
+
+    def broken():
+        return spark.range(2).select(F.raise_error(F.lit("broken")).alias("x"))
+
+    with pytest.raises(Exception, match="broken"):
+        datasets.cached_features(spark, cache, {}, broken)
+    assert datasets.cached_features(spark, cache, {}, lambda: spark.range(2)).count() == 2
+
+
+def test_models_by_kind_and_version(spark, tmp_path):
+    root = str(tmp_path / "models")
+    data = spark.createDataFrame([(0.0, 1.0), (1.0, 3.0), (0.0, 0.5), (1.0, 2.5)], "anomaly double, x double")
+    featured = data.select("anomaly", array_to_vector(F.array("x")).alias("features"))
+    vocabulary = spark.createDataFrame([("a b", 2)], "template string, template_id int")
+    for kind in ("logistic", "trees"):
+        model = detect.fit_classifier(featured) if kind == "logistic" else detect.fit_trees(featured, 3)
+        assert models.save(model, root, kind, {"size": 3}, vocabulary) == 1
+        got = models.load(spark, root, kind)
+        assert (got.kind, got.version, got.params) == (kind, 1, {"size": 3}) and got.vocabulary.collect() == vocabulary.collect()
+        assert detect.score_classifier(got.model, featured).collect() == detect.score_classifier(model, featured).collect()
+    table = spark.createDataFrame([("1 2", [3])], "context string, topk array<int>")
+    assert models.save(table, root, "order", {}) == 1
+    assert models.save(table.union(table), root, "order", {"k": 1}) == 2
+    got = models.load(spark, root, "order")
+    assert got.version == 2 and got.params == {"k": 1} and got.vocabulary is None and got.model.count() == 2
+    with pytest.raises(FileNotFoundError):
+        models.load(spark, root, "nothing")
+
+
+def test_failed_save_keeps_the_old_version(spark, tmp_path):
+    root = str(tmp_path / "models")
+    models.save(spark.range(3), root, "table", {})
+    with pytest.raises(Exception, match="broken"):
+        models.save(spark.range(2).select(F.raise_error(F.lit("broken")).alias("x")), root, "table", {})
+    assert models.load(spark, root, "table").model.count() == 3
+
+
+def test_models_load_in_a_new_session(spark, tmp_path):
+    """Another process finds the model by its folder alone."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = str(tmp_path / "models")
+    models.save(spark.createDataFrame([("1", [2])], "context string, topk array<int>"), root, "order", {"order": 1})
+    code = (
+        "from pyspark.sql import SparkSession\n"
+        "from logweave.sources import models\n"
+        "spark = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        f"got = models.load(spark, {root!r}, 'order')\n"
+        "print('found', got.params['order'], got.model.collect()[0].topk[0])\n"
+    )
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, capture_output=True, text=True, timeout=120)
+    assert "found 1 2" in done.stdout
