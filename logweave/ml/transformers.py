@@ -25,6 +25,7 @@ from logweave.operators import features as feats
 from logweave.operators import vocab as voc
 from logweave.operators.sessions import gap_chunk_sessions
 from logweave.operators.windows import frame_windows, sliding_windows
+from logweave.runtime import broadcast_if_small
 
 
 def _param(name: str, doc: str, convert) -> Param:
@@ -118,12 +119,12 @@ class _ExtractorParams(Params):
     featureType = _param("featureType", "sequentials, semantics or quantitatives", TypeConverters.toString)
     windowSize = _param("windowSize", "lines per window", TypeConverters.toInt)
     stride = _param("stride", "lines between window starts", TypeConverters.toInt)
-    maxTokenLen = _param("maxTokenLen", "tokens kept per template", TypeConverters.toInt)
+    maxTokenLen = _param("maxTokenLen", "tokens kept per template; all of them when unset", TypeConverters.toInt)
     minTokenCount = _param("minTokenCount", "smallest count of a vocabulary token", TypeConverters.toInt)
     useTfidf = _param("useTfidf", "tf-idf rows instead of token ids", TypeConverters.toBoolean)
     lowerFirst = _param("lowerFirst", "lower-case before tf-idf tokenizing", TypeConverters.toBoolean)
 
-    DEFAULTS = dict(labelType="next_log", featureType="sequentials", windowSize=10, stride=1, maxTokenLen=50,
+    DEFAULTS = dict(labelType="next_log", featureType="sequentials", windowSize=10, stride=1, maxTokenLen=None,
                     minTokenCount=1, useTfidf=False, lowerFirst=False)
 
     def _get(self, name: str):
@@ -138,7 +139,7 @@ class LogFeatureExtractor(Estimator, _ExtractorParams, DefaultParamsReadable, De
 
     @keyword_only
     def __init__(self, *, labelType="next_log", featureType="sequentials", windowSize=10, stride=1,
-                 maxTokenLen=50, minTokenCount=1, useTfidf=False, lowerFirst=False):
+                 maxTokenLen=None, minTokenCount=1, useTfidf=False, lowerFirst=False):
         super().__init__()
         self._setDefault(**self.DEFAULTS)
         self._set(**self._input_kwargs)
@@ -186,11 +187,26 @@ class LogFeatureModel(Model, _ExtractorParams, MLReadable, MLWritable):
         else:
             length = self._get("maxTokenLen")
             table = feats.template_token_ids(distinct, self.tokens, length).withColumnRenamed("token_ids", "features")
-            filler = F.array_repeat(F.lit(0), length)
+            # Windows of whole templates are filled with empty ones.
+            filler = F.array_repeat(F.lit(0), length or 0)
         featured = feats.attach_template_features(encoded, voc.stored(table))
         featured = featured.withColumn("features", F.coalesce("features", filler))
         return sliding_windows(featured, size, stride, carry={"features": filler})
 
+    def transform_late(self, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Windows with tf-idf features that are looked up, not carried: ``windows`` with ``feature_ids``, one number per line (-1 as
+        filler), and the stored ``dictionary`` (``feature_id, token_id, weight``) of the lines' distinct templates.
+
+        A window is as long as its lines, whatever the vocabulary; ``features.window_tfidf`` and the like bring the two together.
+        """
+        encoded = voc.encode_templates(lines, self.templates)
+        numbered = voc.stored(voc.distinct_templates(encoded).select("template", F.monotonically_increasing_id().alias("feature_id")))
+        weights = feats.tfidf_from_idf(numbered, self.idf, self.tokens, self._get("lowerFirst"))
+        dictionary = voc.stored(weights.join(broadcast_if_small(numbered), "template").select("feature_id", "token_id", "weight"))
+        known = encoded.join(broadcast_if_small(numbered), "template", "left")
+        made = sliding_windows(known, self._get("windowSize"), self._get("stride"), carry={"feature_id": F.lit(-1).cast("long")})
+        return made.withColumnRenamed("feature_id", "feature_ids"), dictionary
+
     def write(self) -> MLWriter:
         return _ModelWriter(self)
 

@@ -122,6 +122,17 @@ def tfidf_from_idf(
     return raw.select("template", "token_id", (F.col("raw") / norm).alias("weight"))
 
 
+def window_tfidf(windows: DataFrame, dictionary: DataFrame, size: int) -> DataFrame:
+    """``session_id, window_idx, token_id, weight``: the mean tf-idf row of each window's ``size`` lines, tokens with a weight only.
+
+    ``windows`` carry ``feature_ids``, ``dictionary`` is ``feature_id, token_id, weight``. A template's row is multiplied by its
+    lines in the window before it meets the others, so windows never hold copies of rows; filler counts as zeros.
+    """
+    counts = windows.select("session_id", "window_idx", F.explode(id_counts(F.col("feature_ids"))).alias("feature_id", "_n"))
+    joined = counts.where("feature_id >= 0").join(broadcast_if_small(dictionary), "feature_id")
+    return joined.groupBy("session_id", "window_idx", "token_id").agg((F.sum(F.col("_n") * F.col("weight")) / size).alias("weight"))
+
+
 def dense_tfidf(weights: DataFrame, vocab_size: int) -> DataFrame:
     """One dense row of ``vocab_size`` weights per template."""
     pairs = weights.groupBy("template").agg(

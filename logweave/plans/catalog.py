@@ -1099,9 +1099,22 @@ def g3_incomplete_lines(spark, folder):
 def a1_semantic_extractor(spark, folder):
     """Token ids of windows by a fitted model, with the anomaly as the label."""
     data = dataset(spark, folder)
-    extractor = LogFeatureExtractor(featureType="semantics", labelType="anomaly", windowSize=SIZE, stride=STRIDE, maxTokenLen=4)
+    extractor = LogFeatureExtractor(featureType="semantics", labelType="anomaly", windowSize=SIZE, stride=STRIDE)
     model = extractor.fit(data.train.drop("template_id"))
     meta = model.metadata().first()
     made = model.transform(data.test.drop("template_id"))
     return made.select("session_id", "window_idx", nested("features"), "anomaly",
                        F.lit(meta["num_labels"]).alias("num_labels"), F.lit(meta["vocab_size"]).alias("vocab_size"))
+
+
+@query
+def a1_tfidf_windows(spark, folder):
+    """Mean tf-idf rows of windows of three document lines: how many tokens each has, and the squared length."""
+    lines = doc_templates(spark, folder).select(
+        F.col("doc_id").cast("string").alias("session_id"), "line_id", "template", F.lit(0).alias("label"))
+    placed = materialize(sessions.with_positions(lines))
+    extractor = LogFeatureExtractor(featureType="semantics", windowSize=3, stride=2, useTfidf=True)
+    made, dictionary = extractor.fit(placed).transform_late(placed)
+    rows = features.window_tfidf(made, dictionary, 3)
+    return rows.groupBy("session_id", "window_idx").agg(
+        F.count(F.lit(1)).alias("tokens"), F.round(F.sum(F.col("weight") * F.col("weight")), 6).alias("squared_length"))

@@ -804,13 +804,12 @@ PARTS["event_tokens"] = """
 PARTS["all_event_words"] = f"""
   SELECT template, {TOKENS.format(text='template')} AS toks FROM (SELECT DISTINCT template FROM user_lines)"""
 PARTS["event_token_ids"] = """
-  SELECT template, array_to_string(list_concat(ids, list_transform(range(4 - len(ids)), lambda x: 0)), ' ') AS toks FROM (
-    SELECT template, (list(coalesce(token_id, 1) ORDER BY p))[1:4] AS ids FROM (
-      SELECT template, unnest(toks) AS token, generate_subscripts(toks, 1) AS p FROM all_event_words) LEFT JOIN event_tokens USING (token) GROUP BY 1)"""
+  SELECT template, array_to_string(list(coalesce(token_id, 1) ORDER BY p), ' ') AS toks FROM (
+    SELECT template, unnest(toks) AS token, generate_subscripts(toks, 1) AS p FROM all_event_words) LEFT JOIN event_tokens USING (token) GROUP BY 1"""
 PARTS["semantic_lines"] = "SELECT c.*, t.toks FROM coded_lines c JOIN event_token_ids t USING (template) WHERE split = 'test'"
 PARTS["semantic_windows"] = _windows("semantic_lines", SIZE, STRIDE, ", list(toks ORDER BY pos) AS toks")
 add("a1_semantic_extractor", f"""
-  SELECT session_id, window_idx, array_to_string({_padded('toks', SIZE, "'0 0 0 0'")}, ',') AS features, anomaly,
+  SELECT session_id, window_idx, array_to_string({_padded('toks', SIZE, "''")}, ',') AS features, anomaly,
          2 AS num_labels, (SELECT CAST(count(*) + 2 AS INTEGER) FROM event_tokens) AS vocab_size
   FROM semantic_windows""")
 
@@ -836,3 +835,8 @@ add("d7_order_search", """
   SELECT k AS candidate, round(f1, 6)::DOUBLE AS f1, (SELECT max(k) FROM order_patient) AS stopped_at FROM order_patient
   ORDER BY order_patient.f1 DESC, k LIMIT 1""")
 ORACLE["d7_shared_search"] = ORACLE["d7_order_search"]
+# The lines of a document's windows with their weights; windows as in f3.
+PARTS["tfidf_windows"] = f"SELECT session_id, window_idx, unnest(ts[i + 1:i + len]) AS template FROM ({_windows('doc_coded', 3, 2)})"
+add("a1_tfidf_windows", """
+  SELECT session_id, window_idx, count(*) AS tokens, round(sum(weight * weight), 6) AS squared_length
+  FROM (SELECT session_id, window_idx, token_id, sum(weight) / 3 AS weight FROM tfidf_windows JOIN doc_tfidf USING (template) GROUP BY 1, 2, 3) GROUP BY 1, 2""")

@@ -51,6 +51,25 @@ def test_indexer_continues_a_mapping(spark, log):
     assert got == {"read File": 7, "open File": 10, "close File": 11, "BadBlock error": 12}
 
 
+def test_late_features_equal_carried_ones(spark, log):
+    """The mean of the dense rows that windows carry, and of the rows that are looked up by number, are the same."""
+    train, test = log.where("session_id < 's2'"), log.where("session_id >= 's2'").withColumn(
+        "template", F.when(F.col("pos") == 1, "NewThing File").otherwise(F.col("template")))
+    model = LogFeatureExtractor(featureType="semantics", windowSize=4, stride=2, useTfidf=True).fit(train)
+    made, dictionary = model.transform_late(test)
+    sparse = {(r.session_id, r.window_idx, r.token_id): r.weight for r in features.window_tfidf(made, dictionary, 4).collect()}
+    dense = {}
+    for r in model.transform(test).collect():
+        for token in range(model.vocab_size()):
+            if total := sum(line[token] for line in r.features):
+                dense[r.session_id, r.window_idx, token] = total / 4
+    assert sparse.keys() == dense.keys() and all(abs(sparse[k] - dense[k]) < 1e-12 for k in dense)
+    # A window is as long as its lines.
+    assert {len(r.feature_ids) for r in made.collect()} == {4}
+    whole = LogFeatureExtractor(featureType="semantics", windowSize=4, stride=2).fit(train).transform(test)
+    assert {0, 2, 3} >= {len(line) for r in whole.collect() for line in r.features} >= {2, 3}
+
+
 @pytest.mark.parametrize("kind,tfidf", [("sequentials", False), ("quantitatives", False), ("semantics", False), ("semantics", True)])
 def test_extractor_round_trip(spark, log, tmp_path, kind, tfidf):
     train, test = log.where("session_id < 's2'"), log.where("session_id >= 's2'").withColumn(
