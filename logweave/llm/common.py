@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from logweave.runtime import discard, materialize
 
-__all__ = ["discard", "map_batches", "rows_of", "store", "table", "transform_text"]
+__all__ = ["discard", "map_batches", "rows_of", "store", "table", "transform_text", "unused"]
 
 # Rows of one batch handed to Python: bounds the memory of a task whatever the length of its texts.
 BATCH_BYTES = 8 << 20
@@ -83,6 +83,12 @@ def transform_text(
     return map_batches(docs, run, schema)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n for n in (name + "_" * k for k in range(len(taken) + 1)) if n.lower() not in taken) for name in names]
+
+
 def null_safe_ids(docs: DataFrame, column: str = "doc_id") -> DataFrame:
     """Rows that can take part in cross-document work."""
     return docs.where(F.col(column).isNotNull())

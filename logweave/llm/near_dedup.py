@@ -86,6 +86,18 @@ class Forest:
         made = "doc_id long, n_shingles long, set_key binary, signature binary, bands array<bigint>"
         return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, made)
 
+    def keyed_texts(self, docs: DataFrame) -> DataFrame:
+        """``doc_id, text, set_key`` of texts (``doc_id, text``) with words."""
+        schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("set_key", pa.binary())])
+
+        def run(batches: Batches) -> Batches:
+            for batch in batches:
+                made = shingles.text_shingles(batch.column(1).to_pylist(), self.width)
+                key = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in made]
+                yield rows_of(schema, doc_id=batch.column(0), text=batch.column(1), set_key=key)
+
+        return map_batches(docs.select("doc_id", "text"), run, "doc_id long, text string, set_key binary")
+
     def tree_keys(self, sets: DataFrame) -> DataFrame:
         """``key, id, sketch``: one row per set (``id, signature``) and tree. A key is the tree's number and its components."""
         schema = pa.schema([("key", pa.binary()), ("id", pa.int64()), ("sketch", pa.binary())])
@@ -114,8 +126,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
 
     Nulls and odd rows: a text that is null or without words has an empty set and is linked with nothing; one
     with fewer words than ``width`` is one shingle. A row with a null ``doc_id`` is returned with null
-    ``component_id`` and kept. Rows that repeat a ``doc_id`` are one document for the links, and each row is
-    returned. An empty table gives an empty result. Columns besides ``doc_id`` and ``text`` are not read.
+    ``component_id`` and kept. Rows that repeat a ``doc_id`` are one document with the links of all its texts, and
+    each row is returned. An empty table gives an empty result. Columns besides ``doc_id`` and ``text`` are not read.
     """
     forest = Forest(width, percent, trees)
     signed = store(forest.signatures(docs))
@@ -126,24 +138,34 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     )
     rows = store(signed.drop("signature", "bands"))
     discard(signed)
-    # Where rows repeat a doc_id, one document may have several sets.
+    # Where rows repeat a doc_id, one document may have several sets; then nodes have numbers of their own.
     numbered = rows.where("doc_id is not null")
     repeated = numbered.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    nodes = store(sets.groupBy("id").agg(F.min("signature").alias("signature"), F.min("bands").alias("bands"))) if repeated else sets
+    nodes = store(sets.select(F.monotonically_increasing_id().alias("id"), "set_key", F.col("id").alias("doc_id"), "signature", "bands")) if repeated else sets
     pairs = sorted_neighbours(forest.tree_keys(nodes), 1 + 2 * LEAST_DEPTH, forest.least_bits())
 
     def fetch(ids: DataFrame) -> DataFrame:
         # The same plan at every size: the ids of all candidates are never broadcast.
-        some = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids.hint("shuffle_hash"), "id", "left_semi")
-        return some.groupBy("id").agg(F.max("text").alias("text")) if repeated else some
+        known = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+        if not repeated:
+            return known.join(ids.hint("shuffle_hash"), "id", "left_semi")
+        wanted = nodes.select("id", "set_key", "doc_id").join(ids, "id", "left_semi")
+        some = known.join(wanted.select(F.col("doc_id").alias("id")).distinct().hint("shuffle_hash"), "id", "left_semi")
+        texts = forest.keyed_texts(some.select(F.col("id").alias("doc_id"), "text"))
+        return texts.join(wanted, ["doc_id", "set_key"]).groupBy("id").agg(F.min("text").alias("text"))
 
     classes, _ = confirmed_classes(pairs, fetch, forest.similar)
     classes = completed_classes(classes, nodes.select("id", "bands"), fetch, width, percent)
-    member = sets.select("set_key", "id")
+    member = nodes.select("set_key", "id", (F.col("doc_id") if repeated else F.col("id")).alias("head"))
     if repeated:
-        own = numbered.where("set_key is not null").join(member, "set_key").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+        # The sets of one document are one in the end, and the smallest doc_id names the class.
+        owned = store(numbered.where("set_key is not null").join(member, "set_key").select("doc_id", "id").distinct())
+        first = owned.groupBy("doc_id").agg(F.min("id").alias("a"))
+        own = owned.join(first, "doc_id").select("a", F.col("id").alias("b"))
         classes = components(own.union(classes.select("id", "component")))
-    member = store(member.join(classes, "id", "left").select("set_key", F.coalesce("component", "id").alias("component")))
+        heads = member.join(classes, "id").groupBy("component").agg(F.min("head").alias("doc_id"))
+        classes = store(classes.join(heads, "component").select("id", F.col("doc_id").alias("component")))
+    member = store(member.join(classes, "id", "left").select("set_key", F.coalesce("component", "head").alias("component")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return rows.join(member, "set_key", "left").select(
         "doc_id", "n_shingles", component.alias("component_id"),

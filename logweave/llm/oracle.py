@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from logweave.llm.paragraph_dedup import Banding
 from logweave.llm.url_filter import REJECT_AT, RULES, SOFT_TERMS, SOFT_WEIGHT, STRICT_TERMS, STRICT_WEIGHT
 
 ORACLE: dict[str, str] = {}
@@ -84,37 +85,53 @@ SELECT d.id AS doc_id, i.id AS item_id, count(*) AS common, any_value(i.n) AS it
 FROM grams d JOIN item i ON d.x = i.x WHERE d.kind = 'doc' GROUP BY d.id, i.id HAVING 100 * count(*) >= 80 * any_value(i.n)
 """
 
+_PARTS_OF_WORD = "[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*"
+_near = lambda frame: f"OVER (PARTITION BY doc_id, paragraph ORDER BY pos ROWS BETWEEN {frame})"
+_banding = Banding()
+
 ORACLE["op10_paragraph_dedup"] = f"""
-WITH RECURSIVE lines AS (
-    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS place
-    FROM documents WHERE text IS NOT NULL
-), paragraphs AS (
-    SELECT doc_id, place, array_to_string(w, ' ') AS key, w
-    FROM (SELECT *, regexp_extract_all(translate(line, {_LOWER}), '[^\\x20\\x09-\\x0D]+') AS w FROM lines) WHERE len(w) >= 30
-), nodes AS (
-    SELECT row_number() OVER (ORDER BY min(doc_id * 1000000 + place)) AS id, key, min(doc_id * 1000000 + place) AS head, any_value(w) AS w FROM paragraphs GROUP BY key
+WITH RECURSIVE cut AS (
+    SELECT doc_id, regexp_extract_all(text, '{_PARTS_OF_WORD}') AS parts FROM documents WHERE text IS NOT NULL
+), words AS (
+    SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos FROM cut
+), lowered AS (
+    SELECT doc_id, part, pos, translate(rtrim(part, {_BLANKS}), {_LOWER}) AS word,
+           coalesce(lag(length(part) - length(replace(part, chr(10), ''))) OVER (PARTITION BY doc_id ORDER BY pos) > 1, false) AS blank_line FROM words
+), hashed AS (
+    SELECT *, md5(word) AS h, sum(CAST(blank_line AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos) AS paragraph FROM lowered
+), cuts AS (
+    SELECT *, blank_line OR (h < min(h) {_near(f"{_banding.reach} PRECEDING AND 1 PRECEDING")}
+           AND h <= min(h) {_near(f"1 FOLLOWING AND {_banding.reach} FOLLOWING")}
+           AND count(*) {_near(f"{_banding.reach} PRECEDING AND {_banding.reach} FOLLOWING")} = {2 * _banding.reach + 1}) AS starts FROM hashed
+), placed AS MATERIALIZED (
+    SELECT doc_id, part, pos, word, CAST(sum(CAST(coalesce(starts, false) AND pos > 1 AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS place FROM cuts
+), units AS MATERIALIZED (
+    SELECT doc_id, place, list(word ORDER BY pos) AS w, string_agg(word, ' ' ORDER BY pos) AS key FROM placed GROUP BY 1, 2
+    HAVING count(*) >= {_banding.min_words}
+), nodes AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY min(doc_id * 1000000 + place)) AS id, key, min(doc_id * 1000000 + place) AS head, any_value(w) AS w FROM units GROUP BY key
 ), sets AS (
     SELECT id, list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i : i + 4], ' '))) AS s FROM nodes
-), shingles AS (SELECT id, len(s) AS n, unnest(s) AS x FROM sets), common AS (
+), shingles AS MATERIALIZED (SELECT id, len(s) AS n, unnest(s) AS x FROM sets), common AS (
     SELECT p.id AS a, q.id AS b, count(*) AS c, any_value(p.n) AS na, any_value(q.n) AS nb
     FROM shingles p JOIN shingles q ON p.x = q.x AND p.id < q.id GROUP BY p.id, q.id
-), links AS (
+), links AS MATERIALIZED (
     SELECT a, b FROM common WHERE 100 * c >= 80 * (na + nb - c) UNION ALL SELECT b, a FROM common WHERE 100 * c >= 80 * (na + nb - c)
 ), {_REACH}, heads AS (
     SELECT n.key, h.head FROM nodes n LEFT JOIN least l ON l.id = n.id JOIN nodes h ON h.id = coalesce(l.component, n.id)
+), repeated AS (
+    SELECT doc_id, place, len(w) AS n, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS run
+    FROM units JOIN heads USING (key) WHERE doc_id * 1000000 + place > head
 ), gone AS (
-    SELECT p.doc_id, p.place FROM paragraphs p JOIN heads USING (key) WHERE p.doc_id * 1000000 + p.place > head
-), marked AS (
-    SELECT l.doc_id, l.place, l.line, g.place IS NOT NULL AS gone FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.place = g.place
-), found AS (
-    SELECT doc_id, count(*) AS n_paragraphs, count(*) FILTER (gone) AS n_removed,
-           coalesce(string_agg(CAST(place AS VARCHAR), ',' ORDER BY place) FILTER (gone), '') AS removed,
-           sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
-    FROM marked GROUP BY doc_id
+    SELECT doc_id, place FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id, run) AS total FROM repeated) WHERE total >= {_banding.run_words}
+), kept AS (
+    SELECT doc_id, string_agg(part, '' ORDER BY pos) AS rest FROM placed p ANTI JOIN gone g USING (doc_id, place) GROUP BY 1
+), counted AS (
+    SELECT doc_id, count(*) AS n_removed, string_agg(CAST(place AS VARCHAR), ',' ORDER BY place) AS removed FROM gone GROUP BY 1
 )
-SELECT doc_id, coalesce(n_paragraphs, 0) AS n_paragraphs, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed,
-       coalesce(kept_sha256, sha256('')) AS kept_sha256
-FROM documents LEFT JOIN found USING (doc_id)
+SELECT doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed,
+       sha256(CASE WHEN n_removed IS NULL THEN coalesce(text, '') ELSE regexp_extract(text, '^[\\x20\\x09-\\x0D]*') || coalesce(rest, '') END) AS kept_sha256
+FROM documents LEFT JOIN counted USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 

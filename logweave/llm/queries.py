@@ -122,7 +122,7 @@ def op10_paragraph_dedup(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     cleaned = paragraph_dedup.dedup_paragraphs(docs)
     return cleaned.select(
-        "doc_id", "n_paragraphs", "n_removed", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"),
+        "doc_id", "n_removed", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"),
         F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
     )
 

@@ -79,15 +79,51 @@ def contained(texts, items):
     return out
 
 
-def repeated_paragraphs(texts, least, width=5):
-    """(doc, place) of the paragraphs that go."""
-    found = {}
-    for d, t in texts.items():
-        for place, line in enumerate([] if t is None else t.split("\n")):
-            if len(WORD.findall(line)) >= least:
-                found[d, place] = shingles(line, width)
-    head = classes(found, [(a, b) for a, b in combinations(found, 2) if similar(found[a], found[b])])
-    return {p for p, h in head.items() if p != h}
+def units(text, reach):
+    """(words, first character, place where the next unit or the end of the text follows) of every unit of a text."""
+    import hashlib
+
+    found = list(WORD.finditer(text or ""))
+    words = [m[0].translate(LOWER) for m in found]
+    value = [hashlib.md5(w.encode()).digest()[:8] for w in words]
+    blank_line = [k == 0 or (text[found[k - 1].end():found[k].start()].count("\n") > 1) for k in range(len(found))]
+    starts = []
+    for k in range(len(found)):
+        near = [j for j in range(k - reach, k + reach + 1) if 0 <= j < len(found)]
+        whole = len(near) == 2 * reach + 1 and not any(blank_line[j] for j in near[1:])
+        if blank_line[k] or whole and all(value[k] < value[j] for j in near if j < k) and all(value[k] <= value[j] for j in near if j > k):
+            starts.append(k)
+    ends = [*starts[1:], len(found)]
+    return [(words[a:b], found[a].start(), found[b].start() if b < len(found) else len(text)) for a, b in zip(starts, ends)]
+
+
+def dedup_units(texts, reach=9, least=10, run=15, width=5, percent=80):
+    """doc -> (text, places of the units that go)"""
+    every = {d: units(t, reach) for d, t in texts.items()}
+    sets = {(d, k): shingles(None, width, u[0]) for d, own in every.items() for k, u in enumerate(own) if len(u[0]) >= least}
+    holders = defaultdict(set)
+    for place, s in sets.items():
+        for x in s:
+            holders[x].add(place)
+    pairs = {(a, b) for own in holders.values() for a, b in combinations(sorted(own), 2)}
+    head = classes(sorted(sets), [p for p in pairs if similar(sets[p[0]], sets[p[1]], percent)])
+    out = {}
+    for d, own in every.items():
+        again = [k for k in range(len(own)) if head.get((d, k), (d, k)) != (d, k)]
+        gone = []
+        for k in again:
+            left, right = k, k
+            while left - 1 in again:
+                left -= 1
+            while right + 1 in again:
+                right += 1
+            if sum(len(own[j][0]) for j in range(left, right + 1)) >= run:
+                gone.append(k)
+        text = texts[d]
+        for k in reversed(gone):
+            text = text[:own[k][1]] + text[own[k][2]:]
+        out[d] = (text, gone)
+    return out
 
 
 def statistics(text):

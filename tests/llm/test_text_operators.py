@@ -151,6 +151,28 @@ def test_folding():
     assert toxicity.fold(None) == "  " and toxicity.fold("") == "  "
 
 
+def test_folding_equals_its_pattern():
+    """The rule as one regular expression, which is right but slow on long runs."""
+    import re
+
+    mixed = re.compile(r"[^\W_]*(?:(?<=[^\W\d_])[0134578@$!|](?=[^\W_]|[@$])|[0134578@$](?=[@$!|\d]*[^\W\d_]))[\w@$!|]*")
+    rng = random.Random(31)
+    for _ in range(20_000):
+        text = "".join(rng.choice("aeé019$@!|_ .2²") for _ in range(rng.randrange(1, 14)))
+        expected = mixed.sub(lambda m: m[0].rstrip("!|").translate(toxicity._SUBSTITUTED), text)
+        assert toxicity._unmasked(text) == expected, text
+
+
+@pytest.mark.parametrize("part", ["7", "01", "$", "a!", "a1", "!", "ab", "1_", "$ a", "4x!|"])
+def test_folding_of_long_runs(part):
+    import time
+
+    text = part * (1_000_000 // len(part))
+    start = time.process_time()
+    toxicity.fold(text)
+    assert time.process_time() - start < 5
+
+
 def test_lexicon(labelled, documents):
     lexicon = toxicity.learn(labelled)
     assert " grumblebad " in lexicon.terms and " nastify" in lexicon.terms
@@ -422,6 +444,19 @@ def test_star_of_near_copies(documents, monkeypatch, width, words, edits):
         assert got == {d: 1 if d <= len(texts) else d for d, _ in rows}
 
 
+def test_links_of_every_text_of_a_repeated_document(documents):
+    rng = random.Random(33)
+    rows, expected = [], {}
+    for k in range(20):
+        for part in range(2):
+            text = prose(rng, 200, 10**6)
+            rows += [(3 * k + 1, text), (3 * k + (0 if part else 2), edited(rng, text, 3))]
+        expected |= {3 * k + j: 3 * k for j in range(3)}
+    rows += [(500, "one text"), (500, "of another document"), (501, None), (501, "")]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(documents(rows), width=2).collect()}
+    assert got == expected | {500: 500, 501: 501}
+
+
 def test_overlaps():
     rng = np.random.RandomState(3)
     sets = [np.unique(rng.choice(400, 60) ** 2 // 300).astype(np.uint64) for _ in range(70)]
@@ -473,6 +508,50 @@ def test_band_tuning():
         assert 1 - (1 - similarity**rows) ** bands >= 0.99 and bands * rows <= 64
 
 
+def test_units_are_cut_by_content():
+    rng = random.Random(15)
+    texts = [t for _, t in ODD if t != LONG] + [
+        "  \n".join(rng.choice(["", "Und", prose(rng, rng.randrange(1, 60), 300)]) for _ in range(rng.randrange(1, 8))) for _ in range(80)
+    ]
+    made = [[] for _ in texts]
+    for k, data, _, found, first, last in paragraph_dedup.text_units(texts, 3):
+        for u in range(first, last):
+            made[k].append((int(found.words[u]), data[found.start[u]:found.stop[u]].tobytes().decode()))
+    assert made == [[(len(w), t[a:b]) for w, a, b in plain.units(t, 3)] for t in texts]
+    # A passage is cut alike in a line, in lines of ten words and across two lines.
+    passage = prose(rng, 60, 4000).split(" ")
+    wrapped = "\n".join(" ".join(passage[k:k + 10]) for k in range(0, 60, 10))
+    laid = [f"{prose(rng, 120, 4000)} {' '.join(passage)} {prose(rng, 120, 4000)}", f"{prose(rng, 9, 4000)}\n{wrapped}\n{prose(rng, 9, 4000)}"]
+    common = set.intersection(*({tuple(w) for w, _, _ in plain.units(t, 6)} for t in laid))
+    assert sum(map(len, common)) >= 15
+
+
+@pytest.mark.parametrize("layout", ["inside a line", "wrapped", "across lines"])
+def test_passages_go_whatever_their_layout(documents, layout):
+    rng = random.Random(layout)
+    texts = {}
+    for group in range(12):
+        passage = prose(rng, 60, 4000).split(" ")
+        for copy in range(3):
+            before, behind = (prose(rng, 120, 4000) for _ in range(2))
+            if layout == "inside a line":
+                body = f"{before} {' '.join(passage)} {behind}"
+            elif layout == "wrapped":
+                body = "\n".join([before, *(" ".join(passage[k:k + 10]) for k in range(0, 60, 10)), behind])
+            else:
+                body = f"{before} {' '.join(passage[:25])}\n{' '.join(passage[25:])} {behind}"
+            texts[3 * group + copy] = body
+    texts |= {100 + k: prose(rng, 200, 10**6) for k in range(20)}
+    # Passages of 60 words are sure to be found with short units only.
+    short = paragraph_dedup.Banding(reach=5, min_words=6)
+    made = {r.doc_id: r for r in paragraph_dedup.dedup_paragraphs(documents(list(texts.items())), short).collect()}
+    assert {d: (r.text, list(r.removed)) for d, r in made.items()} == plain.dedup_units(texts, 5, 6)
+    caught = sum(made[3 * g + c].n_removed > 0 for g in range(12) for c in (1, 2))
+    assert caught >= 23
+    # The first document of a passage and those without any stay byte for byte.
+    assert all(made[d].text == texts[d] for d in texts if d >= 100 or d % 3 == 0)
+
+
 def test_paragraphs_equal_brute_force(documents):
     rng = random.Random(14)
     pool = [prose(rng, rng.randrange(20, 90), 4000) for _ in range(25)]
@@ -481,22 +560,21 @@ def test_paragraphs_equal_brute_force(documents):
         lines = [prose(rng, rng.randrange(1, 60), 4000) for _ in range(rng.randrange(0, 4))]
         lines += [edited(rng, rng.choice(pool), rng.choice([0, 0, 1, 3])) for _ in range(rng.randrange(0, 3))]
         rng.shuffle(lines)
-        texts[d] = "\n".join(lines)
-    made = paragraph_dedup.dedup_paragraphs(documents(list(texts.items())))
-    expected = plain.repeated_paragraphs(texts, 30)
-    got = {(r.doc_id, p) for r in made.collect() for p in r.removed}
-    assert got == expected
-    for r in made.collect():
-        lines = texts[r.doc_id].split("\n")
-        assert r.n_paragraphs == len(lines) and r.n_removed == len(r.removed)
-        assert r.text == "\n".join(x for k, x in enumerate(lines) if k not in set(r.removed))
+        texts[d] = rng.choice(["\n", " \n\n", " "]).join(lines)
+    made = paragraph_dedup.dedup_paragraphs(documents(list(texts.items()))).collect()
+    expected = plain.dedup_units(texts)
+    assert {r.doc_id: (r.text, list(r.removed)) for r in made} == expected
+    assert all(r.n_removed == len(r.removed) for r in made)
+    assert sum(r.n_removed > 0 for r in made) > 20
 
 
 def test_star_of_paragraphs(documents):
     """2,000 variants of one paragraph, most in the same buckets and not near to each other, all go but the first."""
     texts = star(random.Random(22), 400, 2000, 7)
     assert all(near_to_first(texts, 5)) and not near_to_first(texts[1:3], 5)[1]
-    made = paragraph_dedup.dedup_paragraphs(documents([(len(texts) - k, t) for k, t in enumerate(texts)]))
+    rows = documents([(len(texts) - k, t) for k, t in enumerate(texts)])
+    # Nothing is cut here, so each text is one unit.
+    made = paragraph_dedup.dedup_paragraphs(rows, paragraph_dedup.Banding(reach=500))
     found = sorted(r.doc_id for r in made.collect() if not r.removed)
     # The bands find a pair at 80 % with probability 0.998.
     assert found[0] == 1 and len(found) <= 8
@@ -505,5 +583,11 @@ def test_star_of_paragraphs(documents):
 def test_paragraphs_of_odd_rows(documents):
     made = paragraph_dedup.dedup_paragraphs(clashing(documents(ODD), "removed"))
     got = sorted(((r.doc_id, r.text, r.n_removed) for r in made.collect()), key=str)
-    assert len(got) == len(ODD) and (7, "", 1) in got and (5, LONG, 0) in got and (1, None, 0) in got
+    assert len(got) == len(ODD) and (1, None, 0) in got and (2, "", 0) in got and (3, "  \t\n \x0b", 0) in got
+    # The long text repeats itself; its first part stays. Of the second one nothing stays but its ends, if they are too short to be units that take part.
+    rest, removed = next((r[1], r[2]) for r in got if r[0] == 7)
+    assert removed > 1000 and len(rest) < 200
+    kept = next(r[1] for r in got if r[0] == 5)
+    assert len(LONG) / 4 < len(kept) < len(LONG) / 2 and LONG.startswith(kept[: len(kept) // 2])
+    assert paragraph_dedup.dedup_paragraphs(clashing(documents(ODD), "_gone_doc", "_gone")).count() == len(ODD)
     assert paragraph_dedup.dedup_paragraphs(documents([])).count() == 0
