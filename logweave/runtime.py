@@ -16,13 +16,22 @@ BROADCAST_BYTES = 128 << 20
 EXPANSION = 16
 
 
+def fallback_dir(master: str, warehouse: str) -> str:
+    """A folder below the warehouse. On a cluster, a warehouse on the machine's own disk is refused: executors would each write
+    to their own, and later reads would miss those files."""
+    scheme = warehouse.split(":", 1)[0] if ":" in warehouse else "file"
+    if scheme == "file" and not master.startswith("local"):
+        raise ValueError(f"set spark.checkpoint.dir to a shared folder: the warehouse {warehouse} is local to each machine")
+    return posixpath.join(warehouse, "_checkpoints")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by ``spark.checkpoint.dir``; else one below the warehouse, which is shared too."""
+    """Use the shared folder named by ``spark.checkpoint.dir``; else one below the warehouse, where that is shared too."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(shared or posixpath.join(spark.conf.get("spark.sql.warehouse.dir"), "_checkpoints"))
+    sc.setCheckpointDir(shared or fallback_dir(sc.master, spark.conf.get("spark.sql.warehouse.dir")))
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

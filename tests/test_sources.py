@@ -176,3 +176,13 @@ def test_models_load_in_a_new_session(spark, tmp_path):
     )
     done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, capture_output=True, text=True, timeout=120)
     assert "found 1 2" in done.stdout
+
+
+def test_local_warehouse_is_refused_on_a_cluster():
+    from logweave.runtime import fallback_dir
+
+    assert fallback_dir("local[8]", "file:/x/warehouse") == "file:/x/warehouse/_checkpoints"
+    assert fallback_dir("yarn", "hdfs://n/warehouse") == "hdfs://n/warehouse/_checkpoints"
+    for warehouse in ("file:/x/warehouse", "/x/warehouse"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            fallback_dir("spark://host:7077", warehouse)
