@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from logweave.operators import ordering
 from logweave.operators.ordering import PART, running, split_ranges
 
 
@@ -69,3 +70,22 @@ def test_null_keys_and_values_keep_their_rows(spark):
     made = running(rows, ["g"], ["at"], {"total": ("sum", "v")}, part_rows=20)
     assert made.count() == 500
     assert [r.n for r in made.groupBy("g").agg(F.max("total").alias("n")).orderBy("g").collect()] == [250, 250]
+
+
+@pytest.mark.parametrize("points", [0, 1, 2, 7, 254, 255])
+def test_places_among_cut_points(spark, points):
+    cuts = [3 * i - 40 for i in range(points)]
+    values = [None, -1000, *range(-42, -30), *(c + d for c in cuts for d in (-1, 0, 1)), 10**12]
+    rows = spark.createDataFrame([(v, cuts) for v in values] + [(5, None)], "v long, cuts array<long>")
+    place = ordering._place(F.col("cuts"), F.col("v"))
+    wanted = lambda v, c: 0 if v is None or c is None else sum(x < v for x in c) + sum(x <= v for x in c)
+    assert all(r["p"] == wanted(r["v"], r["cuts"]) for r in rows.withColumn("p", place).collect())
+
+
+def test_expression_to_cut_on_is_worked_out_once(spark):
+    rows = spark.range(1000).withColumn("t", F.lpad(F.col("id").cast("string"), 6, "0"))
+    cut = ordering.split_ranges(rows, [], ["t"], split_on=F.conv("t", 10, 10).cast("long"), part_rows=50)
+    assert ordering.CUT_ON in cut._df.columns
+    made = cut.add({"n": ("row_number", None)}).rows()
+    assert made.columns == ["id", "t", "n"]
+    assert made.where("n = id + 1").count() == 1000
