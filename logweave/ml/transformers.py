@@ -200,9 +200,10 @@ class LogFeatureModel(Model, _ExtractorParams, MLReadable, MLWritable):
         A window is as long as its lines, whatever the vocabulary; ``features.window_tfidf`` and the like bring the two together.
         """
         encoded = voc.encode_templates(lines, self.templates)
-        numbered = voc.stored(voc.distinct_templates(encoded).select("template", F.monotonically_increasing_id().alias("feature_id")))
-        weights = feats.tfidf_from_idf(numbered, self.idf, self.tokens, self._get("lowerFirst"))
-        dictionary = voc.stored(weights.join(broadcast_if_small(numbered), "template").select("feature_id", "token_id", "weight"))
+        numbered = voc.numbered_templates(encoded)
+        dictionary = voc.stored(
+            feats.numbered_tfidf(numbered, self.idf, self.tokens, self._get("lowerFirst")).withColumnRenamed(voc.NUMBER, "feature_id"))
+        numbered = numbered.withColumnRenamed(voc.NUMBER, "feature_id")
         known = encoded.join(broadcast_if_small(numbered), "template", "left")
         made = sliding_windows(known, self._get("windowSize"), self._get("stride"), carry={"feature_id": F.lit(-1).cast("long")})
         return made.withColumnRenamed("feature_id", "feature_ids"), dictionary

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logweave.operators.vocab import PAD_ID, distinct_templates, encode_tokens, template_tokens
-from logweave.runtime import broadcast_if_small, materialize
+from logweave.functions.columns import tokens
+from logweave.operators.vocab import NUMBER, PAD_ID, dealt_tokens, encode_tokens, numbered_templates
+from logweave.runtime import BROADCAST_BYTES, broadcast_if_small, materialize
 
 
 def sequential(windows: DataFrame) -> DataFrame:
@@ -62,19 +63,19 @@ def count_features(windows: DataFrame, vocab_size: int, output: str = "features"
 
 def template_token_ids(templates: DataFrame, vocabulary: DataFrame, max_token_len: int | None = None) -> DataFrame:
     """``template, token_ids``: all token ids; cut or filled with 0 to ``max_token_len`` when that is given."""
-    distinct = distinct_templates(templates)
-    words = template_tokens(distinct)
+    distinct = numbered_templates(templates)
+    words = dealt_tokens(distinct).select(NUMBER, F.posexplode_outer("tokens").alias("token_pos", "token")).where("token is not null")
     if max_token_len is not None:
-        words = words.where(F.col("token_pos") <= max_token_len)
+        words = words.where(F.col("token_pos") < max_token_len)
     ids = (
-        encode_tokens(words, vocabulary).groupBy("template")
+        encode_tokens(words, vocabulary).groupBy(NUMBER)
         .agg(F.sort_array(F.collect_list(F.struct("token_pos", "token_id")))["token_id"].alias("_ids"))
     )
     # Templates without a single token are in no row of the token table.
     known = F.coalesce("_ids", F.array().cast("array<int>"))
     if max_token_len is not None:
         known = F.slice(F.concat(known, F.array_repeat(F.lit(PAD_ID), max_token_len)), 1, max_token_len)
-    return distinct.join(ids, "template", "left").select("template", known.alias("token_ids"))
+    return distinct.join(ids, NUMBER, "left").select("template", known.alias("token_ids"))
 
 
 def attach_template_features(lines: DataFrame, features: DataFrame) -> DataFrame:
@@ -89,37 +90,50 @@ def idf(train_lines: DataFrame, lower_first: bool = False) -> DataFrame:
     """
     per_template = materialize(train_lines.groupBy("template").agg(F.count(F.lit(1)).alias("_lines")))
     total = F.coalesce(per_template.agg(F.sum("_lines")).scalar(), F.lit(0))
-    words = template_tokens(per_template, lower_first).select("template", "token").distinct()
-    df = words.join(per_template, "template").groupBy("token").agg(F.sum("_lines").alias("df"))
+    words = F.array_distinct(tokens(F.col("template"), lower_first))
+    df = per_template.select("_lines", F.explode(words).alias("token")).groupBy("token").agg(F.sum("_lines").alias("df"))
     return df.withColumn("idf", F.log((1 + total) / (1 + F.col("df"))) + 1).withColumn("total", total)
 
 
 def tfidf(
-    templates: DataFrame, train_lines: DataFrame, vocabulary: DataFrame, lower_first: bool = False
+    templates: DataFrame, train_lines: DataFrame, vocabulary: DataFrame, lower_first: bool = False, name: str | Column = "template"
 ) -> DataFrame:
     """``template, token_id, weight`` with weights that sum to 1 per template (sparse rows).
 
     Tokens outside the vocabulary are left out. ``lower_first`` tokenizes the
     lower-cased text, as a lower-casing vectorizer does before calling its
-    tokenizer: CamelCase words then stay whole and miss the vocabulary.
+    tokenizer: CamelCase words then stay whole and miss the vocabulary. ``name`` is what stands for the
+    template in the rows, such as its digest: it is worked out once per template.
     """
-    return tfidf_from_idf(templates, materialize(idf(train_lines, lower_first)), vocabulary, lower_first)
+    return tfidf_from_idf(templates, materialize(idf(train_lines, lower_first)), vocabulary, lower_first, name)
 
 
 def tfidf_from_idf(
-    templates: DataFrame, fitted: DataFrame, vocabulary: DataFrame, lower_first: bool = False
+    templates: DataFrame, fitted: DataFrame, vocabulary: DataFrame, lower_first: bool = False, name: str | Column = "template"
 ) -> DataFrame:
     """The same from a stored table made by ``idf``."""
-    tf = template_tokens(distinct_templates(templates), lower_first).groupBy("template", "token").agg(F.count(F.lit(1)).alias("tf"))
-    known = tf.join(broadcast_if_small(vocabulary.select("token", "token_id")), "token")
+    numbered = numbered_templates(templates)
+    weights = numbered_tfidf(numbered, fitted, vocabulary, lower_first)
+    named = numbered.select(NUMBER, (F.col(name) if isinstance(name, str) else name).alias("template"))
+    return named.join(weights, NUMBER).select("template", "token_id", "weight")
+
+
+def numbered_tfidf(
+    numbered: DataFrame, fitted: DataFrame, vocabulary: DataFrame, lower_first: bool = False
+) -> DataFrame:
+    """The same as ``_t, token_id, weight`` for ``numbered_templates``."""
+    words = dealt_tokens(numbered, lower_first).select(NUMBER, F.explode_outer("tokens").alias("token"))
+    tf = words.where("token is not null").groupBy(NUMBER, "token").agg(F.count(F.lit(1)).alias("tf"))
     total = F.coalesce(fitted.agg(F.max("total")).scalar(), F.lit(0))
     unseen = F.log((1 + total).cast("double")) + 1
-    raw = known.join(fitted.select("token", "idf"), "token", "left").select(
-        "template", "token_id", (F.col("tf") * F.coalesce("idf", unseen)).alias("raw")
+    # Joined first, so that the words meet one table.
+    known = vocabulary.select("token", "token_id").join(fitted.select("token", "idf"), "token", "left")
+    raw = tf.join(broadcast_if_small(materialize(known)), "token").select(
+        NUMBER, "token_id", (F.col("tf") * F.coalesce("idf", unseen)).alias("raw")
     )
     # A template has few distinct tokens, so a window over them is a short one.
-    norm = F.sum("raw").over(Window.partitionBy("template"))
-    return raw.select("template", "token_id", (F.col("raw") / norm).alias("weight"))
+    norm = F.sum("raw").over(Window.partitionBy(NUMBER))
+    return raw.select(NUMBER, "token_id", (F.col("raw") / norm).alias("weight"))
 
 
 def window_tfidf(windows: DataFrame, dictionary: DataFrame, size: int) -> DataFrame:
@@ -148,24 +162,29 @@ def summed_embedding(templates: DataFrame, vocabulary: DataFrame, vectors: DataF
 
     Tokens are counted per template first. A template without tokens gets the padding vector.
     """
-    distinct = distinct_templates(templates)
-    words = template_tokens(distinct).groupBy("template", "token").agg(F.count(F.lit(1)).cast("double").alias("times"))
-    known = encode_tokens(words, vocabulary).select("template", "token_id", "times")
-    every = distinct.join(known, "template", "left").select(
-        "template", F.coalesce("token_id", F.lit(PAD_ID)).alias("token_id"), F.coalesce("times", F.lit(1.0)).alias("times")
-    )
-    return _weighted_sum(every, vectors, "times")
+    numbered = numbered_templates(templates)
+    words = dealt_tokens(numbered).select(NUMBER, F.explode_outer("tokens").alias("token"))
+    counted = words.groupBy(NUMBER, "token").agg(F.count(F.lit(1)).cast("double").alias("times"))
+    token_id = F.when(F.col("token").isNull(), F.lit(PAD_ID)).otherwise(F.col("token_id"))
+    known = encode_tokens(counted, vocabulary).select(NUMBER, token_id.alias("token_id"), "times")
+    return numbered.join(_weighted_sum(known, vectors, "times", NUMBER), NUMBER).select("template", "vec")
 
 
 def weighted_embedding(weights: DataFrame, vectors: DataFrame) -> DataFrame:
     """``template, vec``: tf-idf row times the vector table."""
-    return _weighted_sum(weights, vectors, "weight")
-
-
-def _weighted_sum(weights: DataFrame, vectors: DataFrame, weight: str) -> DataFrame:
-    table = broadcast_if_small(vectors.select("token_id", "vec"))
-    joined = weights.join(table, "token_id").withColumn("_v", array_to_vector("vec"))
-    return joined.groupBy("template").agg(vector_to_array(Summarizer.sum(F.col("_v"), F.col(weight))).alias("vec"))
+    return _weighted_sum(weights, vectors, "weight", "template")
+
+
+def _weighted_sum(weights: DataFrame, vectors: DataFrame, weight: str, key: str) -> DataFrame:
+    # Vectors of zeros add nothing, so only their ids are looked up.
+    some = F.when(F.exists("vec", lambda x: (x != 0) | x.isNull()), F.col("vec"))
+    rows, filled, dim = vectors.agg(F.count(F.lit(1)), F.count(some), F.max(F.size("vec"))).first()
+    table, dim = vectors.select("token_id", some.alias("_v")), dim or 0
+    if 40 * rows + 8 * dim * filled <= BROADCAST_BYTES:
+        table = F.broadcast(table)
+    parts = [F.sum(F.get("_v", F.lit(i)) * F.col(weight)).alias(f"_s{i}") for i in range(dim)]
+    summed = weights.join(table, "token_id").groupBy(key).agg(*parts, F.count(F.lit(1)).alias("_n"))
+    return summed.select(key, F.array(*[F.coalesce(f"_s{i}", F.lit(0.0)) for i in range(dim)]).cast("array<double>").alias("vec"))
 
 
 def mean_pooled(
