@@ -40,6 +40,14 @@ def _removals(size: int, removed: int) -> np.ndarray:
     return np.array(list(combinations(range(size), removed)), np.int64).reshape(comb(size, removed), removed)
 
 
+@cache
+def _due(width: int, percent: int, size: int) -> int:
+    """Shingles of the sample of a set of this size that stand in the sample of a partner, at least; see ``Join.due``."""
+    join = Join(width, percent)
+    others = range(join.least(size), 100 * size // percent + 1)
+    return min(min(join.sample(n) - (n - join.shared(size, other)) for n in (size, other)) for other in others)
+
+
 class Join:
     """Parameters: sets of ``width``-word shingles; links from ``percent`` % Jaccard similarity."""
 
@@ -77,9 +85,15 @@ class Join:
         """Shingles of the sample: so many that more than half of them are a partner's too."""
         return min(size, 2 * (size - self.least(size)) + 1)
 
+    def due(self, size: int) -> int:
+        """Shingles that the samples of a set and of any partner share at least. A sample lacks the shingles that only one of
+        the two has; those of both come in the same order, so the shorter of the two beginnings is shared. A smaller partner has a smaller sample."""
+        return _due(self.width, self.percent, size) if size else 0
+
     def _made(self, docs: DataFrame, cut: Callable[[int], int]) -> DataFrame:
         schema = pa.schema([
             ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("shingles", pa.list_(pa.int64())),
+            ("due", pa.int64()),
         ])
         width = self.width
 
@@ -88,28 +102,27 @@ class Join:
                 made = shingles.text_shingles(batch.column(1).to_pylist(), width)
                 keys = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in made]
                 yield rows_of(schema, doc_id=batch.column(0), n_shingles=[len(x) for x in made], set_key=keys,
-                              shingles=[x[: cut(len(x))].view(np.int64) if len(x) else None for x in made])
+                              shingles=[x[: cut(len(x))].view(np.int64) if len(x) else None for x in made],
+                              due=[self.due(len(x)) for x in made])
 
-        made = "doc_id long, n_shingles long, set_key binary, shingles array<bigint>"
+        made = "doc_id long, n_shingles long, set_key binary, shingles array<bigint>, due long"
         return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, made)
 
     def signed(self, docs: DataFrame) -> DataFrame:
-        """``doc_id, n_shingles, set_key, sample`` of every row; without words, the last two are null."""
+        """``doc_id, n_shingles, set_key, sample, due`` of every row; without words, key and sample are null."""
         return self._made(docs, self.sample).withColumnRenamed("shingles", "sample")
 
     def whole_sets(self, docs: DataFrame) -> DataFrame:
         """``doc_id, set_key, shingles``: all shingles of every row."""
-        return self._made(docs, lambda size: size).drop("n_shingles")
+        return self._made(docs, lambda size: size).drop("n_shingles", "due")
 
     def hopeful(self, sampled: DataFrame) -> DataFrame:
-        """``id`` of the distinct sets (``id, n_shingles, sample``) of whose sample enough shingles occur in other sets, too."""
+        """``id`` of the distinct sets (``id, sample, due``) of whose sample enough shingles occur in other samples, too."""
         rows = sampled.select("id", F.explode("sample").alias("shingle"))
         # Counted within tasks first, so a very common shingle is a few rows.
         often = store(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shingle"))
         hits = rows.join(broadcast_if_small(often), "shingle").groupBy("id").agg(F.count(F.lit(1)).alias("found"))
-        # What a partner may lack: all but the shared ones.
-        lack = F.col("n_shingles") - F.ceil(F.lit(self.percent) * F.col("n_shingles") / 100)
-        return sampled.select("id", "n_shingles", F.size("sample").alias("size")).join(hits, "id").where(F.col("found") >= F.col("size") - lack).select("id")
+        return sampled.select("id", "due").join(hits, "id", "left").where(F.coalesce("found", F.lit(0)) >= F.col("due")).select("id")
 
     def subset_keys(self, sets: DataFrame, light: int) -> DataFrame:
         """``id, keys``: a hash of every subset that counts, of the light sets (``id, shingles``)."""
@@ -221,7 +234,7 @@ def jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFram
     owned = store(rows.join(nodes.select("set_key", "id"), "set_key").where("doc_id is not null").select("row", "doc_id", "id"))
     copies = store(owned.where("row != id").select("row"))
     known = signed.where("set_key is not null and doc_id is not null").join(broadcast_if_small(copies), "row", "left_anti")
-    hopeful = store(join.hopeful(known.select(F.col("row").alias("id"), "n_shingles", "sample")))
+    hopeful = store(join.hopeful(known.select(F.col("row").alias("id"), "sample", "due")))
     kept = store(nodes.join(hopeful, "id").select("set_key", "doc_id", "id"))
     some = docs.select(F.col("doc_id").cast("long"), "text").join(kept.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")
     sets = store(join.whole_sets(some).join(broadcast_if_small(kept), ["set_key", "doc_id"]).select("id", "shingles"))

@@ -209,3 +209,13 @@ def test_join_of_odd_rows(documents):
         (7, 98, 7), (7, 1, 7), (8, 99, 7), (9, 1, 7), (7, 98, 7),
     ], key=str)
     assert jaccard_join.jaccard_join(documents([])).collect() == []
+
+
+def test_smaller_partner_with_a_sample_of_one(spark):
+    # Ten and nine three-word shingles, nine of them shared: exactly 90 %, and of the smaller set's sample one is left.
+    rows = []
+    for k in range(20):
+        words = [f"w{k}x{i}" for i in range(12)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:11]))]
+    made = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in made} == {d: (10 - d % 2, d - d % 2) for d, _ in rows}
