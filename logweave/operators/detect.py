@@ -147,13 +147,19 @@ def fit_patterns(windows: DataFrame, seed: int = 42) -> DataFrame:
     return ranked.select("pattern", (F.col("_rn") - 1).cast("int").alias("pattern_id"))
 
 
-def pattern_features(windows: DataFrame, patterns: DataFrame, size: int, output: str = "features") -> DataFrame:
-    """Which of the ``size`` fitted ``patterns`` occur in a window, as a sparse binary vector; others are left out."""
+def pattern_features(
+    windows: DataFrame, patterns: DataFrame, size: int, output: str = "features", found: str | None = None
+) -> DataFrame:
+    """Which of the ``size`` fitted ``patterns`` occur in a window, as a sparse binary vector; others are left out.
+
+    ``found`` names a column for their ids, ascending.
+    """
     known = window_patterns(windows).join(broadcast_if_small(patterns), "pattern")
-    found = known.groupBy("session_id", "window_idx").agg(F.sort_array(F.collect_list("pattern_id")).alias("_found"))
-    joined = windows.join(found, ["session_id", "window_idx"], "left")
+    by_window = known.groupBy("session_id", "window_idx").agg(F.sort_array(F.collect_list("pattern_id")).alias("_found"))
+    joined = windows.join(by_window, ["session_id", "window_idx"], "left")
     ids = F.coalesce("_found", F.array().cast("array<int>"))
-    return joined.withColumn(output, sparse_vector(ids, F.transform(ids, lambda _: F.lit(1.0)), size)).drop("_found")
+    made = joined.withColumn(output, sparse_vector(ids, F.transform(ids, lambda _: F.lit(1.0)), size))
+    return (made if found is None else made.withColumn(found, ids)).drop("_found")
 
 
 def fit_classifier(
