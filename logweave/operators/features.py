@@ -61,10 +61,16 @@ def count_features(windows: DataFrame, vocab_size: int, output: str = "features"
     return windows.withColumn(output, sparse_vector(F.transform(found, lambda k: k - 1), values, vocab_size - 1))
 
 
-def template_token_ids(templates: DataFrame, vocabulary: DataFrame, max_token_len: int | None = None) -> DataFrame:
-    """``template, token_ids``: all token ids; cut or filled with 0 to ``max_token_len`` when that is given."""
-    distinct = numbered_templates(templates)
-    words = dealt_tokens(distinct).select(NUMBER, F.posexplode_outer("tokens").alias("token_pos", "token")).where("token is not null")
+def template_token_ids(
+    templates: DataFrame, vocabulary: DataFrame, max_token_len: int | None = None, key: str | None = None
+) -> DataFrame:
+    """``template, token_ids``: all token ids; cut or filled with 0 to ``max_token_len`` when that is given.
+
+    ``key`` names a number that ``templates``, each there once, already have; it then stands for the template in the result.
+    """
+    distinct = numbered_templates(templates) if key is None else templates.select(F.col(key).alias(NUMBER))
+    numbered = distinct if key is None else templates.select("template", F.col(key).alias(NUMBER))
+    words = dealt_tokens(numbered).select(NUMBER, F.posexplode_outer("tokens").alias("token_pos", "token")).where("token is not null")
     if max_token_len is not None:
         words = words.where(F.col("token_pos") < max_token_len)
     ids = (
@@ -75,12 +81,13 @@ def template_token_ids(templates: DataFrame, vocabulary: DataFrame, max_token_le
     known = F.coalesce("_ids", F.array().cast("array<int>"))
     if max_token_len is not None:
         known = F.slice(F.concat(known, F.array_repeat(F.lit(PAD_ID), max_token_len)), 1, max_token_len)
-    return distinct.join(ids, NUMBER, "left").select("template", known.alias("token_ids"))
+    name = F.col("template") if key is None else F.col(NUMBER).alias(key)
+    return distinct.join(ids, NUMBER, "left").select(name, known.alias("token_ids"))
 
 
-def attach_template_features(lines: DataFrame, features: DataFrame) -> DataFrame:
+def attach_template_features(lines: DataFrame, features: DataFrame, key: str = "template") -> DataFrame:
     """Look the template features up on the lines, before windows repeat each line."""
-    return lines.join(broadcast_if_small(features), "template", "left")
+    return lines.join(broadcast_if_small(features), key, "left")
 
 
 def idf(train_lines: DataFrame, lower_first: bool = False) -> DataFrame:
@@ -163,11 +170,17 @@ def summed_embedding(templates: DataFrame, vocabulary: DataFrame, vectors: DataF
     Tokens are counted per template first. A template without tokens gets the padding vector.
     """
     numbered = numbered_templates(templates)
-    words = dealt_tokens(numbered).select(NUMBER, F.explode_outer("tokens").alias("token"))
+    known = token_counts(numbered, vocabulary, NUMBER)
+    return numbered.join(_weighted_sum(known, vectors, "times", NUMBER), NUMBER).select("template", "vec")
+
+
+def token_counts(numbered: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
+    """``key, token_id, times``: how often the tokens occur in each of the templates, which have a number ``key``. Unknown tokens count
+    as such; a template without tokens has the padding once."""
+    words = dealt_tokens(numbered.select("template", F.col(key).alias(NUMBER))).select(NUMBER, F.explode_outer("tokens").alias("token"))
     counted = words.groupBy(NUMBER, "token").agg(F.count(F.lit(1)).cast("double").alias("times"))
     token_id = F.when(F.col("token").isNull(), F.lit(PAD_ID)).otherwise(F.col("token_id"))
-    known = encode_tokens(counted, vocabulary).select(NUMBER, token_id.alias("token_id"), "times")
-    return numbered.join(_weighted_sum(known, vectors, "times", NUMBER), NUMBER).select("template", "vec")
+    return encode_tokens(counted, vocabulary).select(F.col(NUMBER).alias(key), token_id.alias("token_id"), "times")
 
 
 def weighted_embedding(weights: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -175,16 +188,21 @@ def weighted_embedding(weights: DataFrame, vectors: DataFrame) -> DataFrame:
     return _weighted_sum(weights, vectors, "weight", "template")
 
 
-def _weighted_sum(weights: DataFrame, vectors: DataFrame, weight: str, key: str) -> DataFrame:
+def _counts() -> Column:
+    """Whether a vector adds anything to a sum."""
+    return F.exists("vec", lambda x: (x != 0) | x.isNull())
+
+
+def _weighted_sum(weights: DataFrame, vectors: DataFrame, weight: str, *key: str) -> DataFrame:
     # Vectors of zeros add nothing, so only their ids are looked up.
-    some = F.when(F.exists("vec", lambda x: (x != 0) | x.isNull()), F.col("vec"))
+    some = F.when(_counts(), F.col("vec"))
     rows, filled, dim = vectors.agg(F.count(F.lit(1)), F.count(some), F.max(F.size("vec"))).first()
     table, dim = vectors.select("token_id", some.alias("_v")), dim or 0
     if 40 * rows + 8 * dim * filled <= BROADCAST_BYTES:
         table = F.broadcast(table)
     parts = [F.sum(F.get("_v", F.lit(i)) * F.col(weight)).alias(f"_s{i}") for i in range(dim)]
-    summed = weights.join(table, "token_id").groupBy(key).agg(*parts, F.count(F.lit(1)).alias("_n"))
-    return summed.select(key, F.array(*[F.coalesce(f"_s{i}", F.lit(0.0)) for i in range(dim)]).cast("array<double>").alias("vec"))
+    summed = weights.join(table, "token_id").groupBy(*key).agg(*parts, F.count(F.lit(1)).alias("_n"))
+    return summed.select(*key, F.array(*[F.coalesce(f"_s{i}", F.lit(0.0)) for i in range(dim)]).cast("array<double>").alias("vec"))
 
 
 def mean_pooled(
@@ -203,3 +221,21 @@ def mean_pooled(
     )
     mean = F.transform(F.coalesce("_sum", F.array_repeat(F.lit(0.0), dim)), lambda x: x / size)
     return windows.join(summed, ["session_id", "window_idx"], "left").withColumn(output, mean).drop("_sum")
+
+
+def pooled_tokens(
+    windows: DataFrame, counts: DataFrame, vectors: DataFrame, size: int, dim: int, key: str = "template_id", output: str = "features"
+) -> DataFrame:
+    """What ``mean_pooled`` gives for the summed embeddings of the templates, without a vector per template.
+
+    ``counts`` is made by ``token_counts``, ``vectors`` is ``token_id, vec``. Windows collect numbers of tokens, whose vectors are
+    added up where the window is, so that vectors are neither stored nor moved per template or line.
+    """
+    some = materialize(vectors.where(_counts()).select("token_id", "vec"))
+    telling = materialize(counts.join(broadcast_if_small(some.select("token_id")), "token_id", "left_semi"))
+    real = F.slice("ids", F.lit(1), F.col("length"))
+    lines = windows.select("session_id", "window_idx", F.explode(id_counts(real)).alias(key, "_n"))
+    weights = lines.join(broadcast_if_small(telling), key).select("session_id", "window_idx", "token_id", (F.col("_n") * F.col("times")).alias("_w"))
+    summed = _weighted_sum(weights.repartition("session_id", "window_idx"), some, "_w", "session_id", "window_idx")
+    mean = F.transform(F.coalesce("vec", F.array_repeat(F.lit(0.0), dim)), lambda x: x / size)
+    return windows.join(summed, ["session_id", "window_idx"], "left").withColumn(output, mean).drop("vec")
