@@ -67,15 +67,19 @@ def template_token_ids(
     """``template, token_ids``: all token ids; cut or filled with 0 to ``max_token_len`` when that is given.
 
     ``key`` names a number that ``templates``, each there once, already have; it then stands for the template in the result.
+    A table made by ``numbered_templates`` is used as it is.
     """
-    distinct = numbered_templates(templates) if key is None else templates.select(F.col(key).alias(NUMBER))
+    made = templates if NUMBER in templates.columns else None
+    distinct = (made or numbered_templates(templates)) if key is None else templates.select(F.col(key).alias(NUMBER))
     numbered = distinct if key is None else templates.select("template", F.col(key).alias(NUMBER))
     words = dealt_tokens(numbered).select(NUMBER, F.posexplode_outer("tokens").alias("token_pos", "token")).where("token is not null")
     if max_token_len is not None:
         words = words.where(F.col("token_pos") < max_token_len)
+    # Place and id in one number: a template's list holds no objects per token, and is sorted as numbers.
+    placed = F.shiftleft(F.col("token_pos").cast("long"), 32).bitwiseOR(F.col("token_id").cast("long"))
     ids = (
         encode_tokens(words, vocabulary).groupBy(NUMBER)
-        .agg(F.sort_array(F.collect_list(F.struct("token_pos", "token_id")))["token_id"].alias("_ids"))
+        .agg(F.transform(F.sort_array(F.collect_list(placed)), lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("_ids"))
     )
     # Templates without a single token are in no row of the token table.
     known = F.coalesce("_ids", F.array().cast("array<int>"))
