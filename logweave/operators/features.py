@@ -5,6 +5,8 @@ Token work is done once per distinct template; windows receive it by lookup.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.stat import Summarizer
@@ -209,14 +211,63 @@ def _weighted_sum(weights: DataFrame, vectors: DataFrame, weight: str, *key: str
     return summed.select(*key, F.array(*[F.coalesce(f"_s{i}", F.lit(0.0)) for i in range(dim)]).cast("array<double>").alias("vec"))
 
 
+# Numbers of a table of vectors that every task may hold; longer tables are joined.
+HELD_NUMBERS = 1 << 20
+
+
+def _held(vectors: DataFrame, key: str, dim: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """The ids of a short table of vectors, ascending, and their rows with one of zeros behind them; None for a long or incomplete table."""
+    odd = F.col("vec").isNull() | (F.size("vec") != dim) | F.exists("vec", lambda x: x.isNull())
+    rows, left_out = vectors.agg(F.count(F.lit(1)), F.coalesce(F.sum(odd.cast("int")), F.lit(0))).first()
+    if rows * dim > HELD_NUMBERS or left_out:
+        return None
+    found = vectors.where(F.col(key).isNotNull()).select(key, "vec").collect()
+    ids, place = np.unique(np.array([r[0] for r in found], np.int64), return_inverse=True)
+    table = np.zeros((len(ids) + 1, dim))
+    np.add.at(table, place, np.array([r[1] for r in found], float).reshape(len(found), dim))
+    return ids, table
+
+
+def _pooled_in_place(windows: DataFrame, ids: np.ndarray, table: np.ndarray, size: int, output: str) -> DataFrame:
+    """``mean_pooled`` with the vectors in the tasks: windows are neither exploded nor moved."""
+    dim = table.shape[1]
+    kept = windows.drop(output)
+    names = kept.columns
+
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            lists, taken = batch.column(names.index("ids")), batch.column(names.index("length")).to_numpy(zero_copy_only=False)
+            start = lists.offsets.to_numpy()[:n].astype(np.int64)
+            some = np.minimum(np.diff(lists.offsets.to_numpy()), taken)
+            flat = lists.values.fill_null(-1).to_numpy()
+            at = np.searchsorted(ids, flat)
+            known = at < len(ids)
+            known[known] = ids[at[known]] == flat[known]
+            at[~known] = len(ids)
+            total = np.zeros((n, dim))
+            for k in range(int(some.max(initial=0))):
+                rows = np.flatnonzero(some > k)
+                total[rows] += table[at[start[rows] + k]]
+            mean = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * dim, pa.int32()), pa.array((total / size).ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, mean], names=[*names, output])
+
+    schema = T.StructType([*kept.schema.fields, T.StructField(output, T.ArrayType(T.DoubleType()))])
+    return kept.mapInArrow(run, schema)
+
+
 def mean_pooled(
     windows: DataFrame, vectors: DataFrame, size: int, dim: int, pad_id: int, key: str = "template_id", output: str = "features"
 ) -> DataFrame:
     """Average of the line vectors of each window (``session_id, window_idx, ids``) of ``size`` lines.
 
     ``vectors`` is ``key, vec``. Lines without a vector, and the filler ``pad_id`` behind the window's ``length`` lines, count as zeros. Ids are
-    counted per window before they meet the vectors, so a window never holds copies of vectors.
+    counted per window before they meet the vectors, so a window never holds copies of vectors. A short table of vectors is held by
+    the tasks, which add up in place.
     """
+    held = _held(vectors, key, dim) if dim else None
+    if held is not None:
+        return _pooled_in_place(windows, *held, size, output)
     real = F.slice("ids", F.lit(1), F.col("length"))
     counts = windows.select("session_id", "window_idx", F.explode(id_counts(real)).alias("_id", "_n"))
     table = broadcast_if_small(vectors.select(F.col(key).alias("_id"), array_to_vector("vec").alias("_v")))

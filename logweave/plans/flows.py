@@ -103,21 +103,41 @@ def template_vectors(lines: DataFrame, data: Dataset, vectors: DataFrame | None,
 
 def _pooled(data: Dataset, windows: DataFrame, table: DataFrame, size: int) -> DataFrame:
     dim = table.select(F.max(F.size("vec"))).first()[0] or 0
-    pooled = mean_pooled(materialize(windows), table, size, dim, OOV_ID)
+    pooled = mean_pooled(windows, table, size, dim, OOV_ID)
     return pooled.withColumn("features", array_to_vector("features"))
 
 
+@dataclass
+class Cut:
+    """A data set with its training and test windows, stored."""
+
+    data: Dataset
+    train: DataFrame
+    test: DataFrame
+
+
+def cut_windows(lines: DataFrame, size: int = 10, stride: int = 1, *args, **options) -> Cut:
+    """Split, encode and cut the lines once for several classifiers; further arguments are those of ``prepare``."""
+    data = prepare(lines, *args, **options)
+    return Cut(data, *[materialize(sliding_windows(part, size, stride)) for part in (data.train, data.test)])
+
+
 def scored_classification(
     lines: DataFrame, size: int = 10, stride: int = 1, features: str = "counts",
     test_ratio: float = 0.2, train_anomaly_ratio: float = 1.0, random: bool = True, vectors: DataFrame | None = None,
+    cut: Cut | None = None,
 ) -> DataFrame:
     """Test windows with ``score`` and ``flag`` of the supervised classifier.
 
     ``features``: ``counts``, ``patterns``, or means over the window's lines of their summed word vectors
-    (``embedding``) or tf-idf weighted ones (``tfidf``); the last two need ``vectors`` (``token, vec``).
+    (``embedding``) or tf-idf weighted ones (``tfidf``); the last two need ``vectors`` (``token, vec``). ``cut`` is what ``cut_windows``
+    made of the same lines, for several classifiers of the same windows.
     """
-    data = prepare(lines, test_ratio, train_anomaly_ratio, random)
-    train, test = (sliding_windows(part, size, stride) for part in (data.train, data.test))
+    if cut is None:
+        data = prepare(lines, test_ratio, train_anomaly_ratio, random)
+        train, test = (sliding_windows(part, size, stride) for part in (data.train, data.test))
+    else:
+        data, train, test = cut.data, cut.train, cut.test
     if features == "counts":
         vocab_size = data.vocab_size()
         featured = lambda windows: count_features(windows, vocab_size)
@@ -127,6 +147,10 @@ def scored_classification(
         featured = lambda windows: detect.pattern_features(windows, patterns, count)
     elif features in ("embedding", "tfidf"):
         table = template_vectors(lines, data, vectors, features)
+        if cut is None:
+            train, test = materialize(train), materialize(test)
+        # Only these columns take part in the fit.
+        train = train.select("session_id", "window_idx", "length", "ids", "anomaly")
         featured = lambda windows: _pooled(data, windows, table, size)
     else:
         raise ValueError(f"unknown features {features!r}")
