@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logweave.functions.columns import tokens
-from logweave.operators.vocab import NUMBER, PAD_ID, dealt_tokens, encode_tokens, numbered_templates
-from logweave.runtime import BROADCAST_BYTES, broadcast_if_small, materialize
+from logweave.operators.vocab import NUMBER, PAD_ID, dealt_tokens, encode_tokens, numbered_templates, stored
+from logweave.runtime import BROADCAST_BYTES, broadcast_if_small, discard, looked_up, materialize
 
 
 def sequential(windows: DataFrame) -> DataFrame:
@@ -71,8 +71,7 @@ def template_token_ids(
     ``key`` names a number that ``templates``, each there once, already have; it then stands for the template in the result.
     A table made by ``numbered_templates`` is used as it is.
     """
-    made = templates if NUMBER in templates.columns else None
-    distinct = (made or numbered_templates(templates)) if key is None else templates.select(F.col(key).alias(NUMBER))
+    distinct = numbered_templates(templates) if key is None else templates.select(F.col(key).alias(NUMBER))
     numbered = distinct if key is None else templates.select("template", F.col(key).alias(NUMBER))
     words = dealt_tokens(numbered).select(NUMBER, F.posexplode_outer("tokens").alias("token_pos", "token")).where("token is not null")
     if max_token_len is not None:
@@ -97,15 +96,17 @@ def attach_template_features(lines: DataFrame, features: DataFrame, key: str = "
 
 
 def idf(train_lines: DataFrame, lower_first: bool = False) -> DataFrame:
-    """``token, df, idf, total`` over all training lines, repetitions included: ln((1+N)/(1+df)) + 1.
+    """``token, df, idf, total`` over all training lines, repetitions included: ln((1+N)/(1+df)) + 1; stored.
 
     The lines are read once, to count them per template.
     """
-    per_template = materialize(train_lines.groupBy("template").agg(F.count(F.lit(1)).alias("_lines")))
+    per_template = materialize(train_lines.groupBy("template").agg(F.count(F.lit(1)).alias("_lines")), "zstd")
     total = F.coalesce(per_template.agg(F.sum("_lines")).scalar(), F.lit(0))
     words = F.array_distinct(tokens(F.col("template"), lower_first))
     df = per_template.select("_lines", F.explode(words).alias("token")).groupBy("token").agg(F.sum("_lines").alias("df"))
-    return df.withColumn("idf", F.log((1 + total) / (1 + F.col("df"))) + 1).withColumn("total", total)
+    made = materialize(df.withColumn("idf", F.log((1 + total) / (1 + F.col("df"))) + 1).withColumn("total", total))
+    discard(per_template)
+    return made
 
 
 def tfidf(
@@ -118,7 +119,7 @@ def tfidf(
     tokenizer: CamelCase words then stay whole and miss the vocabulary. ``name`` is what stands for the
     template in the rows, such as its digest: it is worked out once per template.
     """
-    return tfidf_from_idf(templates, materialize(idf(train_lines, lower_first)), vocabulary, lower_first, name)
+    return tfidf_from_idf(templates, stored(idf(train_lines, lower_first)), vocabulary, lower_first, name)
 
 
 def tfidf_from_idf(
@@ -140,8 +141,8 @@ def numbered_tfidf(
     total = F.coalesce(fitted.agg(F.max("total")).scalar(), F.lit(0))
     unseen = F.log((1 + total).cast("double")) + 1
     # Joined first, so that the words meet one table.
-    known = vocabulary.select("token", "token_id").join(fitted.select("token", "idf"), "token", "left")
-    raw = tf.join(broadcast_if_small(materialize(known)), "token").select(
+    known = vocabulary.select("token", "token_id").join(fitted.select("token", "idf", F.col("df").alias("n")), "token", "left")
+    raw = looked_up(tf, materialize(known), "token", [NUMBER], "inner").select(
         NUMBER, "token_id", (F.col("tf") * F.coalesce("idf", unseen)).alias("raw")
     )
     # A template has few distinct tokens, so a window over them is a short one.
@@ -200,14 +201,34 @@ def _counts() -> Column:
 
 
 def _weighted_sum(weights: DataFrame, vectors: DataFrame, weight: str, *key: str) -> DataFrame:
-    # Vectors of zeros add nothing, so only their ids are looked up.
-    some = F.when(_counts(), F.col("vec"))
-    rows, filled, dim = vectors.agg(F.count(F.lit(1)), F.count(some), F.max(F.size("vec"))).first()
-    table, dim = vectors.select("token_id", some.alias("_v")), dim or 0
-    if 40 * rows + 8 * dim * filled <= BROADCAST_BYTES:
-        table = F.broadcast(table)
-    parts = [F.sum(F.get("_v", F.lit(i)) * F.col(weight)).alias(f"_s{i}") for i in range(dim)]
-    summed = weights.join(table, "token_id").groupBy(*key).agg(*parts, F.count(F.lit(1)).alias("_n"))
+    """``key, vec``: for every key with a ``token_id`` of the vectors, the sum of its vectors times their weight."""
+    # Vectors of zeros add nothing: all rows of a key that have one become one row, inside the task they are in.
+    low, high, ids, dim = vectors.agg(F.min("token_id"), F.max("token_id"), F.count_distinct("token_id"), F.max(F.size("vec"))).first()
+    if ids and ids == high - low + 1:
+        present = weights.where(F.col("token_id").between(low, high))
+    else:
+        present = weights.join(broadcast_if_small(vectors.select("token_id").distinct()), "token_id", "left_semi")
+    some = materialize(vectors.where(_counts()).select("token_id", "vec"))
+    telling = some.select(F.col("token_id").alias("_id")).distinct()
+    first, last, ids = telling.agg(F.min("_id"), F.max("_id"), F.count(F.lit(1))).first()
+    if ids == (last or 0) - (first or 0) + 1:
+        marked = present.withColumn("_id", F.when(F.col("token_id").between(first, last), F.col("token_id")))
+    else:
+        marked = present.join(broadcast_if_small(materialize(telling)), F.col("token_id") == F.col("_id"), "left")
+    return _vector_sums(marked.groupBy(*key, "_id").agg(F.sum(weight).alias("_w")), some, dim or 0, *key)
+
+
+def _vector_sums(weights: DataFrame, vectors: DataFrame, dim: int, *key: str) -> DataFrame:
+    """``key, vec``: the sums of the stored ``vectors`` (``token_id, vec``) that the keys have by ``_id`` times ``_w``, zeros for keys without any."""
+    table = vectors.select(F.col("token_id").alias("_id"), F.col("vec").alias("_v"))
+    if (40 + 8 * dim) * table.count() <= BROADCAST_BYTES:
+        found = weights.repartition(*key).join(F.broadcast(table), "_id", "left")
+    else:
+        weights = materialize(weights)
+        uses = weights.groupBy("_id").agg(F.count(F.lit(1)).alias("n"))
+        found = looked_up(weights.repartition(*key), materialize(table.join(uses, "_id")), "_id", list(key))
+    parts = [F.sum(F.get("_v", F.lit(i)) * F.col("_w")).alias(f"_s{i}") for i in range(dim)]
+    summed = found.groupBy(*key).agg(*parts, F.count(F.lit(1)).alias("_n"))
     return summed.select(*key, F.array(*[F.coalesce(f"_s{i}", F.lit(0.0)) for i in range(dim)]).cast("array<double>").alias("vec"))
 
 
@@ -290,7 +311,8 @@ def pooled_tokens(
     telling = materialize(counts.join(broadcast_if_small(some.select("token_id")), "token_id", "left_semi"))
     real = F.slice("ids", F.lit(1), F.col("length"))
     lines = windows.select("session_id", "window_idx", F.explode(id_counts(real)).alias(key, "_n"))
-    weights = lines.join(broadcast_if_small(telling), key).select("session_id", "window_idx", "token_id", (F.col("_n") * F.col("times")).alias("_w"))
-    summed = _weighted_sum(weights.repartition("session_id", "window_idx"), some, "_w", "session_id", "window_idx")
+    weights = lines.join(broadcast_if_small(telling), key).select(
+        "session_id", "window_idx", F.col("token_id").alias("_id"), (F.col("_n") * F.col("times")).alias("_w"))
+    summed = _vector_sums(weights, some, some.agg(F.max(F.size("vec"))).first()[0] or 0, "session_id", "window_idx")
     mean = F.transform(F.coalesce("vec", F.array_repeat(F.lit(0.0), dim)), lambda x: x / size)
     return windows.join(summed, ["session_id", "window_idx"], "left").withColumn(output, mean).drop("vec")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logweave import runtime
-from logweave.operators import vocab
+from logweave.operators import features, vocab
 
 TEXTS = ["the cat and the dog", "the Bird", "cat dog cat", "a zebra", "12 34"]
 
@@ -61,3 +61,31 @@ def test_a_stored_step_leaves_no_shuffle_files(spark):
 def test_named_template_tokens(spark):
     made = vocab.template_tokens(_lines(spark), name=F.length("template"))
     assert sorted((r["template"], r["token_pos"], r["token"]) for r in made.where("template = 8").collect()) == [(8, 1, "the"), (8, 2, "bird")]
+
+
+def _weights(spark, lines, vocabulary):
+    return features.tfidf(lines, lines, vocabulary, name=F.md5("template"))
+
+
+def test_tfidf_of_a_long_vocabulary_moves_rare_words_only(spark, monkeypatch):
+    lines = _lines(spark, [*TEXTS, "the cat", "the cat"])
+    vocabulary = vocab.stored(vocab.token_vocabulary(lines))
+    rows = lambda df: sorted((r[0], r[1], round(r[2], 9)) for r in df.collect())
+    plain = rows(_weights(spark, lines, vocabulary))
+    monkeypatch.setattr(runtime, "BROADCAST_ROWS", 3)
+    made = _weights(spark, lines, vocabulary)
+    assert "LeftAnti" in made._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(made) == plain and len(plain) == 12
+
+
+@pytest.mark.parametrize("gap", [False, True])
+def test_weighted_sums_of_long_tables(spark, monkeypatch, gap):
+    weights = [("a", 2, 0.5), ("a", 3, 2.0), ("a", 2, 1.0), ("b", 5, 1.0), ("c", 9, 4.0), ("d", 4, 3.0), ("d", None, 1.0), ("e", None, 1.0), ("a", 4, None)]
+    vectors = [(i, [float(i), 1.0] if i in (2, 4) else [0.0, 0.0]) for i in range(7) if not (gap and i == 3)] + [(4, [0.5, None])]
+    given = spark.createDataFrame(weights, "template string, token_id int, weight double")
+    table = vocab.stored(spark.createDataFrame(vectors, "token_id int, vec array<double>"))
+    expected = {"a": [3.0, 1.5], "b": [0.0, 0.0], "d": [13.5, 3.0]}
+    for size in (features.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(features, "BROADCAST_BYTES", size)
+        monkeypatch.setattr(runtime, "BROADCAST_ROWS", 3 if size else 1)
+        assert {r["template"]: list(r["vec"]) for r in features.weighted_embedding(given, table).collect()} == expected
