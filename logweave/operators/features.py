@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logweave.functions.columns import tokens
-from logweave.operators.vocab import NUMBER, PAD_ID, dealt_tokens, encode_tokens, numbered_templates, stored
+from logweave.operators.vocab import NUMBER, OOV_ID, PAD_ID, dealt_tokens, encode_tokens, numbered_templates, stored
 from logweave.runtime import BROADCAST_BYTES, broadcast_if_small, discard, looked_up, materialize
 
 
@@ -171,14 +171,30 @@ def dense_tfidf(weights: DataFrame, vocab_size: int) -> DataFrame:
     ).alias("features"))
 
 
-def summed_embedding(templates: DataFrame, vocabulary: DataFrame, vectors: DataFrame) -> DataFrame:
+def summed_embedding(templates: DataFrame, vocabulary: DataFrame, vectors: DataFrame, name: str | Column = "template") -> DataFrame:
     """``template, vec``: sum of the vectors of all tokens of a template; unknown ones count as such.
 
-    Tokens are counted per template first. A template without tokens gets the padding vector.
+    A template without tokens gets the padding vector. ``name`` is what stands for the template in the rows, such as its digest.
     """
     numbered = numbered_templates(templates)
-    known = token_counts(numbered, vocabulary, NUMBER)
-    return numbered.join(_weighted_sum(known, vectors, "times", NUMBER), NUMBER).select("template", "vec")
+    words = numbered.select(NUMBER, tokens(F.col("template")).alias("_w")).select(NUMBER, F.explode_outer("_w").alias("token"))
+    coded = encode_tokens(words, _telling_tokens(vocabulary, vectors))
+    token_id = F.when(F.col("token").isNull(), F.lit(PAD_ID)).otherwise(F.col("token_id"))
+    weights = coded.select(NUMBER, token_id.alias("token_id"), F.lit(1.0).alias("times"))
+    named = numbered.select(NUMBER, (F.col(name) if isinstance(name, str) else name).alias("template"))
+    return named.join(_weighted_sum(weights, vectors, "times", NUMBER), NUMBER).select("template", "vec")
+
+
+def _telling_tokens(vocabulary: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The tokens whose vectors add something to a sum, where it makes no difference that the others are taken for unknown: all ids
+    have vectors, and the unknown one's is zeros. Else the whole vocabulary."""
+    low, high, ids, unknown = vectors.agg(
+        F.min("token_id"), F.max("token_id"), F.count_distinct("token_id"),
+        F.max(F.when(F.col("token_id") == OOV_ID, _counts().cast("int")))).first()
+    top = vocabulary.agg(F.max("token_id")).first()[0] or OOV_ID
+    if not ids or ids != high - low + 1 or low > PAD_ID or high < top or unknown:
+        return vocabulary
+    return materialize(vocabulary.join(vectors.where(_counts()).select("token_id"), "token_id", "left_semi"))
 
 
 def token_counts(numbered: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:

@@ -89,3 +89,26 @@ def test_weighted_sums_of_long_tables(spark, monkeypatch, gap):
         monkeypatch.setattr(features, "BROADCAST_BYTES", size)
         monkeypatch.setattr(runtime, "BROADCAST_ROWS", 3 if size else 1)
         assert {r["template"]: list(r["vec"]) for r in features.weighted_embedding(given, table).collect()} == expected
+
+
+@pytest.mark.parametrize("case", ["all", "unknown", "gap"])
+def test_summed_vectors_look_up_telling_tokens_only(spark, case):
+    lines = _lines(spark, [*TEXTS, "an unknown cat"])
+    vocabulary = vocab.stored(vocab.token_vocabulary(_lines(spark)))
+    ids = {r["token"]: r["token_id"] for r in vocabulary.collect()}
+    vectors = {i: [float(i), 1.0] if i == ids["cat"] else [0.0, 0.0] for i in range(len(ids) + 2) if case != "gap" or i != ids["zebra"]}
+    if case == "unknown":
+        vectors[1] = [0.25, 0.0]
+    table = vocab.stored(spark.createDataFrame(list(vectors.items()), "token_id int, vec array<double>"))
+    numbered = vocab.numbered_templates(lines)
+    assert vocab.numbered_templates(numbered) is numbered
+    telling = features._telling_tokens(vocabulary, table).count()
+    assert telling == (1 if case == "all" else len(ids))
+    made = {r["template"]: list(r["vec"]) for r in features.summed_embedding(numbered, vocabulary, table, F.upper("template")).collect()}
+    expected = {}
+    for text in [*TEXTS, "an unknown cat"]:
+        found = [ids.get(w, 1) for w in text.lower().split() if w.isalpha()] or [0]
+        known = [vectors[i] for i in found if i in vectors]
+        if known:
+            expected[text.upper()] = [sum(x) for x in zip(*known)]
+    assert made == expected
