@@ -79,7 +79,7 @@ def template_token_ids(
     # Place and id in one number: a template's list holds no objects per token, and is sorted as numbers.
     placed = F.shiftleft(F.col("token_pos").cast("long"), 32).bitwiseOR(F.col("token_id").cast("long"))
     ids = (
-        encode_tokens(words, vocabulary).groupBy(NUMBER)
+        encode_tokens(words, vocabulary, [NUMBER]).groupBy(NUMBER)
         .agg(F.transform(F.sort_array(F.collect_list(placed)), lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("_ids"))
     )
     # Templates without a single token are in no row of the token table.

@@ -1,5 +1,7 @@
 """Long dictionaries: what is used often is broadcast, and only the rest moves rows."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +114,21 @@ def test_summed_vectors_look_up_telling_tokens_only(spark, case):
         if known:
             expected[text.upper()] = [sum(x) for x in zip(*known)]
     assert made == expected
+
+
+def test_window_token_ids_keep_one_copy_and_move_rare_words(spark, short_broadcasts):
+    lines = _lines(spark).selectExpr("template", "monotonically_increasing_id() as line_id")
+    kept = lambda: len(os.listdir(spark.sparkContext.getCheckpointDir().removeprefix("file:")))
+    runtime.ensure_checkpoint_dir(spark)
+    before = kept()
+    vocabulary = vocab.stored(vocab.template_vocabulary(lines))
+    assert kept() - before == 1 and {r["template_id"] for r in vocabulary.collect()} == set(range(2, 7))
+    words = vocab.stored(vocab.token_vocabulary(vocabulary, 2))
+    made = features.template_token_ids(vocabulary, words, key="template_id")
+    assert "LeftAnti" not in made._jdf.queryExecution().optimizedPlan().toString()  # three tokens are a short vocabulary
+    every = vocab.stored(vocab.token_vocabulary(vocabulary))
+    made = features.template_token_ids(vocabulary, every, key="template_id")
+    assert "LeftAnti" in made._jdf.queryExecution().optimizedPlan().toString()
+    ids, names = {r["token"]: r["token_id"] for r in every.collect()}, {r["template_id"]: r["template"] for r in vocabulary.collect()}
+    assert {names[r["template_id"]]: r["token_ids"] for r in made.collect()} == {
+        t: [ids[w] for w in t.lower().split() if w.isalpha()] for t in TEXTS}
