@@ -25,7 +25,7 @@ from logweave.operators import features as feats
 from logweave.operators import vocab as voc
 from logweave.operators.sessions import gap_chunk_sessions
 from logweave.operators.windows import frame_windows, sliding_windows
-from logweave.runtime import broadcast_if_small
+from logweave.runtime import broadcast_if_small, materialize
 
 
 def _param(name: str, doc: str, convert) -> Param:
@@ -195,16 +195,23 @@ class LogFeatureModel(Model, _ExtractorParams, MLReadable, MLWritable):
 
     def transform_late(self, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Windows with tf-idf features that are looked up, not carried: ``windows`` with ``feature_ids``, one number per line (-1 as
-        filler), and the stored ``dictionary`` (``feature_id, token_id, weight``) of the lines' distinct templates.
+        filler), and the ``dictionary`` of the lines' distinct templates by ``feature_id`` (``features.tfidf_dictionary``).
 
         A window is as long as its lines, whatever the vocabulary; ``features.window_tfidf`` and the like bring the two together.
         """
-        encoded = voc.encode_templates(lines, self.templates)
-        numbered = voc.numbered_templates(encoded)
-        dictionary = voc.stored(
-            feats.numbered_tfidf(numbered, self.idf, self.tokens, self._get("lowerFirst")).withColumnRenamed(voc.NUMBER, "feature_id"))
-        numbered = numbered.withColumnRenamed(voc.NUMBER, "feature_id")
-        known = encoded.join(broadcast_if_small(numbered), "template", "left")
+        # The text meets the vocabulary once; afterwards only lines of unseen templates carry it.
+        unseen = F.col("template_id") == voc.OOV_ID
+        encoded = voc.encode_templates(lines, self.templates).withColumn("template", F.when(unseen, F.col("template")))
+        encoded = materialize(encoded, "zstd")
+        old = self.templates.select("template", F.col("template_id").cast("long").alias(voc.NUMBER))
+        count, top = old.agg(F.count(F.lit(1)), F.coalesce(F.max(voc.NUMBER), F.lit(voc.OOV_ID))).first()
+        used = encoded.where(~unseen).select(F.col("template_id").cast("long").alias(voc.NUMBER)).distinct()
+        if used.count() < count:
+            old = old.join(broadcast_if_small(materialize(used)), voc.NUMBER, "left_semi")
+        new = voc.numbered_templates(encoded.where(unseen)).select("template", (F.col(voc.NUMBER) + (top + 1)).alias(voc.NUMBER))
+        dictionary = feats.tfidf_dictionary(old.unionByName(new), self.idf, self.tokens, self._get("lowerFirst"))
+        known = encoded.where(~unseen).withColumn("feature_id", F.col("template_id").cast("long")).unionByName(
+            encoded.where(unseen).join(broadcast_if_small(new.withColumnRenamed(voc.NUMBER, "feature_id")), "template", "left"))
         made = sliding_windows(known, self._get("windowSize"), self._get("stride"), carry={"feature_id": F.lit(-1).cast("long")})
         return made.withColumnRenamed("feature_id", "feature_ids"), dictionary
 

@@ -132,33 +132,71 @@ def tfidf_from_idf(
     return named.join(weights, NUMBER).select("template", "token_id", "weight")
 
 
-def numbered_tfidf(
-    numbered: DataFrame, fitted: DataFrame, vocabulary: DataFrame, lower_first: bool = False
-) -> DataFrame:
-    """The same as ``_t, token_id, weight`` for ``numbered_templates``."""
+def _term_rows(numbered: DataFrame, fitted: DataFrame, vocabulary: DataFrame, lower_first: bool) -> DataFrame:
+    """``_t, token_id, tf, df, idf``, dealt by ``_t``: the tokens of the vocabulary in each template; ``df`` training lines have the token."""
     words = dealt_tokens(numbered, lower_first).select(NUMBER, F.explode_outer("tokens").alias("token"))
     tf = words.where("token is not null").groupBy(NUMBER, "token").agg(F.count(F.lit(1)).alias("tf"))
     total = F.coalesce(fitted.agg(F.max("total")).scalar(), F.lit(0))
     unseen = F.log((1 + total).cast("double")) + 1
     # Joined first, so that the words meet one table.
-    known = vocabulary.select("token", "token_id").join(fitted.select("token", "idf", F.col("df").alias("n")), "token", "left")
-    raw = looked_up(tf, materialize(known), "token", [NUMBER], "inner").select(
-        NUMBER, "token_id", (F.col("tf") * F.coalesce("idf", unseen)).alias("raw")
-    )
+    known = vocabulary.select("token", "token_id").join(
+        fitted.select("token", "idf", "df", F.col("df").alias("n")), "token", "left")
+    found = looked_up(tf, materialize(known), "token", [NUMBER], "inner")
+    return found.select(NUMBER, "token_id", "tf", F.coalesce("df", F.lit(0)).alias("df"), F.coalesce("idf", unseen).alias("idf"))
+
+
+def numbered_tfidf(
+    numbered: DataFrame, fitted: DataFrame, vocabulary: DataFrame, lower_first: bool = False
+) -> DataFrame:
+    """The same as ``_t, token_id, weight`` for ``numbered_templates``."""
+    raw = _term_rows(numbered, fitted, vocabulary, lower_first).select(NUMBER, "token_id", (F.col("tf") * F.col("idf")).alias("raw"))
     # A template has few distinct tokens, so a window over them is a short one.
     norm = F.sum("raw").over(Window.partitionBy(NUMBER))
     return raw.select(NUMBER, "token_id", (F.col("raw") / norm).alias("weight"))
 
 
+# Lines whose number fits beside a token's id.
+PACKED_LINES = 1 << 31
+
+
+def tfidf_dictionary(
+    numbered: DataFrame, fitted: DataFrame, vocabulary: DataFrame, lower_first: bool = False
+) -> DataFrame:
+    """The same for ``window_tfidf``, one row per template: ``feature_id, total, norm, codes, times``.
+
+    A code is the token's id and the number of its training lines, of which the weight is worked out where it is used: codes
+    of one token are alike in all templates, so they are short when they are moved. Logs of 2^31 lines or more get
+    ``feature_id, token_id, weight``.
+    """
+    total = fitted.agg(F.max("total")).first()[0] or 0
+    if total >= PACKED_LINES:
+        return numbered_tfidf(numbered, fitted, vocabulary, lower_first).withColumnRenamed(NUMBER, "feature_id")
+    code = F.shiftleft(F.col("token_id").cast("long"), 32).bitwiseOR(F.col("df").cast("long"))
+    packed = _term_rows(numbered, fitted, vocabulary, lower_first).groupBy(NUMBER).agg(
+        F.sum(F.col("tf") * F.col("idf")).alias("norm"), F.collect_list(F.struct(code.alias("code"), F.col("tf").cast("int").alias("tf"))).alias("_c"))
+    return packed.select(F.col(NUMBER).alias("feature_id"), F.lit(total).cast("long").alias("total"), "norm", F.col("_c.code").alias("codes"), F.col("_c.tf").alias("times"))
+
+
 def window_tfidf(windows: DataFrame, dictionary: DataFrame, size: int) -> DataFrame:
     """``session_id, window_idx, token_id, weight``: the mean tf-idf row of each window's ``size`` lines, tokens with a weight only.
 
-    ``windows`` carry ``feature_ids``, ``dictionary`` is ``feature_id, token_id, weight``. A template's row is multiplied by its
-    lines in the window before it meets the others, so windows never hold copies of rows; filler counts as zeros.
+    ``windows`` carry ``feature_ids``, ``dictionary`` is ``feature_id, token_id, weight`` or made by ``tfidf_dictionary``. A template's row
+    is multiplied by its lines in the window before it meets the others, so windows never hold copies of rows; filler counts as zeros.
     """
     counts = windows.select("session_id", "window_idx", F.explode(id_counts(F.col("feature_ids"))).alias("feature_id", "_n"))
-    joined = counts.where("feature_id >= 0").join(broadcast_if_small(dictionary), "feature_id")
-    return joined.groupBy("session_id", "window_idx", "token_id").agg((F.sum(F.col("_n") * F.col("weight")) / size).alias("weight"))
+    counts = counts.where("feature_id >= 0")
+    if "codes" not in dictionary.columns:
+        rows = counts.join(broadcast_if_small(dictionary), "feature_id").withColumn("weight", F.col("_n") * F.col("weight"))
+    else:
+        # Whole templates, stored with their windows, move there; the tokens are then laid out where they are.
+        met = materialize(counts.join(dictionary, "feature_id").drop("feature_id"), "zstd")
+        laid = met.repartition("session_id", "window_idx").select("session_id", "window_idx", "_n", "total", "norm", F.inline(F.arrays_zip("codes", "times")))
+        lines = F.col("codes").bitwiseAND(F.lit((1 << 32) - 1))
+        idf_ = F.log((1 + F.col("total")) / (1 + lines)) + 1
+        rows = laid.select(
+            "session_id", "window_idx", F.shiftright("codes", 32).cast("int").alias("token_id"),
+            (F.col("_n") * (F.col("times") * idf_ / F.col("norm"))).alias("weight"))
+    return rows.groupBy("session_id", "window_idx", "token_id").agg((F.sum("weight") / size).alias("weight"))
 
 
 def dense_tfidf(weights: DataFrame, vocab_size: int) -> DataFrame:

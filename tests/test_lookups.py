@@ -132,3 +132,21 @@ def test_window_token_ids_keep_one_copy_and_move_rare_words(spark, short_broadca
     ids, names = {r["token"]: r["token_id"] for r in every.collect()}, {r["template_id"]: r["template"] for r in vocabulary.collect()}
     assert {names[r["template_id"]]: r["token_ids"] for r in made.collect()} == {
         t: [ids[w] for w in t.lower().split() if w.isalpha()] for t in TEXTS}
+
+
+def test_window_tfidf_of_whole_templates_is_that_of_token_rows(spark, monkeypatch):
+    train = _lines(spark, [*TEXTS, "the cat"])
+    vocabulary, fitted = vocab.stored(vocab.token_vocabulary(train)), features.idf(train)
+    numbered = vocab.numbered_templates(_lines(spark, [*TEXTS, "an unknown cat"]))
+    ids = {r["template"]: r[vocab.NUMBER] for r in numbered.collect()}
+    windows = vocab.stored(spark.createDataFrame(
+        [("s", 0, [ids[TEXTS[0]], ids[TEXTS[1]], ids[TEXTS[0]]]), ("s", 1, [ids["an unknown cat"], ids[TEXTS[4]], -1]), ("t", 0, [-1, -1, -1])],
+        "session_id string, window_idx long, feature_ids array<long>"))
+    rows = lambda made: {(r.session_id, r.window_idx, r.token_id): round(r.weight, 12) for r in made.collect()}
+    packed = features.tfidf_dictionary(numbered, fitted, vocabulary)
+    assert packed.count() == 5 and packed.columns == ["feature_id", "total", "norm", "codes", "times"]
+    plain = features.numbered_tfidf(numbered, fitted, vocabulary).withColumnRenamed(vocab.NUMBER, "feature_id")
+    expected = rows(features.window_tfidf(windows, plain, 3))
+    assert rows(features.window_tfidf(windows, packed, 3)) == expected and len(expected) == 6
+    monkeypatch.setattr(features, "PACKED_LINES", 1)
+    assert rows(features.window_tfidf(windows, features.tfidf_dictionary(numbered, fitted, vocabulary), 3)) == expected
